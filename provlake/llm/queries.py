@@ -24,5 +24,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col("kept")).alias("kept"), "n_lines", "n_letters", "n_upper", "n_marks", "fail_mask")
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_quality_rules)}
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_quality_rules, op7_minhash_near_dedup)}
 SQL: dict[str, str] = {}
