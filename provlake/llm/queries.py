@@ -10,6 +10,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_output import token_output
+
+    return token_output(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination_digest, find_contamination
 
@@ -30,5 +42,5 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_quality_rules, op7_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op3_benchmark_decontamination, op4_quality_rules, op7_minhash_near_dedup)}
 SQL: dict[str, str] = {}
