@@ -42,5 +42,12 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op3_benchmark_decontamination, op4_quality_rules, op7_minhash_near_dedup)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_plan
+
+    plan = mix_plan(_table(spark, sf_dir, "documents"), percent=150, weights=(5, 2, 1), most=2)
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op3_benchmark_decontamination, op4_quality_rules, op7_minhash_near_dedup, op10_mixing)}
 SQL: dict[str, str] = {}
