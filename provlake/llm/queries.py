@@ -42,6 +42,46 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in under two tokenizer versions; the first is then revised to white-space words; later
+    copies of a text are deleted; the last batch is delivered twice."""
+    from pyspark.sql import Window
+
+    from .token_counts import TokenLedger, count_word_pieces, count_words
+    from .workspace import Workspace
+
+    ws = Workspace(spark, "token-counts")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", count_words().alias("words"), count_word_pieces().alias("parts"), F.length("text").alias("chars"), F.sha2("text", 256).alias("h"))
+    docs = ws.save(docs, "counted")
+    ledger = TokenLedger(spark, ws.file("ledger"))
+
+    def event(df: DataFrame, op: str, version: str, n: str) -> DataFrame:
+        return df.select("doc_id", "source", "lang", F.lit(op).alias("op"), F.lit(version).alias("tokenizer_version"), F.col(n).cast("long").alias("n_tokens"), F.lit(0).alias("seq"))
+
+    ledger.apply("load", event(docs, "insert", "words-1", "chars").unionByName(event(docs, "insert", "pieces-1", "parts")))
+    ledger.apply("recount", event(docs, "revise", "words-1", "words"))
+    first = docs.groupBy("h").agg(F.min("doc_id").alias("first"))
+    copies = docs.join(first, "h").filter("doc_id > first")
+    deletes = event(copies, "delete", "words-1", "words").unionByName(event(copies, "delete", "pieces-1", "parts"))
+    ledger.apply("drop-copies", deletes)
+    ledger.apply("drop-copies", deletes)
+    return ledger.totals()
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, lang,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+         len(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{80}-\x{10FFFF}]+|[0-9]+|[!-/:-@\[-`{-~]')) AS parts,
+         doc_id > min(doc_id) OVER (PARTITION BY text) AND text IS NOT NULL AS copy
+  FROM documents
+), kept AS (SELECT * FROM d WHERE NOT copy)
+SELECT source, lang, 'words-1' AS tokenizer_version, count(*) AS n_docs, CAST(sum(words) AS BIGINT) AS n_tokens FROM kept GROUP BY ALL
+UNION ALL
+SELECT source, lang, 'pieces-1', count(*), CAST(sum(parts) AS BIGINT) FROM kept GROUP BY ALL
+"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_plan
 
@@ -49,5 +89,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op3_benchmark_decontamination, op4_quality_rules, op7_minhash_near_dedup, op10_mixing)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_output, op3_benchmark_decontamination, op4_quality_rules, op7_minhash_near_dedup, op9_token_counts, op10_mixing)}
+SQL: dict[str, str] = {"op9_token_counts": OP9_SQL}
