@@ -22,6 +22,12 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op2_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_personal_data, span_digest
+
+    return span_digest(find_personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination_digest, find_contamination
 
@@ -89,5 +95,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op3_benchmark_decontamination, op4_quality_rules, op7_minhash_near_dedup, op9_token_counts, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_pii_weak_supervision, op3_benchmark_decontamination, op4_quality_rules, op7_minhash_near_dedup, op9_token_counts, op10_mixing)}
 SQL: dict[str, str] = {"op9_token_counts": OP9_SQL}
