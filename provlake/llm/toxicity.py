@@ -27,8 +27,10 @@ from .recurrent import WINDOW, Adam, Words, best_windows, new_model, run, train_
 from .textprims import pieces
 from .workspace import bounded_batches
 
-SAMPLE, LONGEST, WINDOWS_A_DOC = 700, 40_000, 10
-EPOCHS, RATE, SEED = 5, 0.01, 5
+SAMPLE, LONGEST, WINDOWS_A_DOC = 1500, 40_000, 8
+#: Passes over the sample: so many that there are STEPS batches, but between the two bounds.
+STEPS, EPOCHS, BATCH = 450, (5, 15), 256
+RATE, SEED = 0.01, 5
 FLOOR = -6.0
 
 
@@ -81,16 +83,17 @@ def train(sample: list[tuple[str, int]], share: float, seed: int = SEED) -> dict
     weight = np.where(target > 0.5, 0.5 / max(target.mean(), 1e-6), 0.5 / max(1 - target.mean(), 1e-6)).astype(np.float32)
     m, opt = new_model(seed), Adam(RATE)
     use = np.ones(len(index), bool)
-    for epoch in range(EPOCHS):
-        if epoch >= 2:
+    epochs = int(np.clip(STEPS * BATCH // max(1, len(index)), *EPOCHS))
+    for epoch in range(epochs):
+        if epoch >= epochs * 2 // 5:
             inputs = word_inputs(m, words)
             logit = np.concatenate([run(m, inputs, part) for part in np.array_split(index, max(1, -(-len(index) // 2048)))])
             top = np.full(int(owner.max()) + 1, -np.inf)
             np.maximum.at(top, owner, logit)
             use = (target < 0.5) | (logit > 0) | (logit >= top[owner])
-        if epoch == EPOCHS - 1:
+        if epoch == epochs - 1:
             opt.rate *= 0.3
-        train_epoch(m, opt, words, index[use], target[use], weight[use], rng)
+        train_epoch(m, opt, words, index[use], target[use], weight[use], rng, BATCH)
     cal = held if held.any() else ~held
     best, count, _ = best_windows(m, texts.filter(pa.array(cal)))
     return {"net": m, "share": share, "calibration": calibrate(best, count, y[cal], share)}
