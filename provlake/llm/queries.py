@@ -56,6 +56,14 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import fit_quality, score_quality
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in under two tokenizer versions; the first is then revised to white-space words; later
     copies of a text are deleted; the last batch is delivered twice."""
@@ -103,5 +111,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_pii_weak_supervision, op3_benchmark_decontamination, op4_quality_rules, op6_toxicity, op7_minhash_near_dedup, op9_token_counts, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_pii_weak_supervision, op3_benchmark_decontamination, op4_quality_rules, op6_toxicity, op7_minhash_near_dedup, op8_quality_classifier, op9_token_counts, op10_mixing)}
 SQL: dict[str, str] = {"op9_token_counts": OP9_SQL}
