@@ -42,6 +42,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col("kept")).alias("kept"), "n_lines", "n_letters", "n_upper", "n_marks", "fail_mask")
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import find_repeats, repeat_digest
+
+    return repeat_digest(find_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_toxicity, score_toxicity
 
@@ -111,5 +117,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_pii_weak_supervision, op3_benchmark_decontamination, op4_quality_rules, op6_toxicity, op7_minhash_near_dedup, op8_quality_classifier, op9_token_counts, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_pii_weak_supervision, op3_benchmark_decontamination, op4_quality_rules, op5_suffix_array_dedup, op6_toxicity, op7_minhash_near_dedup, op8_quality_classifier, op9_token_counts, op10_mixing)}
 SQL: dict[str, str] = {"op9_token_counts": OP9_SQL}
