@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,23 +33,47 @@ from .textprims import pieces, prefix_hash, span_hash
 from .workspace import Workspace, bounded_batches, shuffle_parts
 
 SHARD_TOKENS = 1 << 20
-ROUNDS, PAIRS_A_ROUND = 12, 2048
-#: Texts of this many chunks at most stay known to a worker.
-CACHE_CHUNKS = 400_000
+ROUNDS, PAIRS_A_ROUND, SLOT_BITS = 12, 2048, 18
+#: Slots of a worker's table of known chunks, and ids that it holds at most before it starts anew.
+CACHE_SLOTS, CACHE_IDS = 1 << 22, 1 << 24
 
 SHARD_SCHEMA = "first_id long, first_null boolean, part int, shard int, n_docs long, n_tokens long, doc_ids binary, null_ids binary, doc_tokens binary, doc_symbols binary, n_base int, wide boolean, rules binary, lengths binary, symbols binary"
 
-_SPACE, _WS = 32, np.zeros(256, bool)
-_WS[[32, 9, 10, 11, 12, 13, 28, 29, 30, 31]] = True
-_WS[0x80:] = True  # a lead or tail byte may belong to a wide space: no cut next to it
+#: Classes of bytes: 0 unsure, 1 letter, 2 digit, 3 mark, 4 apostrophe, 5 space, 6 other white space.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = 3
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = 1
+_CLASS[0x30:0x3A] = 2
+_CLASS[0x27], _CLASS[0x20] = 4, 5
+_CLASS[[9, 10, 13]] = 6
+#: Whether a text may be cut between two classes (before, after); a cut never parts white space from what follows.
+_CUT = np.zeros((7, 7), bool)
+for _a in (1, 2, 3):
+    for _b in (1, 2, 3):
+        _CUT[_a, _b] = _a != _b
+    _CUT[_a, 5] = _CUT[_a, 6] = True
+_CUT[4, 5] = _CUT[4, 6] = _CUT[1, 4] = _CUT[2, 4] = True
 _WORKER: dict = {}
 
 
+def cuts(buf: np.ndarray) -> np.ndarray:
+    """Positions before which byte-level BPE always splits, whatever stands further away.
+
+    The split pattern takes maximal runs of letters, of digits and of other marks, each with one space before
+    it; so ASCII runs end where the class changes, and before white space. U+00C0 to U+024F are letters but
+    for two; next to other characters beyond ASCII nothing is cut, nor after an apostrophe.
+    """
+    cls = _CLASS[buf]
+    lead = np.flatnonzero((buf >= 0xC3) & (buf <= 0xC9))
+    cls[lead] = cls[lead + 1] = np.where((buf[lead] == 0xC3) & ((buf[lead + 1] == 0x97) | (buf[lead + 1] == 0xB7)), 0, 1)
+    return np.flatnonzero(_CUT[cls[:-1], cls[1:]]) + 1
+
+
 class Encoder:
-    """Whole-text encoding through the tokenizers library, each distinct chunk once.
+    """Whole-text encoding through the tokenizers library, each chunk between cuts once while it stays known.
 
-    Byte-level BPE splits a text before a single space between two ASCII characters that are no white
-    space, whatever stands further away; so texts are cut there and chunks encoded on their own.
+    Known chunks are in a two-way table of fixed size; a chunk that finds both of its places taken replaces
+    the second.
     """
 
     def __init__(self, path: str):
@@ -57,65 +82,74 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.vocab = self.tok.get_vocab_size()
-        self.special = any(t.special for t in self.tok.get_added_tokens_decoder().values())
-        self.marks = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.marks = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.reset()
 
     def reset(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
+        self.key = np.zeros(CACHE_SLOTS, np.uint64)
+        self.start = np.zeros(CACHE_SLOTS, np.int32)
+        self.size = np.zeros(CACHE_SLOTS, np.uint16)
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+
+    def _learn(self, keys: np.ndarray, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode new chunks; where their ids start and how many they are."""
         got = [e.ids for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((x for g in got for x in g), np.uint32, int(size.sum()))
-        # merge by key: old and new runs in sorted order
-        all_keys = np.concatenate((self.keys, keys))
-        order = np.argsort(all_keys, kind="stable")
-        starts = np.concatenate((self.at[:-1], np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64) + len(self.ids)))[order]
-        sizes = np.concatenate((np.diff(self.at), size))[order]
-        ids = np.concatenate((self.ids, flat))
-        self.keys, self.at = all_keys[order], np.concatenate(([0], np.cumsum(sizes)))
-        self.ids = ids[np.repeat(starts - self.at[:-1], sizes) + np.arange(self.at[-1])]
+        total = int(size.sum())
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
+        start = np.cumsum(size) - size + self.used
+        self.used += total
+        short = size < 65536
+        a, b = self._places(keys)
+        at = np.where(self.key[a] == 0, a, b)[short]
+        self.key[at], self.start[at], self.size[at] = keys[short], start[short], size[short]
+        return start, size
+
+    @staticmethod
+    def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = np.uint64(CACHE_SLOTS - 1)
+        return (keys & mask).astype(np.int64), (keys >> np.uint64(32) & mask).astype(np.int64)
 
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, ids of each document) of consecutive rows."""
         for _, _, buf, docs in pieces(column):
-            if any(m.encode() in buf.tobytes() for m in self.marks):  # added tokens match across any cut
-                data = buf.tobytes()
+            data = buf.tobytes()
+            if any(m in data for m in self.marks):  # added tokens match across any cut
                 got = [self.tok.encode(data[docs[i] : docs[i + 1] - 1].decode("utf-8", "replace"), add_special_tokens=False).ids for i in range(len(docs) - 1)]
-                yield np.fromiter((x for g in got for x in g), np.uint32), np.array([len(g) for g in got], np.int64)
+                yield np.fromiter(chain.from_iterable(got), np.uint32), np.array([len(g) for g in got], np.int64)
                 continue
-            space = np.flatnonzero(buf == _SPACE)
-            space = space[(space > 0) & (space < len(buf) - 1)]
-            space = space[~_WS[buf[space - 1]] & ~_WS[buf[space + 1]]]
-            # a chunk starts at each document's start (and the \n after each is cut off) and at these spaces
-            starts = np.union1d(docs[:-1], space)
-            ends = np.append(starts[1:], docs[-1])
-            ends[np.searchsorted(starts, docs[1:-1]) - 1] -= 1
-            ends[-1] -= 1
-            owner = np.searchsorted(docs, starts, "right") - 1
+            # each document starts a chunk; the \n after it belongs to none
+            new_chunk = np.zeros(len(buf) + 1, bool)
+            new_chunk[cuts(buf)] = True
+            new_chunk[docs] = True
+            starts = np.flatnonzero(new_chunk)
+            new_doc = np.zeros(len(buf) + 1, bool)
+            new_doc[docs] = True
+            starts, ends = starts[:-1], starts[1:] - new_doc[starts[1:]]
             keep = ends > starts
-            starts, ends, owner = starts[keep], ends[keep], owner[keep]
+            starts, ends = starts[keep], ends[keep]
             h = span_hash(prefix_hash(buf), starts, ends)
-            distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-            if len(self.keys) > CACHE_CHUNKS:
+            h[h == 0] = 1
+            if self.used > CACHE_IDS:
                 self.reset()
-            at = np.searchsorted(self.keys, distinct)
-            known = np.zeros(len(distinct), bool)
-            inside = at < len(self.keys)
-            known[inside] = self.keys[at[inside]] == distinct[inside]
-            if not known.all():
-                data = buf.tobytes()
-                new = np.flatnonzero(~known)
-                self._learn(distinct[new], [data[s:e].decode("utf-8", "replace") for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-                at = np.searchsorted(self.keys, distinct)
-            run = at[back]
-            size = self.at[run + 1] - self.at[run]
+            a, b = self._places(h)
+            in_a = self.key[a] == h
+            at = np.where(in_a, a, b)
+            known = in_a | (self.key[b] == h)
+            run, size = self.start[at].astype(np.int64), self.size[at].astype(np.int64)
+            miss = np.flatnonzero(~known)
+            if len(miss):
+                new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
+                first = miss[first]
+                chunks = [data[s:e].decode("utf-8", "replace") for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+                new_start, new_size = self._learn(new, chunks)
+                run[miss], size[miss] = new_start[back], new_size[back]
             total = np.concatenate(([0], np.cumsum(size)))
-            ids = self.ids[np.repeat(self.at[run] - total[:-1], size) + np.arange(total[-1])] if len(run) else np.zeros(0, np.uint32)
-            yield ids, np.bincount(owner, weights=size, minlength=len(docs) - 1).astype(np.int64)
+            ids = self.ids[np.repeat(run - total[:-1], size) + np.arange(total[-1])]
+            yield ids, np.diff(total[np.searchsorted(starts, docs)])
 
 
 def repair(ids: np.ndarray, doc_tokens: np.ndarray, n_base: int, least: int | None = None, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,23 +167,24 @@ def repair(ids: np.ndarray, doc_tokens: np.ndarray, n_base: int, least: int | No
     for _ in range(rounds):
         if len(seq) < 2 or n_rules >= room:
             break
-        pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
         open_ = ~last[:-1]
         # counts by hash first: only pairs in full slots are counted exactly
-        slot = (pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 22)).astype(np.int64)
-        full = np.bincount(slot[open_], minlength=1 << 22) >= least
-        maybe = full[slot] & open_
-        keys, counts = np.unique(pair[maybe], return_counts=True)
+        slot = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - SLOT_BITS)
+        full = np.bincount(slot[open_], minlength=1 << SLOT_BITS) >= least
+        at = np.flatnonzero(full[slot] & open_)
+        pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        order = np.sort(pair)
+        cut = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1]))) if len(order) else np.zeros(0, np.int64)
+        keys, counts = order[cut], np.diff(np.append(cut, len(order)))
         often = counts >= least
         keys, counts = keys[often], counts[often]
         if not len(keys):
             break
         take = np.argsort(-counts, kind="stable")[: min(PAIRS_A_ROUND, room - n_rules)]
         keys = np.sort(keys[take])
-        at = np.flatnonzero(maybe)
-        found = np.searchsorted(keys, pair[at])
+        found = np.searchsorted(keys, pair)
         found[found == len(keys)] = 0
-        hit = keys[found] == pair[at]
+        hit = keys[found] == pair
         at, found = at[hit], found[hit]
         # overlapping occurrences come in runs of neighbours: every other one, from the left
         head = np.ones(len(at), bool)
@@ -186,17 +221,40 @@ def expansion_lengths(rules: np.ndarray, n_base: int) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, n_base: int) -> np.ndarray:
-    """The ids of symbols."""
-    seq = symbols.astype(np.uint32)
+def rule_ids(rules: np.ndarray, n_base: int) -> tuple[np.ndarray, np.ndarray]:
+    """All rules' ids one after the other, and where each starts (and the end)."""
+    lengths = expansion_lengths(rules, n_base).astype(np.int64)
+    at = np.concatenate(([0], np.cumsum(lengths)))
+    seq = np.arange(n_base, n_base + len(rules), dtype=np.uint32)
     while len(seq) and (big := seq >= n_base).any():
-        at = np.cumsum(np.where(big, 2, 1)) - np.where(big, 2, 1)
-        out = np.empty(int(at[-1] + (2 if big[-1] else 1)), np.uint32)
-        out[at[~big]] = seq[~big]
+        to = np.cumsum(np.where(big, 2, 1)) - np.where(big, 2, 1)
+        out = np.empty(int(to[-1] + (2 if big[-1] else 1)), np.uint32)
+        out[to[~big]] = seq[~big]
         pair = rules[seq[big] - n_base]
-        out[at[big]], out[at[big] + 1] = pair[:, 0], pair[:, 1]
+        out[to[big]], out[to[big] + 1] = pair[:, 0], pair[:, 1]
         seq = out
-    return seq
+    return seq, at
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, n_base: int) -> np.ndarray:
+    """The ids of symbols."""
+    symbols = symbols.astype(np.int64)
+    big = np.flatnonzero(symbols >= n_base)
+    if not len(big):
+        return symbols.astype(np.uint32)
+    flat, at = rule_ids(rules, n_base)
+    rule = symbols[big] - n_base
+    size = np.ones(len(symbols), np.int64)
+    size[big] = at[rule + 1] - at[rule]
+    # one table: a symbol's own id where it is no rule, else a place in flat
+    own = np.flatnonzero(symbols < n_base)
+    to = np.cumsum(size) - size
+    out = np.empty(int(to[-1] + size[-1]), np.uint32)
+    out[to[own]] = symbols[own]
+    n = size[big]
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(to[big], n) + k] = flat[np.repeat(at[rule], n) + k]
+    return out
 
 
 def token_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, n_base: int, start: int, end: int) -> np.ndarray:
