@@ -44,17 +44,20 @@ class TokenLedger:
             out.append((int(n), batch, attempt))
         return out
 
+    def _empty(self, schema: str) -> DataFrame:
+        return self.spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in schema.split(", "))])
+
     def state(self) -> DataFrame:
         done = self.commits()
         if not done:
-            return self.spark.createDataFrame([], _STATE)
+            return self._empty(_STATE)
         return self.spark.read.schema(_STATE).parquet(f"{self.path}/attempts/{done[-1][2]}/state")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens: the sum of all committed deltas; groups of no documents are gone."""
         done = self.commits()
         if not done:
-            return self.spark.createDataFrame([], _DELTA)
+            return self._empty(_DELTA)
         deltas = self.spark.read.schema(_DELTA).parquet(*[f"{self.path}/attempts/{a}/deltas" for _, _, a in done])
         return deltas.groupBy(*_GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 or n_tokens <> 0")
 
