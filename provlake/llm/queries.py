@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sql import SQL as SQL
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -96,20 +98,6 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
-OP9_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, lang,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
-         len(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{80}-\x{10FFFF}]+|[0-9]+|[!-/:-@\[-`{-~]')) AS parts,
-         doc_id > min(doc_id) OVER (PARTITION BY text) AND text IS NOT NULL AS copy
-  FROM documents
-), kept AS (SELECT * FROM d WHERE NOT copy)
-SELECT source, lang, 'words-1' AS tokenizer_version, count(*) AS n_docs, CAST(sum(words) AS BIGINT) AS n_tokens FROM kept GROUP BY ALL
-UNION ALL
-SELECT source, lang, 'pieces-1', count(*), CAST(sum(parts) AS BIGINT) FROM kept GROUP BY ALL
-"""
-
-
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_plan
 
@@ -118,4 +106,3 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_output, op2_pii_weak_supervision, op3_benchmark_decontamination, op4_quality_rules, op5_suffix_array_dedup, op6_toxicity, op7_minhash_near_dedup, op8_quality_classifier, op9_token_counts, op10_mixing)}
-SQL: dict[str, str] = {"op9_token_counts": OP9_SQL}
