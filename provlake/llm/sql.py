@@ -39,7 +39,7 @@ f AS (SELECT k, min(doc_id) AS first FROM s GROUP BY 1 HAVING min(doc_id) < max(
 hit AS (SELECT doc_id, i FROM s JOIN f USING (k) WHERE first < doc_id),
 run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM hit)),
 span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, r),
-gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM span UNION ALL SELECT doc_id, max(b), 1099511627776 FROM span GROUP BY 1),
+gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM span UNION ALL SELECT doc_id, max(b), 1000000000 FROM span GROUP BY 1),
 kept AS (SELECT doc_id, string_agg(substr(h, 2 * s + 1, 2 * (e - s)), '' ORDER BY s) AS h FROM gap JOIN d USING (doc_id) GROUP BY 1),
 n AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM span GROUP BY 1)
 SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256

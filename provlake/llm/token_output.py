@@ -34,6 +34,8 @@ from .workspace import Workspace, bounded_batches, shuffle_parts
 
 SHARD_TOKENS = 1 << 20
 ROUNDS, PAIRS_A_ROUND, SLOT_BITS = 12, 2048, 18
+#: Chunks that are encoded as one text.
+JOINT = 512
 #: Slots of a worker's table of known chunks, and ids that it holds at most before it starts anew.
 CACHE_SLOTS, CACHE_IDS = 1 << 22, 1 << 24
 
@@ -47,7 +49,7 @@ _CLASS[0x30:0x3A] = 2
 _CLASS[0x27], _CLASS[0x20] = 4, 5
 _CLASS[[9, 10, 13]] = 6
 #: Whether a text may be cut between two classes (before, after); a cut never parts white space from what follows.
-_CUT = np.zeros((7, 7), bool)
+_CUT = np.zeros((8, 8), bool)
 for _a in (1, 2, 3):
     for _b in (1, 2, 3):
         _CUT[_a, _b] = _a != _b
@@ -66,7 +68,7 @@ def cuts(buf: np.ndarray) -> np.ndarray:
     cls = _CLASS[buf]
     lead = np.flatnonzero((buf >= 0xC3) & (buf <= 0xC9))
     cls[lead] = cls[lead + 1] = np.where((buf[lead] == 0xC3) & ((buf[lead + 1] == 0x97) | (buf[lead + 1] == 0xB7)), 0, 1)
-    return np.flatnonzero(_CUT[cls[:-1], cls[1:]]) + 1
+    return np.flatnonzero(_CUT.ravel()[cls[:-1] * np.uint8(8) + cls[1:]]) + 1
 
 
 class Encoder:
@@ -83,6 +85,10 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.vocab = self.tok.get_vocab_size()
         self.marks = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        # a byte-level token has one character a byte
+        self.width = np.zeros(max(self.tok.get_vocab().values()) + 1, np.int64)
+        for token, i in self.tok.get_vocab().items():
+            self.width[i] = len(token)
         self.reset()
 
     def reset(self) -> None:
@@ -93,14 +99,29 @@ class Encoder:
         self.used = 0
 
     def _learn(self, keys: np.ndarray, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Encode new chunks; where their ids start and how many they are."""
-        got = [e.ids for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        total = int(size.sum())
+        """Encode new chunks; where their ids start and how many they are.
+
+        Chunks of one space and then ASCII go many to a text: they are cut apart there too, and the widths of
+        the ids tell which ids are whose.
+        """
+        joint = np.array([len(c) > 1 and c[0] == " " and c[1] != " " and c[-1].isalnum() and c.isascii() for c in chunks], bool)
+        many, alone = np.flatnonzero(joint), np.flatnonzero(~joint)
+        size = np.zeros(len(chunks), np.int64)
+        got = [e.ids for e in self.tok.encode_batch_fast([chunks[i] for i in alone.tolist()], add_special_tokens=False)]
+        size[alone] = np.fromiter(map(len, got), np.int64, len(got))
+        flat_alone = np.fromiter(chain.from_iterable(got), np.uint32, int(size[alone].sum()))
+        blocks = ["".join([chunks[i] for i in part.tolist()]) for part in np.array_split(many, max(1, -(-len(many) // JOINT)))]
+        got = [e.ids for e in self.tok.encode_batch_fast(blocks, add_special_tokens=False)]
+        flat_many = np.fromiter(chain.from_iterable(got), np.uint32, sum(map(len, got)))
+        ends = np.searchsorted(np.cumsum(self.width[flat_many]), np.cumsum(np.fromiter((len(chunks[i]) for i in many.tolist()), np.int64, len(many)))) + 1
+        size[many] = np.diff(np.concatenate(([0], ends)))
+        total = len(flat_alone) + len(flat_many)
+        start = np.zeros(len(chunks), np.int64)
+        start[alone] = np.cumsum(size[alone]) - size[alone] + self.used
+        start[many] = np.cumsum(size[many]) - size[many] + self.used + len(flat_alone)
         while self.used + total > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
-        start = np.cumsum(size) - size + self.used
+        self.ids[self.used : self.used + total] = np.concatenate((flat_alone, flat_many))
         self.used += total
         short = size < 65536
         a, b = self._places(keys)
