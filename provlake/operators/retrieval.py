@@ -60,7 +60,7 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "
     for b in range(blocks):
         part = (asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)).collect()
         ids = np.array([r.q for r in part], np.int64)
-        vectors = np.array([r.v for r in part], np.float64).reshape(len(part), -1)
+        vectors = np.array([r.v for r in part], np.float64).reshape(len(part), dim if part else 0)
         shared = spark.sparkContext.broadcast((ids, vectors))
         scored = source.mapInArrow(lambda it, s=shared: _unit_scorer(*s.value, k, list(extra))(it) if len(s.value[0]) else iter(()), schema)
         out = scored if out is None else out.unionByName(scored)
