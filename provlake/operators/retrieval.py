@@ -18,53 +18,85 @@ from ..functions.text import search_tokens
 BLOCK_MB = 64
 
 
-def _unit_scorer(ids: np.ndarray, vectors: np.ndarray, k: int, extra: list[str]):
+#: Cells of a similarity matrix that a task holds at once.
+CELLS = 4_000_000
+
+
+def _merge_best(best_sim: np.ndarray, best_id: np.ndarray, rows: np.ndarray, ids: np.ndarray, sim: np.ndarray) -> None:
+    """Put candidates (row, id, sim) into the k best of each row, in place; ties to the smaller id."""
+    k = best_sim.shape[1]
+    held = np.flatnonzero(np.isfinite(best_sim.ravel()))
+    rows = np.concatenate((held // k, rows))
+    ids = np.concatenate((best_id.ravel()[held], ids))
+    sim = np.concatenate((best_sim.ravel()[held], sim))
+    order = np.lexsort((ids, -sim, rows))
+    rows, ids, sim = rows[order], ids[order], sim[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    top = place < k
+    best_sim[rows[top], place[top]] = sim[top]
+    best_id[rows[top], place[top]] = ids[top]
+
+
+def _unit_scorer(ids: np.ndarray, vectors: np.ndarray, tags: np.ndarray | None, k: int):
+    """A task's k best of its whole partition for each query, in one output."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_sim, best_id = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
         for batch in batches:
-            vec = batch.column(1)
-            ok = np.flatnonzero(vec.is_valid().to_numpy(zero_copy_only=False))
+            ok = np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False))
             if not len(ok):
                 continue
             batch = batch.take(pa.array(ok))
             own = batch.column(0).to_numpy(zero_copy_only=False)
             e = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(ok), -1)
-            sim = np.round(vectors @ e.T, 6)
-            sim[ids[:, None] == own[None, :]] = -np.inf
-            # only what can be in the result leaves the batch
-            order = np.lexsort((np.broadcast_to(own, sim.shape), -sim), axis=1)[:, :k]
-            q = np.repeat(np.arange(len(ids)), order.shape[1])
-            pick = order.ravel()
-            keep = np.isfinite(sim[q, pick])
-            q, pick = q[keep], pick[keep]
-            cols = [pa.array(ids[q]), pa.array(own[pick]), pa.array(sim[q, pick]), *(batch.column(2 + i).take(pa.array(pick)) for i in range(len(extra)))]
-            yield pa.RecordBatch.from_arrays(cols, ["query_id", "id", "sim", *extra])
+            n = len(ok)
+            step = max(1, CELLS // n)
+            for lo in range(0, len(ids), step):
+                q = slice(lo, lo + step)
+                sim = np.round(vectors[q] @ e.T, 6)
+                sim[ids[q, None] == own[None, :]] = -np.inf
+                if tags is not None:
+                    sim[tags[q, None] != batch.column(2).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+                least = best_sim[q, -1]
+                if n > k:
+                    least = np.maximum(least, np.partition(sim, n - k, axis=1)[:, n - k])
+                rows, cols = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
+                _merge_best(best_sim[q], best_id[q], rows, own[cols], sim[rows, cols])
+        rows, cols = np.nonzero(np.isfinite(best_sim))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(best_id[rows, cols]), pa.array(best_sim[rows, cols])], ["query_id", "id", "sim"])
 
     return run
 
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", id_col: str = "vec_id", vector: str = "embedding", extra: tuple[str, ...] = (), block_mb: int = BLOCK_MB) -> DataFrame:
+def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", id_col: str = "vec_id", vector: str = "embedding", extra: tuple[str, ...] = (), same: tuple[str, str] | None = None, block_mb: int = BLOCK_MB) -> DataFrame:
     """query_id, id, sim, the extra columns of the corpus, rank <= k. Vectors are of unit length; a query is not its own hit.
 
-    The query set goes to the tasks in blocks of a stated size; each Arrow batch keeps its k best by query,
-    and the final ranking sees no more than that.
+    The query set goes to the tasks in blocks of a stated size; each task keeps its k best by query, and the
+    final ranking sees no more than that. With same (a column of the queries, one of the corpus), only rows
+    whose values are equal count.
     """
     spark = corpus.sparkSession
     n, dim = queries.agg(F.count("*"), F.max(F.size(vector))).first()
     rows_a_block = max(1, block_mb * (1 << 20) // (8 * max(1, dim or 1)))
     blocks = max(1, -(-n // rows_a_block))
-    fields = {f.name: f.dataType.simpleString() for f in corpus.schema}
-    schema = f"query_id {fields[id_col] if id_col in fields else 'bigint'}, id {fields[id_col]}, sim double" + "".join(f", {c} {fields[c]}" for c in extra)
-    source = corpus.select(id_col, vector, *extra)
+    tagged = [] if same is None else [F.col(same[1]).alias("tag")]
+    source = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), *tagged)
+    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v"), F.lit(0).alias("tag") if same is None else F.col(same[0]).alias("tag")).filter("v is not null")
     out = None
-    asked = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v")).filter("v is not null")
     for b in range(blocks):
         part = (asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)).collect()
-        ids = np.array([r.q for r in part], np.int64)
-        vectors = np.array([r.v for r in part], np.float64).reshape(len(part), dim if part else 0)
-        shared = spark.sparkContext.broadcast((ids, vectors))
-        scored = source.mapInArrow(lambda it, s=shared: _unit_scorer(*s.value, k, list(extra))(it) if len(s.value[0]) else iter(()), schema)
+        if not part:
+            continue
+        tags = None if same is None else np.array([r.tag for r in part])
+        shared = spark.sparkContext.broadcast((np.array([r.q for r in part], np.int64), np.array([r.v for r in part], np.float64), tags))
+        scored = source.mapInArrow(lambda it, s=shared: _unit_scorer(*s.value, k)(it), "query_id long, id long, sim double")
         out = scored if out is None else out.unionByName(scored)
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))).filter(F.col("rank") <= k)
+    if out is None:
+        out = spark.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in (("query_id", "long"), ("id", "long"), ("sim", "double"))])
+    top = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))).filter(F.col("rank") <= k)
+    if not extra:
+        return top
+    return top.join(corpus.select(F.col(id_col).cast("long").alias("id"), *extra).dropDuplicates(["id"]), "id").select("query_id", "id", "sim", *extra, "rank")
 
 
 def corpus_stats(documents: DataFrame) -> DataFrame:

@@ -93,10 +93,7 @@ def rrf_fuse(spark, d):
 
 def _named(spark, d) -> DataFrame:
     """Vectors of the query's own label stand for rows that metadata names."""
-    near = _knn(spark, d, k=1 << 20)
-    own = _vector_queries(spark, d).select("query_id", "q_label")
-    named = near.join(own, "query_id").filter("label = q_label")
-    return V.top_ranked(named.drop("rank"), 6, score="sim", id_col="id")
+    return V.cosine_topk(_vector_queries(spark, d), table(spark, d, "embeddings"), 6, same=("q_label", "label"))
 
 
 @query(_S + """, u AS (SELECT query_id, id, sim, rank, 0 AS p, 'metadata' AS retrieved_by FROM named
@@ -152,8 +149,8 @@ def rank_of_ref(spark, d):
 @query(_S + """, f AS (SELECT query_id, min(rank) FILTER (label = q_label) AS r, count(DISTINCT label) AS n FROM knn GROUP BY 1)
 SELECT k, CAST(sum(CASE WHEN r <= k THEN 1 ELSE 0 END) AS BIGINT) AS hits, round(avg(n), 6) AS mean_distinct FROM f, (SELECT unnest([1, 3, 5, 8]) AS k) GROUP BY 1""")
 def hits_at_k_distinct(spark, d):
-    distinct = _knn(spark, d).groupBy("query_id").agg(F.count_distinct("label").alias("n")).agg(F.round(F.avg("n"), 6).alias("mean_distinct"))
-    return S.hits_at(rank_of_ref(spark, d)).join(F.broadcast(distinct))  # one row
+    (mean,) = _knn(spark, d).groupBy("query_id").agg(F.count_distinct("label").alias("n")).agg(F.round(F.avg("n"), 6)).first()
+    return S.hits_at(rank_of_ref(spark, d)).withColumn("mean_distinct", F.lit(mean).cast("double"))
 
 
 @query(_S + """SELECT query_id, string_agg('[' || rank || '] vector ' || id || chr(10) || 'label ' || label, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM knn GROUP BY 1""")
@@ -419,12 +416,12 @@ def expand_range(spark, d):
     return spark.createDataFrame([(t,) for t, _ in RANGES], "label string").select("label", F.array_join(R.expand_range(F.col("label")), ",").alias("items"))
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id % 3, CAST(n_chars % 40 AS INTEGER), doc_id) AS place FROM documents")
+@query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id % 3, CAST(n_chars % 40 AS INTEGER), doc_id) AS place FROM documents")
 def lead_int_sort(spark, d):
     from pyspark.sql import Window
 
     label = F.concat((F.col("n_chars") % 40).cast("string"), F.lit("-"), F.col("n_chars").cast("string"))
-    return table(spark, d, "documents").select("doc_id", F.row_number().over(Window.orderBy(F.col("doc_id") % 3, R.lead_int(label), "doc_id")).alias("place"))
+    return table(spark, d, "documents").select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.col("doc_id") % 3, R.lead_int(label), "doc_id")).alias("place"))
 
 
 ANSWERS = [("I could not find an answer in the provided context.", True), ("  I COULD NOT FIND AN ANSWER in the provided context", True), ("Sorry: I could not find an answer in the provided context, but", True), ("Article 5 says so.", False), (None, False), ("x" * 60 + " I could not find an answer in the provided context", False)]
