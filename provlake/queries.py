@@ -7,6 +7,7 @@ section lang, paragraphs the lines that are not blank.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +24,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+#: Positions and counts that come out as long, as in SQL.
+_LONG = ("rank", "n_tokens", "chunk_ord", "place", "first_rank")
+
+
+def _wide(f):
+    @functools.wraps(f)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = f(spark, d)
+        return df.withColumns({c: F.col(c).cast("long") for c, kind in df.dtypes if c in _LONG and kind == "int"})
+
+    return run
+
+
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = _wide(f)
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -250,7 +264,7 @@ def merge_ranges(spark, d):
 
 
 _WIN = _LINES + """, t AS (SELECT doc_id, unit_ord, text, regexp_extract_all(text, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]') AS t FROM u),
-w AS (SELECT doc_id, unit_ord, CASE WHEN len(t) > 50 THEN CAST(i // 50 + 1 AS INTEGER) END AS part, CAST(least(50, len(t) - i) AS INTEGER) AS n_tokens, CASE WHEN len(t) <= 50 THEN text ELSE array_to_string(t[i + 1:i + 50], ' ') END AS body, i
+w AS (SELECT doc_id, unit_ord, CASE WHEN len(t) > 50 THEN CAST(i // 50 + 1 AS INTEGER) END AS part, least(50, len(t) - i) AS n_tokens, CASE WHEN len(t) <= 50 THEN text ELSE array_to_string(t[i + 1:i + 50], ' ') END AS body, i
 FROM (SELECT *, unnest(range(0, len(t), 50)) AS i FROM t WHERE len(t) > 0))
 """
 
