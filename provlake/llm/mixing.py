@@ -72,7 +72,7 @@ def mix_plan(documents: DataFrame, percent: int = 150, weights: tuple[int, ...]
     spark = documents.sparkSession
     ws = Workspace(spark, "mixing")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text", "source").alias("row_key"))
+    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text", "source").alias("row_key"))
     sized = ws.save(sized, "sized")
     targets = source_targets(sized, percent, weights, most)
     # sources are numbered once, so that deeper levels move numbers, not names
@@ -109,7 +109,11 @@ def mix_plan(documents: DataFrame, percent: int = 150, weights: tuple[int, ...]
 
 def mix_documents(documents: DataFrame, **how) -> DataFrame:
     """The rows of documents as often as the mix takes them, with all their columns. Equal rows are interchangeable."""
-    plan = mix_plan(documents, **how).filter("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).agg(F.sum("copies").cast("int").alias("_n"))
-    keyed = documents.withColumn("_k", F.xxhash64(F.col("text").cast("string"), F.col("source").cast("string"))).dropDuplicates(["doc_id", "_k"])
-    joined = keyed.join(plan, keyed["doc_id"].cast("long").eqNullSafe(plan["_id"]) & (keyed["_k"] == plan["_key"]))
-    return joined.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[keyed[c] for c in documents.columns])
+    plan = mix_plan(documents, **how).groupBy(F.col("row_key").alias("_key")).agg(F.sum("copies").alias("_c"), F.count("*").alias("_m")).filter("_c > 0")
+    row_key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))
+    renamed = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("_row"), row_key.alias("_key"))
+    # the texts move once: the window has the join's partitions and order
+    joined = renamed.join(plan, "_key").withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+    copies = F.floor(F.col("_c") / F.col("_m")) + F.when(F.col("_r") <= F.col("_c") % F.col("_m"), 1).otherwise(0)
+    taken = joined.withColumn("_n", copies.cast("int")).filter("_n > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
