@@ -219,7 +219,7 @@ def links_within(ids: list[int], blk: np.ndarray, reg: np.ndarray, sets: list[np
 
 def _linker(percent: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("rep").sort_values("rep")
+        pdf = pdf.drop_duplicates(["rep", "elements"]).sort_values("rep")
         reg = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(len(pdf), REGISTERS)
         sets = [np.frombuffer(x, np.uint64) for x in pdf["elements"]]
         out = links_within(pdf["rep"].tolist(), pdf["blk"].to_numpy(), reg, sets, key[1] != key[2], percent)
