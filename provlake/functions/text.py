@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The refusal sentence and the separator of context blocks.
-REFUSAL = "i could not find an answer in the provided context"
+#: The refusal sentence in lower case without its full stop, the lines of page furniture and of
+#: page numbers, the form of citations, and the separator of context blocks.
+REFUSAL = "i cannot find an answer to this in the eu ai act excerpts provided"
+FURNITURE = r"EN|L series|Official Journal(?: of the European Union)?|of the European Union|OJ [LC], [0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|ELI:[ \t]*http[^ \t\n]*|[0-9]{4}/[0-9]{3,4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,3}/[0-9]{2,4}"
+PAGE_NUMBER = r"EN[ \t]+[0-9]+[ \t]+EN|[0-9]{1,4}"
+CITATION = r"(?i)\b(?:article\s+[0-9]+(?:\([0-9]+\))*(?:\([a-z]\))?|recital\s+[0-9]+\b|annex\s+[ivxl]+\b)"
 BLOCK_SEPARATOR = "\n\n---\n\n"
 TOKEN = r"[A-Za-z0-9]+|[^\sA-Za-z0-9]"
 
@@ -22,10 +26,11 @@ def budget_tokens(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Line ends, hyphenated breaks, page numbers and blank runs, in this order; then trimmed."""
+    """Line ends, hyphenated breaks, page furniture, page numbers and blank runs, in this order; then trimmed."""
     out = F.regexp_replace(text, "\r\n?", "\n")
     out = F.regexp_replace(out, "-\n([a-z])", "$1")
-    out = F.regexp_replace(out, r"(?m)^[ \t]*(?:EN[ \t]+[0-9]+[ \t]+EN|[0-9]{1,4})[ \t]*$", "")
+    for line in (FURNITURE, PAGE_NUMBER):
+        out = F.regexp_replace(out, rf"(?md)^[ \t]*(?:{line})[ \t]*$", "")
     out = F.regexp_replace(out, "\n{3,}", "\n\n")
     return F.regexp_replace(out, r"^[ \t\n]+|[ \t\n]+$", "")
 
@@ -75,6 +80,6 @@ def ordered_block(rank: Column, header: Column, body: Column) -> Column:
 
 def citations(text: Column) -> Column:
     """Citations named in a text: white space made single, first letter upper case, first of equals (any case) kept."""
-    found = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:article|recital|annex)\s+(?:[0-9]+[a-z]?|[ivxlc]+)\b"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(CITATION), F.lit(0))
     neat = F.transform(found, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.regexp_replace(F.substring(x, 2, 1000), r"\s+", " ")))
     return F.aggregate(neat, F.expr("cast(array() as array<string>)"), lambda a, x: F.when(F.exists(a, lambda y: F.lower(y) == F.lower(x)), a).otherwise(F.array_append(a, x)))

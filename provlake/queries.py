@@ -298,11 +298,11 @@ def chunk_ids(spark, d):
     return C.chunk_ids(rows).select("doc_id", "chunk_ord", "chunk_id")
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\r\\n?', chr(10), 'g'), '-\\n([a-z])', '\\1', 'g'), '(?m)^[ \\t]*(?:EN[ \\t]+[0-9]+[ \\t]+EN|[0-9]{1,4})[ \\t]*$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g') AS text
-FROM (SELECT doc_id, replace(text, '. ', chr(13) || chr(10) || '12' || chr(10) || chr(10)) || chr(10) AS t FROM documents)""")
+@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\r\\n?', chr(10), 'g'), '-\\n([a-z])', '\\1', 'g'), '(?m)^[ \\t]*(?:__FURN__)[ \\t]*$', '', 'g'), '(?m)^[ \\t]*(?:EN[ \\t]+[0-9]+[ \\t]+EN|[0-9]{1,4})[ \\t]*$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g') AS text
+FROM (SELECT doc_id, replace(text, '. ', chr(13) || chr(10) || '12' || chr(10) || chr(10) || 'OJ L, 12.7.2024' || chr(10)) || chr(10) AS t FROM documents)""".replace("__FURN__", T.FURNITURE))
 def clean_text(spark, d):
     """Documents with page numbers and carriage returns put in at sentence ends."""
-    dirty = F.concat(F.replace("text", F.lit(". "), F.lit("\r\n12\n\n")), F.lit("\n"))
+    dirty = F.concat(F.replace("text", F.lit(". "), F.lit("\r\n12\n\nOJ L, 12.7.2024\n")), F.lit("\n"))
     return table(spark, d, "documents").select("doc_id", T.clean_text(dirty).alias("text"))
 
 
@@ -438,7 +438,8 @@ def lead_int_sort(spark, d):
     return table(spark, d, "documents").select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.col("doc_id") % 3, R.lead_int(label), "doc_id")).alias("place"))
 
 
-ANSWERS = [("I could not find an answer in the provided context.", True), ("  I COULD NOT FIND AN ANSWER in the provided context", True), ("Sorry: I could not find an answer in the provided context, but", True), ("Article 5 says so.", False), (None, False), ("x" * 60 + " I could not find an answer in the provided context", False)]
+REFUSED = "I cannot find an answer to this in the EU AI Act excerpts provided"
+ANSWERS = [(REFUSED + ".", True), ("  " + REFUSED.upper(), True), ("Sorry: " + REFUSED + ", but", True), ("Article 5 says so.", False), (None, False), ("x" * 60 + " " + REFUSED, False)]
 
 
 @query("SELECT * FROM " + "(VALUES " + ", ".join(f"({'NULL' if a is None else chr(39) + a + chr(39)}, {b})" for a, b in ANSWERS) + ") v(answer, refusal)")
@@ -446,7 +447,7 @@ def is_refusal(spark, d):
     return spark.createDataFrame([(a,) for a, _ in ANSWERS], "answer string").select("answer", T.is_refusal(F.col("answer")).alias("refusal"))
 
 
-CITED = [("See article 5 and  Article  5, then annex iv.", "Article 5|Annex iv"), ("RECITAL 12; recital 12", "RECITAL 12"), ("none", "")]
+CITED = [("See article 5(2) and  Article  5(2), then annex iv.", "Article 5(2)|Annex iv"), ("RECITAL 12; recital 12", "RECITAL 12"), ("none", "")]
 
 
 @query(f"SELECT * FROM {_values(CITED)} v(answer, cited)")
