@@ -631,3 +631,17 @@ def full_document(spark, d):
 @query("SELECT page_id, url, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
 def extract_pages(spark, d):
     return table(spark, d, "pages").select("page_id", "url", F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"[ \t\n\f\r]+", " ")).alias("text"))
+
+
+@query("""SELECT conv_id AS doc_id, 'Article' AS type, CAST(conv_id + 1 AS VARCHAR) AS number, CAST(turn + 1 AS VARCHAR) AS paragraph, 'Turns' AS title, 'I - All' AS chapter, '2 - Part' AS section, (turn + 1) || '. ' || t AS text
+FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations) WHERE turn < 99 AND t <> ''""")
+def structure_roundtrip(spark, d):
+    """Conversations written out as chapters, sections, articles and paragraphs, then parsed back."""
+    from .operators import structure as X
+
+    turns = table(spark, d, "conversations").filter("turn < 99").select("conv_id", "turn", F.trim(F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", " ")).alias("t"))
+    line = F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), F.col("t"))
+    body = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))).alias("r"))
+    head = F.concat(F.lit("(1) whereas\nHAVE ADOPTED THIS REGULATION:\nCHAPTER I\nAll\nSECTION 2\nPart\nArticle "), (F.col("conv_id") + 1).cast("string"), F.lit("\nTurns\n"))
+    docs = body.select(F.col("conv_id").alias("doc_id"), F.concat(head, F.array_join(F.transform("r", lambda x: x["l"]), "\n"), F.lit("\nANNEX I\nNone\n")).alias("text"))
+    return X.parse_provisions(X.marked_lines(docs)).filter("type = 'Article'").select("doc_id", "type", "number", "paragraph", "title", "chapter", "section", "text")
