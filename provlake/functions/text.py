@@ -83,3 +83,18 @@ def citations(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(CITATION), F.lit(0))
     neat = F.transform(found, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.regexp_replace(F.substring(x, 2, 1000), r"\s+", " ")))
     return F.aggregate(neat, F.expr("cast(array() as array<string>)"), lambda a, x: F.when(F.exists(a, lambda y: F.lower(y) == F.lower(x)), a).otherwise(F.array_append(a, x)))
+
+
+def notes_block(questions: Column, assumptions: Column) -> Column:
+    """Numbered sub-questions, if there are several, and assumptions, if there are any; null without either."""
+    numbered = F.array_join(F.transform(questions, lambda q, i: F.concat((i + 1).cast("string"), F.lit(". "), q)), "\n")
+    asked = F.when(F.size(questions) > 1, F.concat(F.lit("Sub-questions:\n"), numbered))
+    assumed = F.when(F.size(assumptions) > 0, F.concat(F.lit("Assumptions: "), F.array_join(assumptions, "; ")))
+    return F.nullif(F.concat_ws("\n", asked, assumed), F.lit(""))
+
+
+def calibration_block(order: Column, question: Column, judge: Column, human: Column, lesson: Column) -> Column:
+    """Aggregate: corrected verdicts as lines for a judge's prompt, in order."""
+    line = F.concat_ws(" ", F.concat(F.lit("- "), question, F.lit(":")), F.concat(F.lit("judge "), judge.cast("string"), F.lit(", human "), human.cast("string")), F.when(lesson != "", F.concat(F.lit("("), lesson, F.lit(")"))))
+    rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("l"))))
+    return F.array_join(F.transform(rows, lambda x: x["l"]), "\n")

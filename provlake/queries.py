@@ -645,3 +645,39 @@ def structure_roundtrip(spark, d):
     head = F.concat(F.lit("(1) whereas\nHAVE ADOPTED THIS REGULATION:\nCHAPTER I\nAll\nSECTION 2\nPart\nArticle "), (F.col("conv_id") + 1).cast("string"), F.lit("\nTurns\n"))
     docs = body.select(F.col("conv_id").alias("doc_id"), F.concat(head, F.array_join(F.transform("r", lambda x: x["l"]), "\n"), F.lit("\nANNEX I\nNone\n")).alias("text"))
     return X.parse_provisions(X.marked_lines(docs)).filter("type = 'Article'").select("doc_id", "type", "number", "paragraph", "title", "chapter", "section", "text")
+
+
+NOTES = [("a|b", "x|y", "Sub-questions:\n1. a\n2. b\nAssumptions: x; y"), ("a", "", None), ("a", "x", "Assumptions: x")]
+
+
+@query(f"SELECT * FROM {_values(NOTES)} v(questions, assumptions, notes)")
+def notes_block(spark, d):
+    rows = spark.createDataFrame([r[:2] for r in NOTES], "questions string, assumptions string")
+    parts = lambda c: F.filter(F.split(c, r"\|"), lambda x: x != "")
+    return rows.withColumn("notes", T.notes_block(parts("questions"), parts("assumptions")))
+
+
+@query("SELECT toxic, string_agg('- ' || doc_id || ': judge ' || toxic || ', human ' || quality || CASE WHEN doc_id % 2 = 0 THEN ' (even)' ELSE '' END, chr(10) ORDER BY doc_id) AS block FROM labels WHERE toxic <> quality GROUP BY 1")
+def calibration(spark, d):
+    rows = table(spark, d, "labels").filter("toxic <> quality")
+    lesson = F.when(F.col("doc_id") % 2 == 0, "even").otherwise("")
+    return rows.groupBy("toxic").agg(T.calibration_block(F.col("doc_id"), F.col("doc_id").cast("string"), F.col("toxic"), F.col("quality"), lesson).alias("block"))
+
+
+@query("""WITH r AS (SELECT doc_id, quality AS a, 1 - toxic AS b FROM labels)
+SELECT kind, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN a IS DISTINCT FROM b THEN 'differs' END, CASE WHEN a = 1 AND b IS DISTINCT FROM 1 THEN 'only_a' END, CASE WHEN b = 1 AND a IS DISTINCT FROM 1 THEN 'only_b' END, CASE WHEN a = 0 AND b = 0 THEN 'both_wrong' END, 'all'], lambda x: x IS NOT NULL)) AS kind FROM r) GROUP BY 1""")
+def report_filters(spark, d):
+    rows = table(spark, d, "labels").select("doc_id", F.col("quality").alias("a"), (1 - F.col("toxic")).alias("b"))
+    one = F.lit(1)
+    kinds = F.array_compact(F.array(
+        F.when(~F.col("a").eqNullSafe(F.col("b")), "differs"), F.when((F.col("a") == 1) & ~F.col("b").eqNullSafe(one), "only_a"),
+        F.when((F.col("b") == 1) & ~F.col("a").eqNullSafe(one), "only_b"), F.when((F.col("a") == 0) & (F.col("b") == 0), "both_wrong"), F.lit("all"),
+    ))
+    return rows.select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) FILTER (h IS NOT NULL) AS reviewed, round((count(*) FILTER (h IS NOT NULL) - count(*) FILTER (h IS NOT NULL AND h <> j)) / nullif(count(*) FILTER (h IS NOT NULL), 0), 6) AS agreement FROM (SELECT 1 - toxic AS j, CASE WHEN doc_id % 5 = 0 THEN quality END AS h FROM labels)")
+def override_agreement(spark, d):
+    rows = table(spark, d, "labels").select((1 - F.col("toxic")).alias("j"), F.when(F.col("doc_id") % 5 == 0, F.col("quality")).alias("h"))
+    seen = F.col("h").isNotNull()
+    return rows.agg(F.count_if(seen).alias("reviewed"), F.round(S.override_agreement(seen, F.col("h") != F.col("j")), 6).alias("agreement"))
