@@ -30,6 +30,7 @@ class Words:
         prefix = prefix_hash(buf)
         h = span_hash(prefix, starts, ends)
         keys, first, self.number = np.unique(h, return_index=True, return_inverse=True)
+        self.keys = keys
         self.slot = (keys % _U(SLOTS)).astype(np.int64)
         s, e = starts[first], ends[first]
         size = np.maximum(e - s - GRAM + 1, 0) + 2  # the grams inside, and one at each edge
@@ -48,6 +49,26 @@ class Words:
         self.size = size
         self.begin = np.searchsorted(doc_of(starts, docs), np.arange(len(docs)))  # first word of each text, and the end
 
+    @classmethod
+    def of(cls, column) -> "Words":
+        """The words of many texts, put together from pieces of bounded size."""
+        parts = [cls(buf, docs) for _, _, buf, docs in pieces(column)]
+        out = cls.__new__(cls)
+        keys = np.concatenate([p.keys for p in parts])
+        out.keys, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        size = np.concatenate([p.size for p in parts])
+        start = np.cumsum(size) - size
+        gram = np.concatenate([p.gram for p in parts])
+        out.slot = np.concatenate([p.slot for p in parts])[first]
+        out.size = size[first]
+        out.at = np.concatenate(([0], np.cumsum(out.size)))
+        out.gram = gram[np.repeat(start[first] - out.at[:-1], out.size) + np.arange(out.at[-1])]
+        shift = np.cumsum([0] + [len(p.keys) for p in parts])
+        out.number = back[np.concatenate([p.number + k for p, k in zip(parts, shift, strict=False)])]
+        base = np.cumsum([0] + [len(p.number) for p in parts])
+        out.begin = np.concatenate([*(p.begin[:-1] + k for p, k in zip(parts, base, strict=False)), base[-1:]])
+        return out
+
 
 def windows_of(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, start, length) of the overlapping windows of texts of words begin[i]:begin[i+1]; a text without words has none."""

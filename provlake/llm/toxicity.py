@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .recurrent import WINDOW, Adam, Words, best_windows, new_model, run, train_epoch, window_index, windows_of, word_inputs
-from .textprims import pieces
 from .workspace import bounded_batches
 
 SAMPLE, LONGEST, WINDOWS_A_DOC = 1500, 40_000, 8
@@ -71,8 +70,7 @@ def train(sample: list[tuple[str, int]], share: float, seed: int = SEED) -> dict
         held[:] = False
     texts = pa.array([t for t, _ in sample])
     own = texts.filter(pa.array(~held))
-    ((_, _, buf, docs),) = pieces(own, 1 << 62)
-    words = Words(buf, docs)
+    words = Words.of(own)
     owner, start, length = windows_of(words.begin)
     # a few windows of each document
     order = np.lexsort((rng.random(len(owner)), owner))
@@ -86,8 +84,7 @@ def train(sample: list[tuple[str, int]], share: float, seed: int = SEED) -> dict
     epochs = int(np.clip(STEPS * BATCH // max(1, len(index)), *EPOCHS))
     for epoch in range(epochs):
         if epoch >= epochs * 2 // 5:
-            inputs = word_inputs(m, words)
-            logit = np.concatenate([run(m, inputs, part) for part in np.array_split(index, max(1, -(-len(index) // 2048)))])
+            logit = np.concatenate([_logits(m, words, part) for part in np.array_split(index, max(1, -(-len(index) // 1024)))])
             top = np.full(int(owner.max()) + 1, -np.inf)
             np.maximum.at(top, owner, logit)
             use = (target < 0.5) | (logit > 0) | (logit >= top[owner])
@@ -99,6 +96,12 @@ def train(sample: list[tuple[str, int]], share: float, seed: int = SEED) -> dict
     return {"net": m, "share": share, "calibration": calibrate(best, count, y[cal], share)}
 
 
+def _logits(m: dict, words: Words, index: np.ndarray) -> np.ndarray:
+    used, local = np.unique(index, return_inverse=True)
+    local = local.reshape(index.shape) - (used[0] == -1)
+    return run(m, word_inputs(m, words, used[used >= 0]), local)
+
+
 def calibrate(best: np.ndarray, count: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
     """Logistic weights of (highest logit, log of windows, 1), classes weighted as among all labels."""
     x = np.stack([np.maximum(best, FLOOR), np.log1p(count), np.ones(len(y))], 1)
