@@ -6,7 +6,7 @@ repeatedly replaces the most frequent pairs of neighbouring ids by new symbols (
 round, never across documents), until no pair is frequent enough or symbols would pass 16 bits.
 
 File format: a Parquet table with one row a shard, so that writing, retrying and reading back work in any
-store Spark knows. Columns: ``part`` (doc_id range), ``shard`` (order within it), ``n_docs``, ``n_tokens``,
+store Spark knows. Columns: ``part`` (doc_id range), ``shard`` (order within it), ``start`` (ids before it in its part), ``n_docs``, ``n_tokens``,
 ``doc_ids`` (int64 LE; ``null_ids`` flags nulls), ``doc_tokens`` (uint32 LE: ids of each document),
 ``doc_symbols`` (uint32 LE: symbols of each document), ``n_base`` (first symbol that is a rule), ``rules``
 (uint16 LE pairs), ``lengths`` (uint32 LE: ids each rule expands to) and ``symbols`` (uint16 LE; uint32 if
@@ -26,7 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textprims import pieces, prefix_hash, span_hash
@@ -39,7 +39,7 @@ JOINT = 512
 #: Slots of a worker's table of known chunks, and ids that it holds at most before it starts anew.
 CACHE_SLOTS, CACHE_IDS = 1 << 22, 1 << 24
 
-SHARD_SCHEMA = "first_id long, first_null boolean, part int, shard int, n_docs long, n_tokens long, doc_ids binary, null_ids binary, doc_tokens binary, doc_symbols binary, n_base int, wide boolean, rules binary, lengths binary, symbols binary"
+SHARD_SCHEMA = "first_id long, first_null boolean, part int, shard int, start long, n_docs long, n_tokens long, doc_ids binary, null_ids binary, doc_tokens binary, doc_symbols binary, n_base int, wide boolean, rules binary, lengths binary, symbols binary"
 
 #: Classes of bytes: 0 unsure, 1 letter, 2 digit, 3 mark, 4 apostrophe, 5 space, 6 other white space.
 _CLASS = np.zeros(256, np.uint8)
@@ -156,12 +156,12 @@ class Encoder:
             h[h == 0] = 1
             if self.used > CACHE_IDS:
                 self.reset()
-            a, b = self._places(h)
-            in_a = self.key[a] == h
-            at = np.where(in_a, a, b)
-            known = in_a | (self.key[b] == h)
+            at, _ = self._places(h)
+            miss = np.flatnonzero(self.key[at] != h)
+            _, second = self._places(h[miss])
+            at[miss] = second
+            miss = miss[self.key[second] != h[miss]]
             run, size = self.start[at].astype(np.int64), self.size[at].astype(np.int64)
-            miss = np.flatnonzero(~known)
             if len(miss):
                 new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
                 first = miss[first]
@@ -291,21 +291,21 @@ def token_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, n_b
     return expand(symbols[lo:hi], rules, n_base)[start - at[lo] : end - at[lo]]
 
 
-def _shard_row(part: int, shard: int, ids: list, doc_ids: list, sizes: list, n_base: int) -> dict:
+def _shard_row(part: int, shard: int, start: int, ids: list, doc_ids: list, sizes: list, n_base: int) -> dict:
     tokens = np.concatenate(ids)
     size = np.array(sizes, np.int64)
     symbols, doc_symbols, rules = repair(tokens, size, n_base)
     wide = n_base + len(rules) > 65536
     kind = "<u4" if wide else "<u2"
     return {
-        "first_id": doc_ids[0], "first_null": doc_ids[0] is None, "part": part, "shard": shard, "n_docs": len(size), "n_tokens": len(tokens),
+        "first_id": doc_ids[0], "first_null": doc_ids[0] is None, "part": part, "shard": shard, "start": start, "n_docs": len(size), "n_tokens": len(tokens),
         "doc_ids": np.array([x or 0 for x in doc_ids], "<i8").tobytes(), "null_ids": np.array([x is None for x in doc_ids], np.uint8).tobytes(),
         "doc_tokens": size.astype("<u4").tobytes(), "doc_symbols": doc_symbols.astype("<u4").tobytes(), "n_base": n_base, "wide": wide,
         "rules": rules.astype(kind).tobytes(), "lengths": expansion_lengths(rules, n_base).astype("<u4").tobytes(), "symbols": symbols.astype(kind).tobytes(),
     }
 
 
-_SHARD_ARROW = pa.schema([("first_id", pa.int64()), ("first_null", pa.bool_()), ("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), *((n, pa.binary()) for n in ("doc_ids", "null_ids", "doc_tokens", "doc_symbols")), ("n_base", pa.int32()), ("wide", pa.bool_()), *((n, pa.binary()) for n in ("rules", "lengths", "symbols"))])
+_SHARD_ARROW = pa.schema([("first_id", pa.int64()), ("first_null", pa.bool_()), ("part", pa.int32()), ("shard", pa.int32()), ("start", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), *((n, pa.binary()) for n in ("doc_ids", "null_ids", "doc_tokens", "doc_symbols")), ("n_base", pa.int32()), ("wide", pa.bool_()), *((n, pa.binary()) for n in ("rules", "lengths", "symbols"))])
 
 
 def _writer(path: str, end_id: int, shard_tokens: int):
@@ -315,7 +315,7 @@ def _writer(path: str, end_id: int, shard_tokens: int):
         if _WORKER.get("path") != path:
             _WORKER.update(path=path, encoder=Encoder(path))
         enc: Encoder = _WORKER["encoder"]
-        part, shard = TaskContext.get().partitionId(), 0
+        part, shard, start = TaskContext.get().partitionId(), 0, 0
         n_base = max(enc.vocab, end_id + 1)
         ids: list = []
         doc_ids: list = []
@@ -336,10 +336,10 @@ def _writer(path: str, end_id: int, shard_tokens: int):
                         ids.append(np.insert(tokens[begin : int(ends[d])], ends[lo : d + 1] - begin, np.uint32(end_id)))
                         lo = d + 1
                     if held >= shard_tokens:
-                        yield pa.RecordBatch.from_pylist([_shard_row(part, shard, ids, doc_ids, sizes, n_base)], _SHARD_ARROW)
-                        ids, doc_ids, sizes, held, shard = [], [], [], 0, shard + 1
+                        yield pa.RecordBatch.from_pylist([_shard_row(part, shard, start, ids, doc_ids, sizes, n_base)], _SHARD_ARROW)
+                        ids, doc_ids, sizes, held, shard, start = [], [], [], 0, shard + 1, start + held
         if doc_ids:
-            yield pa.RecordBatch.from_pylist([_shard_row(part, shard, ids, doc_ids, sizes, n_base)], _SHARD_ARROW)
+            yield pa.RecordBatch.from_pylist([_shard_row(part, shard, start, ids, doc_ids, sizes, n_base)], _SHARD_ARROW)
 
     return run
 
@@ -381,14 +381,11 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_token_shards(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and n_symbols of every document, decoded from the shards at path."""
     shards = spark.read.parquet(path)
-    # ids before each doc_id range: one row a range; within a range, few shards
-    from pyspark.sql import Window
-
+    # ids before each doc_id range: one row a range, of which there are as many as shuffle partitions
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")
-    starts = shards.select("part", "shard", within.alias("within")).join(before, "part").select("part", "shard", (F.col("within") + F.col("before")).alias("start"))
-    return shards.join(starts, ["part", "shard"]).mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long, n_symbols long")
+    placed = shards.join(F.broadcast(before), "part").withColumn("start", F.col("start") + F.col("before")).drop("before")
+    return placed.mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long, n_symbols long")
 
 
 def token_output(documents: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:
