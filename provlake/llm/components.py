@@ -13,7 +13,7 @@ from .workspace import Workspace
 
 
 def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1))), F.sum("b")).first())
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1))), F.sum(F.col("b").cast("decimal(38,0)"))).first())
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

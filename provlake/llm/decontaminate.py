@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, bounded_batches
+from .workspace import Workspace, bounded_batches, row_key
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -174,5 +174,6 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents without any hit word, with all their columns."""
     spark = documents.sparkSession
     bounded_batches(spark)
-    found = find_contamination(documents, benchmark).filter(F.size("hits") > 0).select(F.col("doc_id").alias("_hit_id")).distinct()
-    return documents.join(found, documents["doc_id"].eqNullSafe(found["_hit_id"]), "left_anti")
+    keyed = documents.select(row_key(documents).alias("doc_id"), documents["text"])
+    found = find_contamination(keyed, benchmark).filter(F.size("hits") > 0).select(F.col("doc_id").alias("_hit")).distinct()
+    return documents.join(found, row_key(documents) == found["_hit"], "left_anti")

@@ -24,12 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .textprims import LOWER, NONSPACE, doc_of, mix64, pieces, prefix_hash, span_hash, word_spans
-from .workspace import Workspace, bounded_batches
+from .workspace import Workspace, bounded_batches, row_key
 
 REGISTERS, ROWS = 128, 4
 BASE, Q = 1.02, 4000
@@ -260,6 +260,24 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, b
 
 
 def keep_one(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each class: the least doc_id; all columns of documents."""
-    gone = near_duplicates(documents, shingle, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")
+    """One row of each class, with all its columns: of the least doc_id, then of the least row key.
+
+    Classes are of rows here, not of doc_ids: rows that repeat a doc_id with different texts are linked each
+    by its own text, and of rows equal in doc_id and text one stays. Rows without a doc_id all stay.
+    """
+    key = row_key(documents)
+    ws = Workspace(documents.sparkSession, "keep-one")
+    named = documents.filter(documents["doc_id"].isNotNull())
+    found = near_duplicates(named.select(key.alias("doc_id"), named["text"]), shingle, percent).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_class"))
+    rows = ws.save(found.groupBy("_key").agg(F.first("_class").alias("_class"), F.count("*").alias("_n")), "rows")
+    ids = named.select(key.alias("_key"), documents["doc_id"].cast("long").alias("_id")).distinct()
+    best = rows.join(ids, "_key").groupBy("_class").agg(F.min(F.struct("_id", "_key"))["_key"].alias("_best"))
+    gone = ws.save(rows.join(best, rows["_key"] == best["_best"], "left_anti").select(F.col("_key").alias("_gone")), "gone")
+    again = rows.filter("_n > 1").select(F.col("_key").alias("_again"))
+    kept = documents.join(gone, key == gone["_gone"], "left_anti")
+    once = kept.join(again, key == again["_again"], "left_anti")
+    # of a row that repeats, which of its copies stays is settled by the other columns
+    order = [F.col(f"_row.`{c}`") for c, kind in documents.dtypes if "map<" not in kind and "variant" not in kind]
+    copies = kept.join(again, key == again["_again"], "left_semi").select(F.struct(*[documents[c] for c in documents.columns]).alias("_row"), key.alias("_key"))
+    first = copies.withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy(*order))).filter("_r = 1").select("_row.*")
+    return once.unionByName(first)

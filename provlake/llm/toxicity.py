@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .recurrent import WINDOW, Adam, Words, best_windows, new_model, run, train_epoch, window_index, windows_of, word_inputs
-from .workspace import bounded_batches
+from .workspace import bounded_batches, row_key
 
 SAMPLE, LONGEST, WINDOWS_A_DOC = 1500, 40_000, 8
 #: Passes over the sample: so many that there are STEPS batches, but between the two bounds.
@@ -152,6 +152,7 @@ def score_toxicity(documents: DataFrame, model: dict) -> DataFrame:
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that the model does not reject, with all their columns."""
-    gone = score_toxicity(documents, fit_toxicity(documents, labels)).filter(F.col("score") >= threshold).select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows of documents that the model does not reject, with all their columns."""
+    keyed = documents.select(row_key(documents).alias("doc_id"), documents["text"])
+    gone = score_toxicity(keyed, fit_toxicity(documents, labels)).filter(F.col("score") >= threshold).select(F.col("doc_id").alias("_gone")).distinct()
+    return documents.join(gone, row_key(documents) == gone["_gone"], "left_anti")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def base_dir(spark: SparkSession) -> str:
@@ -55,6 +56,11 @@ def ensure_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
+def row_key(documents: DataFrame) -> Column:
+    """A key of doc_id and text, never null: filters that judge rows go by it, for a doc_id can be null or repeat."""
+    return F.xxhash64(documents["doc_id"].cast("long"), documents["text"].cast("string"))
+
+
 #: Rows that one Arrow batch brings to a Python worker: documents can be long, so batches stay small.
 ARROW_ROWS = 1024
 
