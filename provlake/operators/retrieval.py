@@ -99,6 +99,99 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "
     return top.join(corpus.select(F.col(id_col).cast("long").alias("id"), *extra).dropDuplicates(["id"]), "id").select("query_id", "id", "sim", *extra, "rank")
 
 
+class Places:
+    """Targets (query_id, id, value) of some queries, and a count of rows that come between them.
+
+    Rows go before others by higher value, then by smaller id. Row counts by place are added up; as ids only
+    matter against those of the targets, a row's key is its value and its id's place among theirs.
+    """
+
+    def __init__(self, targets: list[tuple[int, int, float]]):
+        self.ids = np.unique(np.array([i for _, i, _ in targets], np.int64))
+        by: dict[int, list[complex]] = {}
+        for (q, _, value), place in zip(targets, self._place(np.array([i for _, i, _ in targets], np.int64)), strict=True):
+            by.setdefault(q, []).append(complex(-value, place))
+        self.keys = {q: np.sort(np.array(x)) for q, x in by.items()}
+        self.counts: dict[int, np.ndarray] = {}
+
+    def _place(self, own: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.ids, own)
+        return 2 * at + (self.ids[np.minimum(at, len(self.ids) - 1)] == own)
+
+    def add(self, q: int, value: np.ndarray, own: np.ndarray) -> None:
+        key = np.empty(len(own), complex)
+        key.real, key.imag = -value, self._place(own)
+        n = np.bincount(np.searchsorted(self.keys[q], key, side="right"), minlength=len(self.keys[q]) + 1)
+        self.counts[q] = self.counts[q] + n if q in self.counts else n
+
+    def rows(self) -> pa.RecordBatch:
+        found = [(q, place, n) for q, c in self.counts.items() for place, n in enumerate(c.tolist()) if n]
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["query_id", "place", "n"])
+
+
+_COUNTS = "query_id long, place long, n long"
+
+
+def _cosine_counter(ids: np.ndarray, vectors: np.ndarray, targets: list[tuple[int, int, float]], itself: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = Places(targets)
+        for batch in batches:
+            ok = np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False))
+            if not len(ok):
+                continue
+            batch = batch.take(pa.array(ok))
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            e = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(ok), -1)
+            step = max(1, CELLS // len(ok))
+            for lo in range(0, len(ids), step):
+                sim = np.round(vectors[lo : lo + step] @ e.T, 6)
+                for q, s in zip(ids[lo : lo + step].tolist(), sim, strict=True):
+                    other = slice(None) if itself else own != q
+                    places.add(q, s[other], own[other])
+        yield places.rows()
+
+    return run
+
+
+def _placed(targets: DataFrame, counts: DataFrame) -> DataFrame:
+    """targets (query_id, id, value) and before: how many counted rows go before each."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("value"), "id")
+    at = targets.withColumn("_at", F.row_number().over(w) - 1)
+    total = counts.groupBy(F.col("query_id").alias("_q"), "place").agg(F.sum("n").alias("n"))
+    joined = at.join(total, (at["query_id"] == total["_q"]) & (total["place"] <= at["_at"]), "left")
+    return joined.groupBy("query_id", "id", "value").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before"))
+
+
+def cosine_places(queries: DataFrame, corpus: DataFrame, targets: DataFrame, query_id: str = "query_id", id_col: str = "vec_id", vector: str = "embedding", itself: bool = False, block_mb: int = BLOCK_MB) -> DataFrame:
+    """targets (query_id, id, sim; rows of the corpus) and rank, their place in the ranking of the whole corpus.
+
+    The rows that go before a target are counted, in one scan for each block of queries; no ranking is built.
+    """
+    spark = corpus.sparkSession
+    n, dim = queries.agg(F.count("*"), F.max(F.size(vector))).first()
+    blocks = max(1, -(-n * 8 * max(1, dim or 1) // (block_mb * (1 << 20))))
+    source = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
+    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v")).filter("v is not null").dropDuplicates(["q"])
+    wanted = targets.select(F.col("query_id").cast("long").alias("query_id"), "id", F.col("sim").alias("value"))
+    counts = spark.createDataFrame([], _COUNTS)
+    for b in range(blocks):
+        of_block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)) == b
+        rows = [tuple(r) for r in wanted.filter(of_block("query_id")).collect()]
+        having = {q for q, _, _ in rows}
+        part = [r for r in asked.filter(of_block("q")).collect() if r.q in having]
+        if part:
+            shared = spark.sparkContext.broadcast((np.array([r.q for r in part], np.int64), np.array([r.v for r in part], np.float64), rows, itself))
+            counts = counts.unionByName(source.mapInArrow(lambda it, s=shared: _cosine_counter(*s.value)(it), _COUNTS))
+    return _placed(wanted, counts).select("query_id", "id", F.col("value").alias("sim"), (F.col("before") + 1).alias("rank"))
+
+
+def first_rank(queries: DataFrame, corpus: DataFrame, same: tuple[str, str]) -> DataFrame:
+    """query_id, first_rank: place of the first relevant row (equal values of same) among the whole corpus, null if none is."""
+    best = cosine_topk(queries, corpus, 1, same=same)
+    found = cosine_places(queries, corpus, best).select("query_id", F.col("rank").alias("first_rank"))
+    return queries.filter("embedding is not null").select("query_id").distinct().join(found, "query_id", "left")
+
+
 def corpus_stats(documents: DataFrame) -> DataFrame:
     """term, df, tf over all documents."""
     words = documents.select("doc_id", F.explode(search_tokens(F.col("text"))).alias("term"))
