@@ -5,7 +5,7 @@ Rankings are ordered by score, rounded so that the order of summation can't matt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -258,13 +258,14 @@ def similarity_gate(queries: DataFrame, rows: DataFrame, threshold: float = 0.45
     return queries.select("query_id").distinct().join(best, "query_id", "left").select("query_id", "best", F.coalesce(~F.col("pinned") & (F.col("best") < threshold), F.lit(True)).alias("refuse"))
 
 
-def follow_refs(asked: DataFrame, allowed: DataFrame, similar: DataFrame, most: int = 4) -> tuple[DataFrame, DataFrame]:
+def follow_refs(asked: DataFrame, allowed: DataFrame, search: Callable[[DataFrame], DataFrame], most: int = 4) -> tuple[DataFrame, DataFrame]:
     """(rows of the references asked for and allowed, the best ``most`` by query; references that are not allowed).
 
-    asked and allowed: query_id, ref; similar: query_id, ref, id, sim.
+    asked and allowed: query_id, ref; search(followed): query_id, ref, id, sim, the best ``most`` by query, or more,
+    of all rows that the followed references name.
     """
-    followed = asked.join(allowed, ["query_id", "ref"], "left_semi")
-    hits = similar.join(followed, ["query_id", "ref"], "left_semi")
+    followed = asked.join(allowed, ["query_id", "ref"], "left_semi").distinct()
+    hits = search(followed).join(followed, ["query_id", "ref"], "left_semi")
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
     rows = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).withColumn("retrieved_by", F.lit("reference"))
     return rows, asked.join(allowed, ["query_id", "ref"], "left_anti")

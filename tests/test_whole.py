@@ -24,3 +24,11 @@ def test_rank_of_ref_beyond_the_first_eight(spark):
     want = {q: next((k for k, x in enumerate(rows, 1) if x[1] == label), None) for q, (label, rows) in ranking().items()}
     assert max(want.values()) > 8
     assert {r.query_id: r.first_rank for r in QUERIES["rank_of_ref"](spark, SF).collect()} == want
+
+
+def test_follow_refs_takes_from_all_rows_named(spark):
+    want = {q: [x[0] for x in rows if x[1] in (1, 3)][:4] for q, (_, rows) in ranking().items()}
+    got: dict = {q: [] for q in want}
+    for r in sorted(QUERIES["follow_refs"](spark, SF).collect(), key=lambda r: r.rank):
+        got[r.query_id].append(r.id)
+    assert got == want
