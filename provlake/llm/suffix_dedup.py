@@ -17,7 +17,8 @@ neighbours in that order are the same string, decided on the bytes themselves.
 
 Skew: a phrase that is everywhere costs one entry a task. A trigger with more than ``HOT`` different phrases
 is hot: its windows, not its phrases, are then ordered, dealt out by their content, so that no bucket holds
-such a trigger. ``suffix_order`` gives the full corpus order of a shard from the same two suffix arrays.
+such a trigger. No suffix array of
+the parse is built: ``suffix_order``, for tests, breaks ties of dictionary suffixes by the raw text after them.
 
 Cases: null, empty and short texts (under LENGTH bytes) lose nothing; a null doc_id neither removes nor
 loses; rows with equal doc_id do not remove each other's bytes; an empty table gives an empty result; a
