@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import search_tokens
@@ -37,7 +38,7 @@ def _merge_best(best_sim: np.ndarray, best_id: np.ndarray, rows: np.ndarray, ids
     best_id[rows[top], place[top]] = ids[top]
 
 
-def _unit_scorer(ids: np.ndarray, vectors: np.ndarray, tags: np.ndarray | None, k: int):
+def _unit_scorer(ids: np.ndarray, vectors: np.ndarray, tags: np.ndarray | None, k: int, itself: bool = False):
     """A task's k best of its whole partition for each query, in one output."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +55,8 @@ def _unit_scorer(ids: np.ndarray, vectors: np.ndarray, tags: np.ndarray | None,
             for lo in range(0, len(ids), step):
                 q = slice(lo, lo + step)
                 sim = np.round(vectors[q] @ e.T, 6)
-                sim[ids[q, None] == own[None, :]] = -np.inf
+                if not itself:
+                    sim[ids[q, None] == own[None, :]] = -np.inf
                 if tags is not None:
                     sim[tags[q, None] != batch.column(2).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
                 least = best_sim[q, -1]
@@ -68,8 +70,9 @@ def _unit_scorer(ids: np.ndarray, vectors: np.ndarray, tags: np.ndarray | None,
     return run
 
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", id_col: str = "vec_id", vector: str = "embedding", extra: tuple[str, ...] = (), same: tuple[str, str] | None = None, block_mb: int = BLOCK_MB) -> DataFrame:
-    """query_id, id, sim, the extra columns of the corpus, rank <= k. Vectors are of unit length; a query is not its own hit.
+def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", id_col: str = "vec_id", vector: str = "embedding", extra: tuple[str, ...] = (), same: tuple[str, str] | None = None, block_mb: int = BLOCK_MB, itself: bool = False) -> DataFrame:
+    """query_id, id, sim, the extra columns of the corpus, rank <= k. Vectors are of unit length; a query is not its own hit,
+    unless itself is set, for ids that name other things in the queries than in the corpus.
 
     The query set goes to the tasks in blocks of a stated size; each task keeps its k best by query, and the
     final ranking sees no more than that. With same (a column of the queries, one of the corpus), only rows
@@ -89,7 +92,7 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "
             continue
         tags = None if same is None else np.array([r.tag for r in part])
         shared = spark.sparkContext.broadcast((np.array([r.q for r in part], np.int64), np.array([r.v for r in part], np.float64), tags))
-        scored = source.mapInArrow(lambda it, s=shared: _unit_scorer(*s.value, k)(it), "query_id long, id long, sim double")
+        scored = source.mapInArrow(lambda it, s=shared: _unit_scorer(*s.value, k, itself)(it), "query_id long, id long, sim double")
         out = scored if out is None else out.unionByName(scored)
     if out is None:
         out = spark.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in (("query_id", "long"), ("id", "long"), ("sim", "double"))])
@@ -115,6 +118,8 @@ class Places:
         self.counts: dict[int, np.ndarray] = {}
 
     def _place(self, own: np.ndarray) -> np.ndarray:
+        if not len(self.ids):
+            return np.zeros(len(own), np.int64)
         at = np.searchsorted(self.ids, own)
         return 2 * at + (self.ids[np.minimum(at, len(self.ids) - 1)] == own)
 
@@ -231,6 +236,185 @@ def rrf(lists: DataFrame, k: int | None = None, c: int = 60) -> DataFrame:
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
+class Bm25:
+    """BM25 of a bounded set of queries, scored document by document: no pair of query and document is shuffled."""
+
+    def __init__(self, queries: DataFrame, documents: DataFrame, k1: float = 1.5, b: float = 0.75):
+        asked = queries.select("query_id", F.explode(search_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")).collect()
+        self.k1, self.b = k1, b
+        self.terms = pa.array(sorted({r.term for r in asked}), pa.string())
+        self.queries = np.array(sorted({r.query_id for r in asked}), np.int64)
+        self.words = documents.select(F.col("doc_id").alias("id"), F.coalesce(search_tokens(F.col("text")), F.expr("cast(array() as array<string>)")).alias("words"))
+        place = {t: i for i, t in enumerate(self.terms.to_pylist())}
+        stats = dict(tuple(r) for r in self.words.mapInArrow(_term_stats(self.terms), "place long, n long").groupBy("place").agg(F.sum("n")).collect())
+        n = stats.get(-1, 0)
+        self.avgdl = stats.get(-2, 0) / n if n and stats.get(-2, 0) else 1.0
+        df = np.array([stats.get(t, 0) for t in range(len(place))], np.float64)
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        self.weights = np.zeros((len(place), len(self.queries)))
+        for r in asked:
+            self.weights[place[r.term], np.searchsorted(self.queries, r.query_id)] = r.qtf * idf[place[r.term]]
+        self.shared = documents.sparkSession.sparkContext.broadcast((self.terms, self.weights, self.avgdl, k1, b, self.queries))
+
+    def run(self, words: DataFrame, task, schema: str) -> DataFrame:
+        """task(queries, iterator of (ids, scores by document and query)) over the documents of words."""
+        shared = self.shared
+        return words.mapInArrow(lambda it: task(shared.value[-1], _bm25_matrices(it, *shared.value[:-1])), schema)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def _term_places(batch: pa.RecordBatch, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) of the terms in a batch's word lists, and the lengths of the lists."""
+    words = batch.column(1)
+    lengths = np.diff(words.offsets.to_numpy())
+    at = pc.fill_null(pc.index_in(words.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(words)), lengths)[at >= 0]
+    key, tf = np.unique(owner * max(1, len(terms)) + at[at >= 0], return_counts=True)
+    return key // max(1, len(terms)), key % max(1, len(terms)), tf, lengths
+
+
+def _term_stats(terms: pa.Array):
+    """Documents of each term by its place; -1: documents, -2: words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(len(terms), np.int64), 0, 0
+        for batch in _slices(batches):
+            _, term, _, lengths = _term_places(batch, terms)
+            df += np.bincount(term, minlength=len(terms))
+            n, total = n + len(lengths), total + int(lengths.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *range(len(terms))], pa.int64()), pa.array([n, total, *df.tolist()], pa.int64())], ["place", "n"])
+
+    return run
+
+
+def _bm25_matrices(batches: Iterator[pa.RecordBatch], terms: pa.Array, weights: np.ndarray, avgdl: float, k1: float, b: float):
+    for batch in _slices(batches):
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        doc, term, tf, lengths = _term_places(batch, terms)
+        x = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / avgdl))
+        step = max(1, CELLS // max(1, len(terms), weights.shape[1]))
+        for lo in range(0, len(ids), step):
+            hi = min(len(ids), lo + step)
+            p, e = np.searchsorted(doc, (lo, hi))
+            part = np.zeros((hi - lo, len(terms)))
+            part[doc[p:e] - lo, term[p:e]] = x[p:e]
+            yield ids[lo:hi], np.round(part @ weights, 9)
+
+
+def _best_scores(k: int):
+    def task(queries: np.ndarray, matrices) -> Iterator[pa.RecordBatch]:
+        best, best_id = np.full((len(queries), k), -np.inf), np.zeros((len(queries), k), np.int64)
+        for own, s in matrices:
+            s = np.where(s > 0, s, -np.inf).T
+            least = best[:, -1]
+            if len(own) > k:
+                least = np.maximum(least, np.partition(s, len(own) - k, axis=1)[:, len(own) - k])
+            rows, cols = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+            _merge_best(best, best_id, rows, own[cols], s[rows, cols])
+        rows, cols = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(queries[rows]), pa.array(best_id[rows, cols]), pa.array(best[rows, cols])], ["query_id", "id", "value"])
+
+    return task
+
+
+def _all_scores(queries: np.ndarray, matrices) -> Iterator[pa.RecordBatch]:
+    for own, s in matrices:
+        rows, cols = np.nonzero(s > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(queries[cols]), pa.array(own[rows]), pa.array(s[rows, cols])], ["query_id", "id", "value"])
+
+
+def _score_counter(shared):
+    """Scored documents before each target: kind 0 by score and id, kind 1 by id alone; kind 2, query 0: documents by id."""
+
+    def task(queries: np.ndarray, matrices) -> Iterator[pa.RecordBatch]:
+        scored, by_id, every = (Places(t) for t in shared.value)
+        for own, s in matrices:
+            for q, col in zip(queries.tolist(), s.T, strict=True):
+                hit = col > 0
+                if q in scored.keys:
+                    scored.add(q, col[hit], own[hit])
+                if q in by_id.keys:
+                    by_id.add(q, np.zeros(hit.sum()), own[hit])
+            if 0 in every.keys:
+                every.add(0, np.zeros(len(own)), own)
+        for kind, places in enumerate((scored, by_id, every)):
+            out = places.rows()
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * out.num_rows, pa.int64()), *out.columns], ["kind", *out.schema.names])
+
+    return task
+
+
+def hybrid(queries: DataFrame, documents: DataFrame, embed: Callable[[Column], Column], k: int = 8, c: int = 60) -> DataFrame:
+    """query_id, id, score, rank <= k: fusion of the BM25 and the cosine ranking of all documents. queries: query_id, text.
+
+    In each ranking every document has a place; those without a term of the query come last in BM25, by id, and those
+    without tokens are in no cosine ranking. Nothing is lost by fusing few: the first k of a list score 1 / (c + k) or
+    more, and a document behind place m = c + 2k of both lists at most 2 / (c + m + 1), which is less. So the first m
+    of either list are taken, and their places in the other list counted over the whole corpus. doc_id is unique; the
+    queries are a bounded set, whose candidates (about 2m each) go to the tasks.
+    """
+    spark = documents.sparkSession
+    m = c + 2 * k
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "text")
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bm25, pair = Bm25(queries, documents), "query_id long, id long, value double"
+    asked = queries.select("query_id", embed(F.col("text")).alias("embedding"))
+    corpus = documents.select(F.col("doc_id").alias("vec_id"), embed(F.col("text")).alias("embedding"))
+    dense = cosine_topk(asked, corpus, m, itself=True).select("query_id", "id", "sim").collect()
+    lexical = top_ranked(bm25.run(bm25.words, _best_scores(m), pair), m, score="value", id_col="id").collect()
+    least = [r[0] for r in documents.select("doc_id").orderBy("doc_id").limit(2 * m).collect()]
+    every = {r[0] for r in queries.select("query_id").distinct().collect()}
+    found: dict[int, set[int]] = {q: set() for q in every}
+    for r in lexical:
+        found[r.query_id].add(r.id)
+    pairs = {(r.query_id, r.id) for r in dense} | {(r.query_id, r.id) for r in lexical}
+    for q, ids in found.items():  # lists of fewer scored documents than m go on with the others, by id
+        pairs |= {(q, i) for i in [i for i in least if i not in ids][: max(0, m - len(ids))]}
+    if not pairs:
+        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
+    candidates = spark.createDataFrame(sorted(pairs), "query_id long, id long")
+    # both values of every candidate, by the same code that ranks the others
+    few = candidates.select("id").distinct()
+    score = {(r.query_id, r.id): r.value for r in bm25.run(bm25.words.join(F.broadcast(few), "id", "left_semi"), _all_scores, pair).join(candidates, ["query_id", "id"], "left_semi").collect()}
+    with_term = [(*p, score[p]) for p in sorted(pairs) if p in score]
+    without = [(*p, 0.0) for p in sorted(pairs) if p not in score]
+    vectors = {r.vec_id: np.array(r.embedding, np.float64) for r in documents.join(F.broadcast(few), documents["doc_id"] == few["id"], "left_semi").select(F.col("doc_id").alias("vec_id"), embed(F.col("text")).alias("embedding")).collect() if r.embedding is not None}
+    of_query = {r.query_id: np.array(r.embedding, np.float64) for r in asked.collect() if r.embedding is not None}
+    near = [(q, i, float(np.round(of_query[q] @ vectors[i], 6))) for q, i in sorted(pairs) if q in of_query and i in vectors]
+    place = cosine_places(asked, corpus, spark.createDataFrame(near, "query_id long, id long, sim double"), itself=True).select("query_id", "id", "rank", F.lit(1).alias("list_idx"))
+    # the first counts give the places of scored candidates; the others come after all scored documents, by id
+    every_id = [(0, i, 0.0) for i in {i for _, i, _ in without}]
+    targets = spark.sparkContext.broadcast((with_term, without, every_id))
+    counts: list[dict[int, dict[int, int]]] = [{}, {}, {}]
+    for r in bm25.run(bm25.words, _score_counter(targets), f"kind long, {_COUNTS}").groupBy("kind", "query_id", "place").agg(F.sum("n").alias("n")).collect():
+        counts[r.kind].setdefault(r.query_id, {})[r.place] = r.n
+    all_before = _before(every_id, counts[2])
+    ranks = [(q, i, 1 + n) for (q, i), n in _before(with_term, counts[0]).items()]
+    for (q, i), n in _before(without, counts[1]).items():
+        ranks.append((q, i, 1 + sum(counts[1].get(q, {}).values()) + all_before[0, i] - n))
+    lists = place.unionByName(spark.createDataFrame(ranks, "query_id long, id long, rank long").withColumn("list_idx", F.lit(0)))
+    return rrf(lists, k, c)
+
+
+def _before(targets: list[tuple[int, int, float]], counts: dict[int, dict[int, int]]) -> dict[tuple[int, int], int]:
+    """(query_id, id) of targets -> how many counted rows go before it."""
+    by: dict[int, list[tuple[float, int]]] = {}
+    for q, i, value in targets:
+        by.setdefault(q, []).append((-value, i))
+    out = {}
+    for q, rows in by.items():
+        total = 0
+        for at, (_, i) in enumerate(sorted(rows)):
+            total += counts.get(q, {}).get(at, 0)
+            out[q, i] = total
+    return out
+
+
 def pool_best(lists: DataFrame) -> DataFrame:
     """Of each query and id the row of highest sim; ties to the first list, then rank."""
     w = Window.partitionBy("query_id", "id").orderBy(F.desc("sim"), "list_idx", "rank")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import refs as R
 from .functions import text as T
+from .functions.plugins import hashed_embedding
 from .operators import chunking as C
 from .operators import labels as L
 from .operators import retrieval as V
@@ -230,9 +231,9 @@ def bm25_topk(spark, d):
 UNION ALL SELECT query_id, id, 1, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, id) AS rank FROM sc QUALIFY rank <= 50)
 """ + _FUSED.format(lists="lists") + " QUALIFY rank <= 8")
 def hybrid_topk(spark, d):
-    scores = _bm25(spark, d)
-    lists = V.top_ranked(scores, 50, id_col="id").withColumn("list_idx", F.lit(0)).unionByName(V.top_ranked(scores, 50, score="matched", id_col="id", digits=0).withColumn("list_idx", F.lit(1)))
-    return V.rrf(lists, 8)
+    """BM25 and hashed embeddings over all documents; the SQL fuses two cut lists, of BM25 and of matched terms."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return V.hybrid(asked, table(spark, d, "documents"), hashed_embedding, 8)
 
 
 # --- provisions, units, chunks ---------------------------------------------------------------------------
