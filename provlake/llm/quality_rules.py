@@ -5,6 +5,8 @@ A policy is a version with the rules that count; applying it is ``fail_mask & po
 ablation (what would be kept without a rule, what one rule alone removes) comes from the histogram of
 masks, of at most 2^rules rows, without another look at a text.
 
+Words and lines are numbered by hash and the numbers confirmed byte by byte, so that counts are of equal texts.
+
 Words are runs of characters other than \\x20 and \\x09-\\x0D. Cases: a null or empty text has no words and
 fails min_words; measurements that divide by a count of none are 0; repeated rows are measured each for
 itself; an empty table gives an empty ledger; extra columns are not read.
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textprims import NONSPACE, doc_of, mix64, pieces, prefix_hash, span_hash, word_spans
+from .textprims import NONSPACE, doc_of, identities, mix64, pieces, prefix_hash, word_spans
 from .workspace import bounded_batches
 
 WINDOW = 5
@@ -67,19 +69,33 @@ _LEAD = np.ones(256, bool)
 _LEAD[0x80:0xC0] = False
 
 
-def _repeated(first: np.ndarray, h: np.ndarray, owner: np.ndarray, n_words: int) -> np.ndarray:
-    """For each word whether a window that starts at one of first[i] and occurs again in its document covers it."""
-    covered = np.zeros(n_words + WINDOW, np.int32)
+def _alike(columns: list[np.ndarray]) -> np.ndarray:
+    """Whether each row of the columns occurs again; rows are grouped by hash and then compared."""
+    h = columns[0].astype(np.uint64)
+    for c in columns[1:]:
+        h = mix64(h * np.uint64(0x9FB21C651E98DF25) + c.astype(np.uint64))
+    order = np.argsort(h, kind="stable")
+    near = h[order][1:] == h[order][:-1]
+    same = near.copy()
+    for c in columns:
+        same &= c[order][1:] == c[order][:-1]
+    if (same != near).any():  # equal hashes of different rows
+        order = np.lexsort(columns)
+        same = np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in columns])
+    out = np.zeros(len(h), bool)
+    out[order[1:]] |= same
+    out[order[:-1]] |= same
+    return out
+
+
+def _repeated(first: np.ndarray, number: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each word whether a window that starts at one of first and occurs again in its document covers it."""
+    covered = np.zeros(len(number) + WINDOW, np.int32)
     if len(first):
-        key = mix64(h + owner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        hit = np.zeros(len(first), bool)
-        hit[order[1:]] |= same
-        hit[order[:-1]] |= same
+        hit = _alike([owner[first], *(number[first + k] for k in range(WINDOW))])
         np.add.at(covered, first[hit], 1)
         np.add.at(covered, first[hit] + WINDOW, -1)
-    return np.cumsum(covered)[:n_words] > 0
+    return np.cumsum(covered)[: len(number)] > 0
 
 
 def measure(column: pa.Array) -> np.ndarray:
@@ -90,7 +106,6 @@ def measure(column: pa.Array) -> np.ndarray:
         starts, ends = word_spans(buf, NONSPACE)
         owner = doc_of(starts, docs)
         prefix = prefix_hash(buf)
-        words = span_hash(prefix, starts, ends)
         r = out[lo:hi]
         r[:, 0] = np.bincount(owner, minlength=n)
         lead = _LEAD[buf] & NONSPACE[buf]
@@ -103,10 +118,8 @@ def measure(column: pa.Array) -> np.ndarray:
         r[:, 2], r[:, 6], r[:, 7], r[:, 8] = (per_doc(t[buf]) for t in (_SYMBOL, _LETTER, _UPPER, _MARK))
         if len(starts) >= WINDOW:
             first = np.flatnonzero(owner[: len(owner) - WINDOW + 1] == owner[WINDOW - 1 :])
-            h = np.zeros(len(first), np.uint64)
-            for k in range(WINDOW):
-                h = h * np.uint64(0x9FB21C651E98DF25) + words[first + k]
-            covered = _repeated(first, h, owner[first], len(starts))
+            words, _ = identities(buf, starts, ends, prefix)
+            covered = _repeated(first, words, owner)
             r[:, 4] = np.bincount(owner, weights=covered, minlength=n).astype(np.int64)
         # lines: every document's last line ends at the \n that pieces() puts after it
         nl = np.flatnonzero(buf == 10)
@@ -116,9 +129,9 @@ def measure(column: pa.Array) -> np.ndarray:
         ls, le = ls[worded], nl[worded]
         if len(ls):
             lo_of = doc_of(ls, docs)
-            key = mix64(span_hash(prefix, ls, le) + lo_of.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            _, at = np.unique(key, return_index=True)
-            dup = np.ones(len(key), bool)
+            line, _ = identities(buf, ls, le, prefix)
+            _, at = np.unique(line + lo_of * (int(line.max()) + 1), return_index=True)
+            dup = np.ones(len(line), bool)
             dup[at] = False
             r[:, 3] = np.bincount(lo_of, weights=dup, minlength=n).astype(np.int64)
             r[:, 5] = np.bincount(lo_of, minlength=n)

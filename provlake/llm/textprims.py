@@ -13,9 +13,11 @@ import pyarrow as pa
 
 PIECE_BYTES = 1 << 20
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
-_INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+#: Hashes are polynomials of the bytes modulo the prime 2^61 - 1, at a base drawn once for this code.
+_P = _U((1 << 61) - 1)
+_PRIME, _BASE = (1 << 61) - 1, 0x1C3A5D9B47E2F681
+#: Bytes of a span that one difference of running sums can hold without overflow.
+_RUN = 1 << 22
 _POWERS: dict[str, np.ndarray] = {}
 
 #: Bytes of white space \x20 and \x09-\x0D.
@@ -36,28 +38,98 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n + 1:
-        size = max(n + 1, PIECE_BYTES * 2)
-        for key, base in (("up", _BASE), ("down", _INV)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[key] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+def _reduce(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^61 - 1, up to one multiple."""
+    return (x & _P) + (x >> _U(61))
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """S with S[i] the weighted byte sum of buf[:i]; see span_hash."""
-    out = np.zeros(len(buf) + 1, np.uint64)
-    up, _ = _powers(len(buf))
-    np.cumsum(_TABLE[buf] * up[: len(buf)], out=out[1:])
+def mul61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^61 - 1, for factors below 2^61."""
+    a1, a0, b1, b0 = a >> _U(31), a & _U(0x7FFFFFFF), b >> _U(31), b & _U(0x7FFFFFFF)
+    mid = a1 * b0 + a0 * b1
+    x = _reduce(a1 * b1 * _U(2) + (mid >> _U(30)) + ((mid & _U(0x3FFFFFFF)) << _U(31)) + a0 * b0)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _power_table(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = mul61(out[:more], np.full(more, pow(base, done, _PRIME), np.uint64))
+        done += more
+    return out
+
+
+def _powers(n: int) -> dict[str, np.ndarray]:
+    """Powers of the base (high and low part) and of its inverse; tables for one overlong text are not kept."""
+    if len(_POWERS.get("down", ())) >= n:
+        return _POWERS
+    size = max(n, PIECE_BYTES * 2)
+    up = _power_table(_BASE, size)
+    out = {"high": (up >> _U(32)).astype(np.uint32), "low": up.astype(np.uint32), "down": _power_table(pow(_BASE, -1, _PRIME), size)}
+    if size <= PIECE_BYTES * 4:
+        _POWERS.update(out)
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of buf[start:end], the same for equal bytes wherever they stand."""
-    _, down = _powers(len(prefix))
-    return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
+class Sums:
+    """Running sums of a buffer's bytes times powers of the base, in two parts."""
+
+    def __init__(self, buf: np.ndarray):
+        powers = _powers(len(buf) + 1)
+        byte = buf.astype(np.uint64) + _U(1)
+        self.down = powers["down"]
+        self.high, self.low = (np.zeros(len(buf) + 1, np.uint64) for _ in range(2))
+        np.cumsum(byte * powers["high"][: len(buf)], out=self.high[1:])
+        np.cumsum(byte * powers["low"][: len(buf)], out=self.low[1:])
+
+    def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        high, low = _reduce(self.high[end] - self.high[start]), _reduce(self.low[end] - self.low[start])
+        x = _reduce(((high & _U(0x1FFFFFFF)) << _U(32)) + (high >> _U(29)) + low)
+        return np.where(x >= _P, x - _P, x)
+
+
+def prefix_hash(buf: np.ndarray) -> Sums:
+    """What span_hash needs of a buffer."""
+    return Sums(buf)
+
+
+def span_hash(prefix: Sums, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of buf[start:end], the same for equal bytes wherever they stand (61 bits tell spans apart)."""
+    start, end = np.asarray(start), np.asarray(end)
+    total = prefix.between(start, np.minimum(end, start + _RUN))
+    for i in np.flatnonzero(end - start > _RUN):  # a span of many MB, by runs
+        for at in range(int(start[i]) + _RUN, int(end[i]), _RUN):
+            total[i] = (int(total[i]) + int(prefix.between(np.array([at]), np.array([min(at + _RUN, int(end[i]))]))[0])) % _PRIME
+    return mix64(mul61(total, prefix.down[start]))
+
+
+def identities(buf: np.ndarray, start: np.ndarray, end: np.ndarray, prefix: Sums | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(a number for each span, the first span of each number): equal numbers exactly where the bytes are equal."""
+    h = span_hash(prefix_hash(buf) if prefix is None else prefix, start, end)
+    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    size, rep = end - start, first[number]
+    same = bool((size == size[rep]).all())
+    check = np.flatnonzero(rep != np.arange(len(rep)))
+    total = np.cumsum(size[check])
+    for part in np.split(check, np.searchsorted(total, np.arange(PIECE_BYTES, int(total[-1]) if len(total) else 0, PIECE_BYTES))):
+        if same and len(part):
+            n = size[part]
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            same = bool((buf[np.repeat(start[part], n) + k] == buf[np.repeat(start[rep[part]], n) + k]).all())
+    if same:
+        return number, first
+    # hashes of different bytes were equal: by the bytes themselves
+    data, known = buf.tobytes(), {}
+    number = np.array([known.setdefault(data[s:e], len(known)) for s, e in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+    return number, np.unique(number, return_index=True)[1]
+
+
+def heads(buf: np.ndarray, start: np.ndarray, width: int = 16) -> np.ndarray:
+    """The ``width`` bytes (a multiple of 8) from each position as little-endian numbers, a row each; zeros past the end."""
+    padded = np.concatenate((buf, np.zeros(width, np.uint8)))
+    return np.ndarray((len(buf) + 1,), f"V{width}", padded, strides=(1,))[start].view("<u8").reshape(-1, width // 8)
 
 
 def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -3,7 +3,7 @@
 Documents in ascending doc_id order (nulls first, ties by text) are encoded whole with a public tokenizer
 and end with ``end_id``. Runs of documents become shards of about ``shard_tokens`` ids. In a shard, Re-Pair
 repeatedly replaces the most frequent pairs of neighbouring ids by new symbols (many disjoint pairs in a
-round, never across documents), until no pair is frequent enough or symbols would pass 16 bits.
+round, never across documents), until no pair occurs ``LEAST`` times or the 16 bits of symbols are used up.
 
 File format: a Parquet table with one row a shard, so that writing, retrying and reading back work in any
 store Spark knows. Columns: ``part`` (doc_id range), ``shard`` (order within it), ``start`` (ids before it in its part), ``n_docs``, ``n_tokens``,
@@ -29,15 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textprims import pieces, prefix_hash, span_hash
+from .textprims import heads, mix64, pieces
 from .workspace import Workspace, bounded_batches, shuffle_parts
 
 SHARD_TOKENS = 1 << 20
-ROUNDS, PAIRS_A_ROUND, SLOT_BITS = 12, 2048, 18
+#: A pair is replaced if it occurs so often; most pairs of a round; bits of the slots that count them.
+LEAST, PAIRS_A_ROUND, SLOT_BITS = 4, 8192, 18
 #: Chunks that are encoded as one text.
 JOINT = 512
-#: Slots of a worker's table of known chunks, and ids that it holds at most before it starts anew.
-CACHE_SLOTS, CACHE_IDS = 1 << 22, 1 << 24
+#: Bytes of a chunk that the table of known chunks can hold, its slots, and ids that it refers to at most before it starts anew.
+SHORT, CACHE_SLOTS, CACHE_IDS = 16, 1 << 21, 1 << 24
+#: Longer chunks that are kept, by their bytes: most chunks, and most bytes of one.
+LONG_KEPT, LONG_BYTES = 1 << 15, 256
 
 SHARD_SCHEMA = "first_id long, first_null boolean, part int, shard int, start long, n_docs long, n_tokens long, doc_ids binary, null_ids binary, doc_tokens binary, doc_symbols binary, n_base int, wide boolean, rules binary, lengths binary, symbols binary"
 
@@ -55,6 +58,8 @@ for _a in (1, 2, 3):
         _CUT[_a, _b] = _a != _b
     _CUT[_a, 5] = _CUT[_a, 6] = True
 _CUT[4, 5] = _CUT[4, 6] = _CUT[1, 4] = _CUT[2, 4] = True
+#: Masks that keep the first k of 8 bytes.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _WORKER: dict = {}
 
 
@@ -74,8 +79,8 @@ def cuts(buf: np.ndarray) -> np.ndarray:
 class Encoder:
     """Whole-text encoding through the tokenizers library, each chunk between cuts once while it stays known.
 
-    Known chunks are in a two-way table of fixed size; a chunk that finds both of its places taken replaces
-    the second.
+    Known chunks of up to 16 bytes are in a two-way table of fixed size that holds the bytes themselves; a chunk
+    that finds both of its places taken replaces the second. Longer ones are in a bounded dictionary, by bytes.
     """
 
     def __init__(self, path: str):
@@ -92,13 +97,13 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.key = np.zeros(CACHE_SLOTS, np.uint64)
-        self.start = np.zeros(CACHE_SLOTS, np.int32)
-        self.size = np.zeros(CACHE_SLOTS, np.uint16)
+        #: 8 bytes, 8 bytes, and (first id << 32 | ids << 8 | bytes): 0 where free
+        self.table = np.zeros((CACHE_SLOTS, 3), np.uint64)
+        self.long: dict[bytes, tuple[int, int]] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
-    def _learn(self, keys: np.ndarray, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Encode new chunks; where their ids start and how many they are.
 
         Chunks of one space and then ASCII go many to a text: they are cut apart there too, and the widths of
@@ -123,16 +128,55 @@ class Encoder:
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.ids[self.used : self.used + total] = np.concatenate((flat_alone, flat_many))
         self.used += total
-        short = size < 65536
-        a, b = self._places(keys)
-        at = np.where(self.key[a] == 0, a, b)[short]
-        self.key[at], self.start[at], self.size[at] = keys[short], start[short], size[short]
         return start, size
 
-    @staticmethod
-    def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _known(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of chunks start, and how many they are; new ones are encoded."""
+        n = ends - starts
+        run, size = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        short = np.flatnonzero(n <= SHORT)
+        k = n[short]
+        key = np.empty((len(short), 3), np.uint64)
+        key[:, :2] = heads(buf, starts[short], SHORT)
+        key[:, 0] &= _KEEP[np.minimum(k, 8)]
+        key[:, 1] &= _KEEP[np.clip(k - 8, 0, 8)]
+        key[:, 2] = k
+        h = mix64(key[:, 0] * np.uint64(0x9E3779B97F4A7C15) + mix64(key[:, 1] ^ key[:, 2] << np.uint64(57)))
         mask = np.uint64(CACHE_SLOTS - 1)
-        return (keys & mask).astype(np.int64), (keys >> np.uint64(32) & mask).astype(np.int64)
+        first, second = (h & mask).astype(np.int64), (h >> np.uint64(32) & mask).astype(np.int64)
+        got = np.take(self.table, first, axis=0)
+        miss = np.flatnonzero(~self._equal(got, key))
+        got[miss] = np.take(self.table, second[miss], axis=0)
+        miss = miss[~self._equal(got[miss], key[miss])]
+        run[short], size[short] = got[:, 2] >> np.uint64(32), got[:, 2] >> np.uint64(8) & np.uint64(0xFFFFFF)
+        data = buf.tobytes() if len(miss) or len(short) < len(n) else b""
+        if len(miss):
+            _, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            if not (key[miss] == key[miss[one]][back]).all():  # equal hashes of different chunks
+                _, one, back = np.unique(key[miss], axis=0, return_index=True, return_inverse=True)
+                back = back.ravel()
+            new = miss[one]
+            at = starts[short[new]].tolist()
+            new_start, new_size = self._learn([data[s:e].decode("utf-8", "replace") for s, e in zip(at, ends[short[new]].tolist(), strict=True)])
+            run[short[miss]], size[short[miss]] = new_start[back], new_size[back]
+            place = np.where(self.table[first[new], 2] == 0, first[new], second[new])
+            self.table[place] = np.stack([key[new, 0], key[new, 1], new_start.astype(np.uint64) << np.uint64(32) | new_size.astype(np.uint64) << np.uint64(8) | key[new, 2]], 1)
+        rest = np.flatnonzero(n > SHORT)
+        if len(rest):
+            texts = [data[s:e] for s, e in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+            new_texts = list(dict.fromkeys(t for t in texts if t not in self.long))
+            if len(self.long) + len(new_texts) > LONG_KEPT:
+                self.long, new_texts = {}, list(dict.fromkeys(texts))
+            new_start, new_size = self._learn([t.decode("utf-8", "replace") for t in new_texts])
+            own = dict(zip(new_texts, zip(new_start.tolist(), new_size.tolist(), strict=True), strict=True))
+            found = np.array([own.get(t) or self.long[t] for t in texts], np.int64)
+            run[rest], size[rest] = found[:, 0], found[:, 1]
+            self.long.update({t: x for t, x in own.items() if len(t) <= LONG_BYTES})
+        return run, size
+
+    @staticmethod
+    def _equal(entry: np.ndarray, key: np.ndarray) -> np.ndarray:
+        return (entry[:, 0] == key[:, 0]) & (entry[:, 1] == key[:, 1]) & (entry[:, 2] & np.uint64(0xFF) == key[:, 2])
 
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, ids of each document) of consecutive rows."""
@@ -152,45 +196,33 @@ class Encoder:
             starts, ends = starts[:-1], starts[1:] - new_doc[starts[1:]]
             keep = ends > starts
             starts, ends = starts[keep], ends[keep]
-            h = span_hash(prefix_hash(buf), starts, ends)
-            h[h == 0] = 1
             if self.used > CACHE_IDS:
                 self.reset()
-            at, _ = self._places(h)
-            miss = np.flatnonzero(self.key[at] != h)
-            _, second = self._places(h[miss])
-            at[miss] = second
-            miss = miss[self.key[second] != h[miss]]
-            run, size = self.start[at].astype(np.int64), self.size[at].astype(np.int64)
-            if len(miss):
-                new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-                first = miss[first]
-                chunks = [data[s:e].decode("utf-8", "replace") for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-                new_start, new_size = self._learn(new, chunks)
-                run[miss], size[miss] = new_start[back], new_size[back]
+            run, size = self._known(buf, starts, ends)
             total = np.concatenate(([0], np.cumsum(size)))
             ids = self.ids[np.repeat(run - total[:-1], size) + np.arange(total[-1])]
             yield ids, np.diff(total[np.searchsorted(starts, docs)])
 
 
-def repair(ids: np.ndarray, doc_tokens: np.ndarray, n_base: int, least: int | None = None, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pair_slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - SLOT_BITS)
+
+
+def repair(ids: np.ndarray, doc_tokens: np.ndarray, n_base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols of each document, rules). Rule i, of two symbols below it, has symbol n_base + i.
 
-    A round takes the pairs that occur most, at least ``least`` times (default: a 16384th of the ids, 4 at
-    least), and replaces their occurrences from left to right.
+    A round takes the pairs that occur most, at least ``least`` times, and replaces their occurrences from left
+    to right; rounds go on until no pair does or there is no room for rules.
     """
     seq = ids.astype(np.uint32)
-    least = least or max(4, len(ids) >> 14)
     last = np.zeros(len(seq), bool)  # the last symbol of a document pairs with nothing
     last[np.cumsum(doc_tokens)[doc_tokens > 0] - 1] = True
     rules: list[np.ndarray] = []
     n_rules, room = 0, max(0, min(65536 - n_base, 1 << 15)) if n_base <= 65536 else 1 << 15
-    for _ in range(rounds):
-        if len(seq) < 2 or n_rules >= room:
-            break
+    while len(seq) > 1 and n_rules < room:
         open_ = ~last[:-1]
         # counts by hash first: only pairs in full slots are counted exactly
-        slot = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - SLOT_BITS)
+        slot = _pair_slot(seq[:-1], seq[1:])
         full = np.bincount(slot[open_], minlength=1 << SLOT_BITS) >= least
         at = np.flatnonzero(full[slot] & open_)
         pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
@@ -203,9 +235,16 @@ def repair(ids: np.ndarray, doc_tokens: np.ndarray, n_base: int, least: int | No
             break
         take = np.argsort(-counts, kind="stable")[: min(PAIRS_A_ROUND, room - n_rules)]
         keys = np.sort(keys[take])
-        found = np.searchsorted(keys, pair)
-        found[found == len(keys)] = 0
-        hit = keys[found] == pair
+        key_slot = _pair_slot((keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32))
+        place = np.full(1 << SLOT_BITS, -1, np.int32)
+        place[key_slot] = np.arange(len(keys))
+        found = place[slot[at]]
+        # of keys that share a slot one is there; the others are searched for
+        shared = np.zeros(1 << SLOT_BITS, bool)
+        shared[key_slot[place[key_slot] != np.arange(len(keys))]] = True
+        again = np.flatnonzero(shared[slot[at]])
+        found[again] = np.minimum(np.searchsorted(keys, pair[again]), len(keys) - 1)
+        hit = (found >= 0) & (keys[found] == pair)
         at, found = at[hit], found[hit]
         # overlapping occurrences come in runs of neighbours: every other one, from the left
         head = np.ones(len(at), bool)
