@@ -79,6 +79,34 @@ def test_near_duplicates_cases(spark, real):
     assert near_dup.keep_one(frame(spark, rows)).columns == frame(spark, rows).columns
 
 
+def test_texts_that_collide_modulo_two_to_the_64(spark):
+    """The order of Thue and Morse and its complement have equal polynomials modulo 2^64, whatever the odd base."""
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    assert quality_rules.measure(pa.array([f"{one}\n{two}", f"{one} x y z q {two} x y z q", f"{one}\n{one}"]))[:, 3:5].tolist() == [[0, 0], [0, 0], [1, 0]]
+    enc = token_output.Encoder(tokenizer_path())
+    got = [x.tolist() for ids, n in enc.encode(pa.array([one, two])) for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [e.ids for e in enc.tok.encode_batch([one, two], add_special_tokens=False)] and got[0] != got[1]
+    tail = " ".join(f"w{i}" for i in range(8))
+    rows = [(1, f"{one} {tail}", "en", "a"), (2, f"{two} {tail}", "en", "a")]
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, rows), 1, 90).collect()} == {1: 1, 2: 2}
+    rows = [(i, "x" * 60 + t + "y" * 60, "en", "a") for i, t in enumerate((one, two))]
+    got = {r.doc_id: tuple(r) for r in suffix_dedup.repeat_digest(suffix_dedup.find_repeats(frame(spark, rows))).collect()}
+    assert got == {r[0]: r for r in brute.repeats([r[:2] for r in rows])}
+
+
+def test_identities_fall_back_to_bytes(monkeypatch):
+    from provlake.llm import textprims
+
+    buf = np.frombuffer(b"ab cd ab ef cd gh", np.uint8)
+    start = np.array([0, 3, 6, 9, 12, 15])
+    want = [[i == j for j in (0, 1, 0, 2, 1, 3)] for i in (0, 1, 0, 2, 1, 3)]
+    for _ in range(2):
+        number, first = textprims.identities(buf, start, start + 2)
+        assert (number[:, None] == number[None, :]).tolist() == want and (number[first] == np.arange(4)).all()
+        monkeypatch.setattr(textprims, "span_hash", lambda prefix, s, e: np.zeros(len(s), np.uint64))
+
+
 def test_sketch_estimates_and_merges():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
@@ -132,8 +160,10 @@ def test_contamination(spark, odd):
     for block in (decontaminate.BLOCK_BYTES, 2000):
         got = decontaminate.contamination_digest(decontaminate.find_contamination(frame(spark, odd), bench, block_bytes=block))
         assert sorted(map(tuple, got.collect()), key=str) == want
-    kept = decontaminate.drop_contaminated(frame(spark, odd), bench)
-    assert kept.columns == frame(spark, odd).columns and {r.doc_id for r in kept.collect()} == {w[0] for w in want if not w[5]}
+        kept = decontaminate.drop_contaminated(frame(spark, odd), bench, block_bytes=block)
+        assert kept.columns == frame(spark, odd).columns and {r.doc_id for r in kept.collect()} == {w[0] for w in want if not w[5]}
+    plan = decontaminate.drop_contaminated(frame(spark, odd), bench)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
     none = decontaminate.find_contamination(frame(spark, odd), bench.limit(0))
     assert none.filter(F.size("hits") > 0).count() == 0 and none.count() == len(odd)
     assert decontaminate.find_contamination(empty(spark), bench).count() == 0
@@ -144,13 +174,34 @@ def items_text(odd):
 
 
 def test_offsets_map_to_the_original():
-    auto = decontaminate.build_automaton([("a", "Big é cat")], 10)
     text = "x -- BIG,  é\ncat! y"
-    _, ranges, _ = decontaminate.scan(text, auto)
+    _, ranges, _ = decontaminate.Matcher([("a", "Big é cat")]).scan(text)
     ((s, e),) = decontaminate.original_offsets(text, ranges)
     assert text[s:e] == "BIG,  é\ncat"
 
 
+def test_matcher_against_plain_windows():
+    rng = random.Random(1)
+    for _ in range(60):
+        words = [f"w{i}" for i in range(rng.choice([2, 5, 30]))]
+        items = [(str(i), " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 5, 9, 10, 11, 25])))) for i in range(12)] + [(None, "w1 w2"), ("x", None)]
+        docs = [(i, " ".join(rng.choice([*words, "zz"]) for _ in range(rng.randint(0, 60))) + " " + (rng.choice(items)[1] or "")) for i in range(20)]
+        matcher = decontaminate.Matcher(items)
+        for (_, text), want in zip(docs, brute.contamination(docs, items), strict=True):
+            n, ranges, found = matcher.scan(text)
+            assert (n, sum(e - s for s, e in ranges), len(found)) == want[1:4]
+
+
+def test_matcher_of_a_large_benchmark_is_small():
+    rng = np.random.default_rng(3)
+    words = [f"{a}{b}" for a in "abcdefghijklmnop" for b in range(2000)]
+    items = [(str(i), " ".join(words[k] for k in rng.integers(0, len(words), 200))) for i in range(700)]
+    matcher = decontaminate.Matcher(items)
+    nodes = matcher.auto.get_stats()["nodes_count"]
+    assert nodes < 3 * len(matcher.flat)  # not ten nodes and more for each word
+    assert matcher.scan("x " + items[9][1].upper() + " y")[1:] == ([(1, 201)], {"9"})
+
+
 def test_personal_data(spark, odd):
     tricky = "a@b.c.d_e@f.g %x@y.zz 1.2.3.4.5.6.7.8 999.1.1.1 012.3.4.5 4111 1111 1111 1111 41111111111111112 +1 (017) 555-7713 +12 +1-2-3-4-5-6-7-8-9-0-1-2-3-4-5-6 é@x.y +4.9.(0"
     rows = odd + [(3000, tricky, "en", "s"), (3001, "9" * 40000, "en", "s"), (3002, "7 " * 20000 + "a" * 30000, "en", "s"), (3003, "+" * 3000 + "a@" * 3000, "en", "s")]
