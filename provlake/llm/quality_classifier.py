@@ -7,8 +7,8 @@ a task nor the driver sees more than a fixed number of tables. Tokens are runs o
 lower case) and runs of marks; each word also gives a shape token (case, length, repeat of the word before).
 
 A document is the mean of its tokens' vectors and the mean of its shapes' vectors. The network of two layers
-is trained in numpy on a bounded sample of labelled documents (``SAMPLE`` of each class, no longer than
-``LONGEST`` characters); a fifth of it is kept for the temperature of the probabilities.
+is trained in numpy, in one task (``training``), on a bounded sample of labelled documents (``SAMPLE`` of each
+class, no longer than ``LONGEST`` characters); a fifth of it is kept for the temperature of the probabilities.
 
 Cases: null and empty texts and texts without tokens pool to zeros and are scored like others; a document
 with several label rows takes the highest; null labels are left out; without labels of both classes every
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .recurrent import Adam
 from .textprims import LOWER, SPACE, doc_of, pieces, prefix_hash, span_hash
-from .toxicity import labelled_sample, training_row
+from .training import fit_apart, labelled_sample, training_row
 from .workspace import Workspace, bounded_batches
 
 SLOTS, DIM, NONZERO, REACH = 1 << 13, 32, 4, 2
@@ -205,8 +205,13 @@ def _scorer(shared):
 def fit_quality(documents: DataFrame, labels: DataFrame, keep: Column | None = None) -> tuple[np.ndarray, dict]:
     """(word vectors, network)."""
     vectors = word_vectors(documents)
+    shared = documents.sparkSession.sparkContext.broadcast(vectors)
+
+    def train(sample: list[tuple[str, int]], share: float) -> dict:
+        return train_network(pool(shared.value, pa.array([t for t, _ in sample], pa.string())), np.array([y for _, y in sample], np.float32), share)
+
     sample, share = labelled_sample(documents, labels, "quality", training_row(3, 1) if keep is None else keep, SAMPLE, LONGEST)
-    return vectors, train_network(pool(vectors, pa.array([t for t, _ in sample], pa.string())), np.array([y for _, y in sample], np.float32), share)
+    return vectors, fit_apart(sample, share, train)
 
 
 def score_quality(documents: DataFrame, model: tuple[np.ndarray, dict]) -> DataFrame:

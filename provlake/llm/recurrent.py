@@ -1,7 +1,7 @@
 """A bidirectional gated recurrent network with attention pooling, in numpy: forward, backward, training.
 
-A step's input joins a hashed word vector and the mean of hashed byte 4-gram vectors of the word (with the
-word's edges), so that unseen words still show their parts. Windows are rows of word numbers, -1 past the
+A step's input joins a hashed word vector and the mean of hashed vectors of the word's parts (byte 4-grams, and
+3 and 6 bytes at either edge), so that unseen words still show their parts. Windows are rows of word numbers, -1 past the
 end; steps past the end leave the state as it is and get no attention.
 """
 
@@ -13,7 +13,7 @@ from .textprims import LOWER, doc_of, mix64, pieces, prefix_hash, span_hash, wor
 
 SLOTS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 13, 8, 16, 16
 WINDOW, STRIDE = 32, 16
-GRAM = 4
+GRAM, EDGES = 4, (3, 6)
 _U = np.uint64
 
 #: Words are runs of ASCII letters and digits and of bytes beyond ASCII, in lower case.
@@ -33,19 +33,19 @@ class Words:
         self.keys = keys
         self.slot = (keys % _U(SLOTS)).astype(np.int64)
         s, e = starts[first], ends[first]
-        size = np.maximum(e - s - GRAM + 1, 0) + 2  # the grams inside, and one at each edge
+        ends_of = 2 * len(EDGES)
+        size = np.maximum(e - s - GRAM + 1, 0) + ends_of  # the grams inside, and those at either edge
         self.at = np.concatenate(([0], np.cumsum(size)))
         word = np.repeat(np.arange(len(s)), size)
         k = np.arange(self.at[-1]) - self.at[word]
-        inner = k >= 2
-        a = s[word] + np.where(inner, k - 2, 0)
+        a = s[word] + np.maximum(k - ends_of, 0)
         b = a + GRAM
-        edge0, edge1 = k == 0, k == 1
-        b[edge0] = np.minimum(s[word[edge0]] + GRAM - 1, e[word[edge0]])
-        a[edge1] = np.maximum(e[word[edge1]] - GRAM + 1, s[word[edge1]])
-        b[edge1] = e[word[edge1]]
-        g = span_hash(prefix, a, b) + (edge0 * 1 + edge1 * 2).astype(_U) * _U(0x9E3779B97F4A7C15)
-        self.gram = (mix64(g) % _U(SLOTS)).astype(np.int64)
+        for i, n in enumerate(EDGES):
+            front, back = self.at[:-1] + 2 * i, self.at[:-1] + 2 * i + 1
+            a[front], b[front] = s, np.minimum(s + n, e)
+            a[back], b[back] = np.maximum(e - n, s), e
+        kind = np.minimum(k, ends_of).astype(_U)
+        self.gram = (mix64(span_hash(prefix, a, b) + kind * _U(0x9E3779B97F4A7C15)) % _U(SLOTS)).astype(np.int64)
         self.size = size
         self.begin = np.searchsorted(doc_of(starts, docs), np.arange(len(docs)))  # first word of each text, and the end
 

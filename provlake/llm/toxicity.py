@@ -1,12 +1,14 @@
 """Toxicity by a bidirectional gated recurrent network with attention over character and word inputs.
 
-The network (``recurrent``) is trained in numpy on the driver, on a bounded sample of labelled documents:
-``SAMPLE`` of each class, in order of a hash of doc_id, none longer than ``LONGEST`` characters, and
-``WINDOWS_A_DOC`` windows of each. Labels are of documents, so windows start with their document's label
-and, after the first passes, windows of toxic documents that look clean are left out, but for the best one.
-A fifth of the sample is kept from training and calibrates the score on the highest window.
+The network (``recurrent``) is trained in numpy in one task (``training``), on a bounded sample of labelled
+documents: ``SAMPLE`` of each class, in order of a hash of doc_id, none longer than ``LONGEST`` characters, and
+``WINDOWS_A_DOC`` windows of each. One dimension of the word and part vectors starts at their evidence: log odds of
+the classes of the documents that have them. Labels are of documents, so windows start with their document's label,
+those of toxic documents only if they have its strongest words; after the first passes windows of toxic documents
+that look clean are left out, but for the best one. A fifth of the sample is kept from training and calibrates the
+score on the highest window, where a toxic document that is missed weighs as much as ``COST`` false alarms.
 
-Scoring takes all overlapping windows of every whole text; the score is the calibrated highest one.
+Scoring takes windows of 32 words at every 16th word of every whole text; the score is the calibrated highest one.
 
 Cases: null and empty texts, and texts without words, have no window and score the calibrated floor; a
 document with several label rows is toxic if one says so; null labels are left out; without labels of both
@@ -23,39 +25,44 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .recurrent import WINDOW, Adam, Words, best_windows, new_model, run, train_epoch, window_index, windows_of, word_inputs
-from .workspace import bounded_batches, row_key
+from .recurrent import SLOTS, WORD_DIM, Adam, Words, best_windows, new_model, run, train_epoch, window_index, windows_of, word_inputs
+from .training import fit_apart, labelled_sample, training_row
+from .workspace import bounded_batches
 
 SAMPLE, LONGEST, WINDOWS_A_DOC = 1500, 40_000, 8
 #: Passes over the sample: so many that there are STEPS batches, but between the two bounds.
 STEPS, EPOCHS, BATCH = 450, (5, 15), 256
 RATE, SEED = 0.01, 5
 FLOOR = -6.0
-
-
-def training_row(folds: int, held: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % folds != held
-
-
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, keep: Column, sample: int, longest: int) -> tuple[list[tuple[str, int]], float]:
-    """(texts and labels of at most ``sample`` documents of each class, share of class 1 of all training labels)."""
-    spark = documents.sparkSession
-    lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & keep)
-    lab = lab.groupBy("doc_id").agg(F.max("y").alias("y"))
-    share = lab.agg(F.avg("y")).first()[0]
-    # lengths first, so that only the sample's texts travel
-    size = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("n")).filter(F.col("n").between(1, longest))
-    known = lab.join(size.select("doc_id"), "doc_id")
-    picked = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect() for y in (0, 1)]
-    rows = {r.doc_id: r.y for p in picked for r in p}
-    if not rows:
-        return [], float(share or 0)
-    ids = spark.createDataFrame(list(rows.items()), "doc_id long, y int")  # at most 2 x sample rows
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").filter(F.length("text").between(1, longest))
-    got: dict[int, tuple[str, int]] = {}
-    for r in texts.toLocalIterator():
-        got[r.doc_id] = max(got.get(r.doc_id, ("", 0)), (r.text, r.y))
-    return [got[k] for k in sorted(got)], float(share or 0)
+#: Documents' worth of doubt in the evidence of a slot.
+DRAW = 6.0
+COST = 2.0
+
+
+def evidence(slot: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log odds of each slot from the classes of the documents that have it, drawn to 0 where they are few."""
+    pair = np.unique(owner.astype(np.int64) * SLOTS + slot)
+    slot, toxic = pair % SLOTS, y[pair // SLOTS] > 0.5
+    n, n1 = np.bincount(slot, minlength=SLOTS), np.bincount(slot[toxic], minlength=SLOTS)
+    base = y.mean()
+    p = (n1 + DRAW * base) / (n + DRAW)
+    odds = np.log(p / (1 - p)) - np.log(base / (1 - base))
+    return np.clip(np.where(n >= 3, odds, 0), -2, 2).astype(np.float32)
+
+
+def warm_start(m: dict, words: Words, y: np.ndarray) -> np.ndarray:
+    """Put the evidence of words and of their parts into the first dimension of their vectors; returns it by word."""
+    n = np.diff(words.begin)
+    owner = np.repeat(np.arange(len(n)), n)
+    pair = np.unique(owner * len(words.slot) + words.number) if len(words.slot) else np.zeros(0, np.int64)
+    doc, word = (pair // len(words.slot), pair % len(words.slot)) if len(pair) else (pair, pair)
+    m["Ew"][:, 0] = evidence(words.slot[word], doc, y)
+    size = words.size[word]
+    at = np.cumsum(size) - size
+    gram = words.gram[np.repeat(words.at[word] - at, size) + np.arange(size.sum())]
+    m["Ec"][:, 0] = evidence(gram, np.repeat(doc, size), y)
+    x = word_inputs(m, words)
+    return x[:, 0] + x[:, WORD_DIM]
 
 
 def train(sample: list[tuple[str, int]], share: float, seed: int = SEED) -> dict:
@@ -71,23 +78,29 @@ def train(sample: list[tuple[str, int]], share: float, seed: int = SEED) -> dict
     texts = pa.array([t for t, _ in sample])
     own = texts.filter(pa.array(~held))
     words = Words.of(own)
+    m, opt = new_model(seed), Adam(RATE)
+    odds = warm_start(m, words, y[~held])
     owner, start, length = windows_of(words.begin)
-    # a few windows of each document
-    order = np.lexsort((rng.random(len(owner)), owner))
-    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    pick = np.sort(order[rank < WINDOWS_A_DOC])
+    # a few windows of each document: half of them those whose strongest word has most evidence, half drawn
+    most = np.empty(len(start))
+    for part in np.array_split(np.arange(len(start)), max(1, len(start) // 4096)):
+        index = window_index(words, start[part], length[part])
+        most[part] = np.where(index >= 0, odds[index], -np.inf).max(1)
+    rank = _rank(owner, -most)
+    top = rank < WINDOWS_A_DOC // 2
+    drawn = _rank(owner, np.where(top, 2, rng.random(len(owner)))) < WINDOWS_A_DOC - WINDOWS_A_DOC // 2
+    pick = np.flatnonzero(top | drawn)
     owner, index = owner[pick], window_index(words, start[pick], length[pick])
     target = y[~held][owner]
     weight = np.where(target > 0.5, 0.5 / max(target.mean(), 1e-6), 0.5 / max(1 - target.mean(), 1e-6)).astype(np.float32)
-    m, opt = new_model(seed), Adam(RATE)
-    use = np.ones(len(index), bool)
+    use = (target < 0.5) | top[pick]
     epochs = int(np.clip(STEPS * BATCH // max(1, len(index)), *EPOCHS))
     for epoch in range(epochs):
         if epoch >= epochs * 2 // 5:
             logit = np.concatenate([_logits(m, words, part) for part in np.array_split(index, max(1, -(-len(index) // 1024)))])
-            top = np.full(int(owner.max()) + 1, -np.inf)
-            np.maximum.at(top, owner, logit)
-            use = (target < 0.5) | (logit > 0) | (logit >= top[owner])
+            best = np.full(int(owner.max()) + 1, -np.inf)
+            np.maximum.at(best, owner, logit)
+            use = (target < 0.5) | (logit > 0) | (logit >= best[owner])
         if epoch == epochs - 1:
             opt.rate *= 0.3
         train_epoch(m, opt, words, index[use], target[use], weight[use], rng, BATCH)
@@ -96,6 +109,14 @@ def train(sample: list[tuple[str, int]], share: float, seed: int = SEED) -> dict
     return {"net": m, "share": share, "calibration": calibrate(best, count, y[cal], share)}
 
 
+def _rank(owner: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Place of each window among its document's, by key; owner is ascending."""
+    order = np.lexsort((key, owner))
+    out = np.empty(len(owner), np.int64)
+    out[order] = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    return out
+
+
 def _logits(m: dict, words: Words, index: np.ndarray) -> np.ndarray:
     used, local = np.unique(index, return_inverse=True)
     local = local.reshape(index.shape) - (used[0] == -1)
@@ -103,9 +124,9 @@ def _logits(m: dict, words: Words, index: np.ndarray) -> np.ndarray:
 
 
 def calibrate(best: np.ndarray, count: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
-    """Logistic weights of (highest logit, log of windows, 1), classes weighted as among all labels."""
+    """Logistic weights of (highest logit, log of windows, 1), classes weighted as among all labels, class 1 by COST."""
     x = np.stack([np.maximum(best, FLOOR), np.log1p(count), np.ones(len(y))], 1)
-    w = np.where(y > 0.5, share / max(y.mean(), 1e-6), (1 - share) / max(1 - y.mean(), 1e-6))
+    w = np.where(y > 0.5, COST * share / max(y.mean(), 1e-6), (1 - share) / max(1 - y.mean(), 1e-6))
     theta = np.array([1.0, 0.0, 0.0])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
@@ -138,21 +159,27 @@ def _scorer(shared):
 
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, keep: Column | None = None) -> dict:
-    sample, share = labelled_sample(documents, labels, "toxic", training_row(5, 0) if keep is None else keep, SAMPLE, LONGEST)
-    return train(sample, share)
+    return fit_apart(*labelled_sample(documents, labels, "toxic", training_row(5, 0) if keep is None else keep, SAMPLE, LONGEST), train)
 
 
 def score_toxicity(documents: DataFrame, model: dict) -> DataFrame:
     """doc_id, score, n_windows, top_word: one row for each row of documents."""
-    spark = documents.sparkSession
-    bounded_batches(spark)
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = spark.sparkContext.broadcast(model)  # fixed table sizes: under 1 MB
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # fixed table sizes: about 1 MB
     return docs.mapInArrow(_scorer(shared), "doc_id long, score double, n_windows long, top_word long")
 
 
+def _dropper(shared, column: int, threshold: float):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(score_texts(shared.value, batch.column(column))[0] < threshold))
+
+    return go
+
+
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of documents that the model does not reject, with all their columns."""
-    keyed = documents.select(row_key(documents).alias("doc_id"), documents["text"])
-    gone = score_toxicity(keyed, fit_toxicity(documents, labels)).filter(F.col("score") >= threshold).select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, row_key(documents) == gone["_gone"], "left_anti")
+    """The rows of documents that the model does not reject, with all their columns. Rows are judged where they stand."""
+    bounded_batches(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(fit_toxicity(documents, labels))
+    return documents.mapInArrow(_dropper(shared, documents.columns.index("text"), threshold), documents.schema)
