@@ -19,14 +19,14 @@ def _fold(slots: pd.Series) -> pd.Series:
         if x is None or not len(x):
             return None
         v = np.bincount(np.asarray(x), minlength=DIM).astype(np.float64)
-        return (v / np.linalg.norm(v)).astype(np.float32)
+        return (v / np.sqrt((v * v).sum())).astype(np.float32)
 
     return slots.map(one)
 
 
 def hashed_embedding(text: F.Column) -> F.Column:
     """Term frequencies hashed to DIM slots, of unit length; null without tokens."""
-    return _fold(F.transform(search_tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(DIM)).cast("int")))
+    return _fold(F.transform(search_tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % DIM))
 
 
 def from_table(rows: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:

@@ -20,18 +20,16 @@ def int_to_roman(n: Column) -> Column:
     return F.when(n.between(1, 3999), F.concat(*[digit(i) for i in range(4)]))
 
 
+def roman_value(s: Column) -> Column:
+    """Sum of the digits I to M in any case, of which those with a larger one after them are taken away; others count 0."""
+    digits = F.transform(F.split(F.upper(s), ""), lambda c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in zip("IVXLCDM", (1, 5, 10, 50, 100, 500, 1000), strict=True) for x in pair]), c), F.lit(0)))
+    signed = F.transform(digits, lambda v, i: F.when(F.exists(F.slice(digits, i + 2, F.size(digits)), lambda later: later > v), -v).otherwise(v))
+    return F.aggregate(signed, F.lit(0), lambda a, v: a + v)
+
+
 def roman_to_int(s: Column) -> Column:
     """Value of a well-formed roman number, in any case; others are null."""
-    up = F.upper(s)
-    value = lambda c: F.element_at(F.create_map(*[F.lit(x) for pair in zip("IVXLCDM", (1, 5, 10, 50, 100, 500, 1000), strict=True) for x in pair]), c)
-    # from the right: smaller than what came before is taken away
-    fold = F.aggregate(
-        F.reverse(F.split(up, "")),
-        F.struct(F.lit(0).alias("t"), F.lit(0).alias("last")),
-        lambda a, c: F.struct((a["t"] + F.when(value(c) < a["last"], -value(c)).otherwise(value(c))).alias("t"), F.greatest(a["last"], value(c)).alias("last")),
-        lambda a: a["t"],
-    )
-    return F.when((up != "") & up.rlike(_ROMAN), fold)
+    return F.when((s != "") & F.upper(s).rlike(_ROMAN), roman_value(s))
 
 
 def expand_range(label: Column) -> Column:
@@ -93,7 +91,7 @@ def parse_refs(text: Column) -> Column:
     def step(a: Column, t: Column) -> Column:
         stem = F.when(t.startswith("art"), "article").when(t.startswith("recit"), "recital").when(t.startswith("annex"), "annex").when(t.startswith("pream"), "preamble").when(t.startswith("section"), "section")
         lo, hi = F.regexp_extract(t, r"^([0-9]+)", 1).try_cast("int"), F.regexp_extract(t, r"([0-9]+)$", 1).try_cast("int")
-        number = F.when(lo.isNotNull(), F.when(lo <= hi, F.sequence(lo, F.greatest(lo, hi)))).when(a["kind"] == "annex", F.array(roman_to_int(t)))
+        number = F.when(lo.isNotNull(), F.when(lo <= hi, F.sequence(lo, F.greatest(lo, hi)))).when(a["kind"] == "annex", F.array(roman_value(t)))
         valid = F.filter(F.coalesce(number, F.expr("cast(array() as array<int>)")), lambda x: x.isNotNull())
         named = a["kind"].isin("article", "recital", "annex")
         more = F.when(named, F.transform(valid, lambda n: F.struct(a["kind"].alias("kind"), n.alias("num")))).otherwise(F.expr("cast(array() as array<struct<kind:string,num:int>>)"))
@@ -103,23 +101,50 @@ def parse_refs(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.aggregate(tokens, F.expr(state), step, lambda a: a["out"])))
 
 
+def citation_detail(citation: Column) -> Column:
+    """A strict citation as (kind, num, labels: the paragraphs it covers); null for other text, and for numbers that are none."""
+    form = r"^(Article|Annex|Recital)s?\s+([A-Za-z0-9]+(?:\s*[-–]\s*[0-9]+)?)(?:\(([^)]+)\))?$"
+    part = lambda i: F.regexp_extract(F.trim(citation), form, i)
+    first = F.regexp_extract(part(2), r"^([A-Za-z0-9]+)", 1)
+    num = F.coalesce(F.when((part(1) == "Annex") & F.upper(first).rlike("^[IVXLC]+$"), roman_value(first)), first.try_cast("int"))
+    return F.when((part(1) != "") & num.isNotNull(), F.struct(F.lower(part(1)).alias("kind"), num.alias("num"), expand_range(part(3)).alias("labels")))
+
+
+def unsupported_citations(answer: Column, kept: Column) -> Column:
+    """References in an answer's brackets that the kept citations (one text) do not name, as sorted "kind n"."""
+    inside = F.array_join(F.regexp_extract_all(answer, F.lit(r"\((?:[^()]|\([^()]*\))*\)"), F.lit(0)), " ; ")
+    gone = F.array_except(parse_refs(F.regexp_replace(inside, r"^\(", "")), parse_refs(kept))
+    return F.array_sort(F.transform(gone, lambda r: F.concat_ws(" ", r["kind"], r["num"].cast("string"))))
+
+
 def match_provisions(chunks, refs):
-    """chunks (type, number, chapter, section, ...) that refs (query_id, kind, num) name, with their query_id.
+    """chunks (chunk_id, type, number, chapter, section, ...) that refs (query_id, kind, num) name, with their query_id.
 
     Articles by number, annexes by roman number, recitals by overlap with a packed range, the preamble by
     type; a section counts within the chapters named, if any is, and a chapter where no section is named.
+
+    Both sides become keys (kind, number), a packed range one key a number, and meet in equi-joins of keys alone;
+    pairs are made distinct by id before the chunks' columns join them. chunk_id is unique.
     """
-    by_query = refs.groupBy("query_id").agg(F.collect_set(F.struct("kind", "num")).alias("r"))
-    nums = lambda k: F.transform(F.filter("r", lambda x: x["kind"] == k), lambda x: x["num"])
-    asked = by_query.select("query_id", *[nums(k).alias(f"_{k}") for k in ("article", "annex", "recital", "section", "chapter", "preamble")])
-    has = lambda k, x: F.array_contains(f"_{k}", x)
-    section, chapter = F.substring_index("section", " - ", 1), F.substring_index("chapter", " - ", 1)
-    hit = (
-        ((F.col("type") == "Article") & has("article", F.lower("number")))
-        | ((F.col("type") == "Annex") & has("annex", F.upper("number")))
-        | ((F.col("type") == "Recital") & F.arrays_overlap(expand_range(F.col("number")), F.col("_recital")))
-        | ((F.col("type") == "Preamble") & (F.size("_preamble") > 0))
-        | (has("section", section) & ((F.size("_chapter") == 0) | has("chapter", chapter)))
-        | (has("chapter", chapter) & (F.size("_section") == 0))
-    )
-    return chunks.join(F.broadcast(asked), hit).drop("_article", "_annex", "_recital", "_section", "_chapter", "_preamble")
+    from pyspark.sql import Window
+
+    section, chapter = F.trim(F.substring_index("section", " - ", 1)), F.trim(F.substring_index("chapter", " - ", 1))
+    key = lambda kind, num, on: F.when(on, F.transform(num, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("num"))))
+    own = [key("article", F.array(F.lower("number")), F.col("type") == "Article"), key("annex", F.array(F.upper("number")), F.col("type") == "Annex"), key("recital", expand_range(F.col("number")), F.col("type") == "Recital"), key("preamble", F.array(F.lit("0")), F.col("type") == "Preamble")]
+    none = F.expr("cast(array() as array<struct<kind:string,num:string>>)")
+    named = chunks.select("chunk_id", F.explode(F.array_distinct(F.concat(*[F.coalesce(x, none) for x in own]))).alias("k")).select("chunk_id", "k.*")
+    asked = refs.select("query_id", "kind", "num").distinct()
+    has = lambda kind: F.max(F.col("kind") == kind).over(Window.partitionBy("query_id"))
+    asked = asked.withColumn("_chapters", has("chapter")).withColumn("_sections", has("section"))
+    places = chunks.select("chunk_id", section.alias("section"), chapter.alias("chapter")).filter("section <> '' or chapter <> ''")
+    sections, chapters = asked.filter("kind = 'section'"), asked.filter("kind = 'chapter'")
+    found = [
+        named.join(asked.filter("kind not in ('section', 'chapter')"), ["kind", "num"]),
+        places.join(sections.filter("not _chapters"), F.col("section") == F.col("num")),
+        places.join(sections.filter("_chapters").join(chapters.select("query_id", F.col("num").alias("_chapter")), "query_id"), (F.col("section") == F.col("num")) & (F.col("chapter") == F.col("_chapter"))),
+        places.join(chapters.filter("not _sections"), F.col("chapter") == F.col("num")),
+    ]
+    pairs = found[0].select("query_id", "chunk_id")
+    for f in found[1:]:
+        pairs = pairs.unionByName(f.select("query_id", "chunk_id"))
+    return chunks.join(pairs.distinct(), "chunk_id")

@@ -12,7 +12,8 @@ FURNITURE = r"EN|L series|Official Journal(?: of the European Union)?|of the Eur
 PAGE_NUMBER = r"EN[ \t]+[0-9]+[ \t]+EN|[0-9]{1,4}"
 CITATION = r"(?i)\b(?:article\s+[0-9]+(?:\([0-9]+\))*(?:\([a-z]\))?|recital\s+[0-9]+\b|annex\s+[ivxl]+\b)"
 BLOCK_SEPARATOR = "\n\n---\n\n"
-TOKEN = r"[A-Za-z0-9]+|[^\sA-Za-z0-9]"
+_SPACE = r" \t\n\x0B\f\r"
+TOKEN = rf"[A-Za-z0-9]+|[^{_SPACE}A-Za-z0-9]"
 
 
 def search_tokens(text: Column) -> Column:
@@ -25,6 +26,22 @@ def budget_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+def token_pieces(text: Column) -> Column:
+    """The text in pieces of one token each, with the white space before it: pieces in a row are a slice of the text."""
+    return F.regexp_extract_all(text, F.lit(rf"[{_SPACE}]*(?:{TOKEN})"), F.lit(0))
+
+
+def slice_of(pieces: Column, start: Column, n: Column) -> Column:
+    """The text of n pieces from start (from 1), without white space before the first token."""
+    return F.regexp_replace(F.array_join(F.slice(pieces, start, n), ""), rf"^[{_SPACE}]+", "")
+
+
+def tail(text: Column, n: int) -> Column:
+    """The last n tokens of a text, as a slice of it."""
+    pieces = token_pieces(text)
+    return slice_of(pieces, F.greatest(F.lit(1), F.size(pieces) - n + 1), F.lit(n))
+
+
 def clean_text(text: Column) -> Column:
     """Line ends, hyphenated breaks, page furniture, page numbers and blank runs, in this order; then trimmed."""
     out = F.regexp_replace(text, "\r\n?", "\n")
@@ -61,9 +78,11 @@ def location_line(chapter: Column, section: Column) -> Column:
 
 
 def json_object(text: Column) -> Column:
-    """From the first { to the last }; null if there is none."""
-    found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(found != "", found)
+    """The object of a model's answer: in a fenced block, else the whole text, else from the first { to the last }; else null."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    spanned = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    valid = lambda x: F.when(F.get_json_object(x, "$").isNotNull(), x)
+    return F.coalesce(valid(F.nullif(fenced, F.lit(""))), valid(F.when(F.trim(text).startswith("{"), F.trim(text))), F.nullif(spanned, F.lit("")))
 
 
 def verdict(score: Column, error: Column) -> Column:
@@ -72,6 +91,12 @@ def verdict(score: Column, error: Column) -> Column:
     return F.when(error.isNull() & n.isin(0, 1), n)
 
 
+def verdict_reason(score: Column, error: Column) -> Column:
+    """Why a verdict is null: the error, or a missing, not numeric or other score; null for a valid one."""
+    n = score.try_cast("double")
+    return F.when(error.isNotNull(), F.concat(F.lit("error: "), error)).when(score.isNull(), "no score").when(n.isNull(), F.concat(F.lit("score is not a number: "), score)).when(~n.try_cast("int").isin(0, 1), F.concat(F.lit("score out of range: "), score))
+
+
 def ordered_block(rank: Column, header: Column, body: Column) -> Column:
     """Aggregate: rows as one text, in order of rank."""
     rows = F.array_sort(F.collect_list(F.struct(rank.alias("r"), F.concat(header, F.lit("\n"), body).alias("t"))))

@@ -1,14 +1,16 @@
 """Chunking: units, carried context, sequences, greedy packing, windows, overlap and ids.
 
-Ordered folds run on one document's array of units, never on more than a document.
+Ordered folds run on one document's array of units, never on more than a document, in time linear in it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from ..functions.text import budget_tokens
+from ..functions.text import budget_tokens, slice_of, tail, token_pieces
 
 
 def split_units(documents: DataFrame) -> DataFrame:
@@ -45,20 +47,96 @@ def sequence_filter(rows: DataFrame, key: str, order: str, number: str) -> DataF
     return rows.groupBy(key).agg(fold.alias("x")).select(key, F.explode("x").alias("x")).select(key, F.col("x.o").alias(order), F.col("x.n").alias(number))
 
 
+def citation_root(kind: Column, number: Column, chapter: Column, section: Column) -> Column:
+    """What units of one packed group share: recitals and preamble clauses their type, others the whole provision."""
+    return F.when(kind.isin("Recital", "Preamble"), kind).otherwise(F.to_json(F.array(kind, number, chapter, section)))
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _greedy(tokens: pd.Series, budgets: pd.Series, joins: pd.Series) -> pd.Series:
+    """Group numbers of a document's units: a unit joins the open group if it may and the budget holds it and one joint."""
+
+    def one(size, most, may):
+        out, group, total = [], 0, 0
+        for n, budget, ok in zip(size, most, may, strict=True):
+            if group and ok and total + n + 1 <= budget:
+                total += n + 1
+            else:
+                group, total = group + 1, n
+            out.append(group)
+        return out
+
+    return pd.Series([one(*x) for x in zip(tokens, budgets, joins, strict=True)])
+
+
+def pack(units: DataFrame, budget: Column, joins: Column) -> DataFrame:
+    """units (doc_id, unit_ord, n_tokens, ...) with grp, from 1: greedy groups of consecutive units. joins: whether a unit
+    may go with the one before it; budget: tokens that the group may have when the unit joins."""
+    others = [c for c in units.columns if c != "doc_id"]
+    rows = units.withColumn("_b", budget.cast("int")).withColumn("_j", F.coalesce(joins, F.lit(False)))
+    arrays = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("unit_ord", "_b", "_j", F.struct(*others).alias("r")))).alias("x"))
+    field = lambda f: F.transform("x", lambda x: f(x))
+    placed = arrays.withColumn("g", _greedy(field(lambda x: x["r"]["n_tokens"].cast("int")), field(lambda x: x["_b"]), field(lambda x: x["_j"])))
+    flat = placed.select("doc_id", F.explode(F.zip_with("x", "g", lambda x, g: F.struct(x["r"].alias("r"), g.alias("grp")))).alias("y"))
+    return flat.select("doc_id", "y.r.*", "y.grp")
+
+
 def pack_size(units: DataFrame, budget: int) -> DataFrame:
-    """units with grp: greedy groups of one document (and root, if there is one) whose tokens, and one for each joint, fit the budget."""
-    keys = ["doc_id", "root"] if "root" in units.columns else ["doc_id"]
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("unit_ord", "n_tokens"))),
-        F.expr("named_struct('g', 0, 't', 0, 'out', cast(array() as array<struct<unit_ord:int,grp:int>>))"),
-        lambda a, x: F.when(
-            (F.size(a["out"]) > 0) & (a["t"] + x["n_tokens"] + 1 <= budget),
-            F.struct(a["g"].alias("g"), (a["t"] + x["n_tokens"] + 1).alias("t"), F.array_append(a["out"], F.struct(x["unit_ord"].cast("int").alias("unit_ord"), a["g"].alias("grp"))).alias("out")),
-        ).otherwise(F.struct((a["g"] + 1).alias("g"), x["n_tokens"].cast("int").alias("t"), F.array_append(a["out"], F.struct(x["unit_ord"].cast("int").alias("unit_ord"), (a["g"] + 1).alias("grp"))).alias("out"))),
-        lambda a: a["out"],
-    )
-    placed = units.groupBy(*keys).agg(fold.alias("x")).select(*keys, F.explode("x").alias("x")).select(*keys, "x.*")
-    return units.join(placed, [*keys, "unit_ord"])
+    """units with grp: greedy groups of one document (and of equal roots in a row, if there is a root) within the budget."""
+    joins = F.lit(True)
+    if "root" in units.columns:
+        units = units.withColumn("_same", F.col("root").eqNullSafe(F.lag("root").over(Window.partitionBy("doc_id").orderBy("unit_ord"))))
+        return pack(units, F.lit(budget), F.col("_same")).drop("_same")
+    return pack(units, F.lit(budget), joins)
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
+
+
+def neighbour_similarity(units: DataFrame, vector: str) -> DataFrame:
+    """units with sim: the similarity of a unit's vector to that of the unit before it of the same root; null without one."""
+    w = Window.partitionBy("doc_id").orderBy("unit_ord")
+    return units.withColumn("sim", F.when(F.col("root") == F.lag("root").over(w), _dot(F.col(vector), F.lag(vector).over(w))))
+
+
+#: Bins of a level of share_threshold, and its levels: 4096^4 bins are finer than the values.
+_BINS, _LEVELS = 4096, 4
+
+
+def share_threshold(values: DataFrame, column: str, share: float, low: float = -1.0, high: float = 1.0 + 1e-9) -> tuple[float | None, int]:
+    """(the interpolated percentile of a column within low to high, how many values there are), exact: nulls do not count.
+
+    The k-th value is found by counts in bins, of the whole and then of the bin that it is in: no task orders the
+    values, and the driver sees one row a bin.
+    """
+    some = values.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+
+    def kth(k: int) -> tuple[float, int]:
+        lo, width, inside = low, (high - low) / _BINS, some
+        total = None
+        for _ in range(_LEVELS):
+            place = F.floor((F.col("v") - F.lit(lo)) / F.lit(width))
+            bins = sorted((r.b, r.n, r.least) for r in inside.groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("least")).collect())
+            total = sum(n for _, n, _ in bins) if total is None else total
+            if not total:
+                return 0.0, 0
+            for b, n, least in bins:
+                if k < n:
+                    break
+                k -= n
+            if n == 1:
+                return least, total
+            inside, lo, width = inside.filter(place == b), lo + b * width, width / _BINS
+        return least, total
+
+    _, n = kth(0)
+    if not n:
+        return None, 0
+    place = share * (n - 1)
+    below = kth(int(place))[0]
+    above = below if place == int(place) else kth(int(place) + 1)[0]
+    return below + (above - below) * (place - int(place)), n
 
 
 def merge_groups(packed: DataFrame) -> DataFrame:
@@ -68,33 +146,63 @@ def merge_groups(packed: DataFrame) -> DataFrame:
     return rows.select("doc_id", "grp", label.alias("label"), F.array_join(F.transform("r", lambda x: x["text"]), "\n\n").alias("text"), F.size("r").alias("n_units"))
 
 
+def merge_units(packed: DataFrame) -> DataFrame:
+    """Structured units, packed (grp), as one row a group: ranges of recitals or paragraphs, the rest from the first unit.
+
+    Columns are those of the units, without grp; unit_ord is that of the first.
+    """
+    rows = packed.groupBy("doc_id", "grp").agg(F.array_sort(F.collect_list(F.struct("unit_ord", *[c for c in packed.columns if c not in ("doc_id", "grp", "unit_ord")]))).alias("r"))
+    first, last = F.col("r")[0], F.element_at("r", -1)
+    several = F.size("r") > 1
+    preamble, recital = first["type"] == "Preamble", first["type"] == "Recital"
+    span = lambda f: F.concat(first[f], F.lit("-"), last[f])
+    texts = F.transform("r", lambda x: x["text"])
+    changed = {
+        "text": F.when(preamble, F.array_join(texts, "\n")).otherwise(F.array_join(texts, "\n\n")),
+        "number": F.when(several & recital, span("number")).otherwise(first["number"]),
+        "paragraph": F.when(several & ~recital & ~preamble, span("paragraph")).otherwise(first["paragraph"]),
+        "citation": F.when(several & recital, F.concat(F.lit("Recitals "), span("number"))).when(several & ~preamble, F.concat(first["type"], F.lit(" "), first["number"], F.lit("("), span("paragraph"), F.lit(")"))).otherwise(first["citation"]),
+    }
+    return rows.select("doc_id", *[changed.get(c, first[c]).alias(c) for c in packed.columns if c not in ("doc_id", "grp")])
+
+
 def adjacent_threshold(vectors: DataFrame, key: str, order: str, vector: str, share: float = 0.5) -> DataFrame:
     """One row: the interpolated percentile of the similarity of neighbours of one key, and how many there are."""
-    prev = F.lag(vector).over(Window.partitionBy(key).orderBy(order))
-    dot = F.aggregate(F.zip_with(vector, "_p", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    return vectors.withColumn("_p", prev).filter("_p is not null").agg(F.percentile(dot, F.lit(share)).alias("threshold"), F.count("*").alias("n_pairs"))
+    units = vectors.select(F.col(key).alias("root"), F.col(order).alias("unit_ord"), F.col(vector).alias("v"))
+    prev = F.lag("v").over(Window.partitionBy("root").orderBy("unit_ord"))
+    found = units.select(_dot(F.col("v"), prev).alias("sim"))
+    threshold, n = share_threshold(found, "sim", share)
+    return vectors.sparkSession.createDataFrame([(threshold, n)], "threshold double, n_pairs long")
+
+
+def windows(rows: DataFrame, budget: Column) -> DataFrame:
+    """rows (doc_id, unit_ord, text, ...) as part (from 1; null for a text that fits), n_tokens and body: consecutive slices of
+    budget tokens of the text. Rows without a token are left out."""
+    cut = rows.withColumn("_t", token_pieces(F.col("text"))).withColumn("_b", budget.cast("int")).filter(F.size("_t") > 0)
+    whole = F.size("_t") <= F.col("_b")
+    parts = F.when(whole, F.array(F.struct(F.col("text").alias("body"), F.size("_t").alias("n")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.size("_t") - 1, F.col("_b")), lambda i: F.struct(slice_of(F.col("_t"), i + 1, F.col("_b")).alias("body"), F.least(F.col("_b"), F.size("_t") - i).alias("n")))
+    )
+    out = cut.select(*[c for c in rows.columns if c != "text"], whole.alias("_w"), F.posexplode(parts).alias("_p", "_x"))
+    return out.select(*[c for c in rows.columns if c != "text"], F.when(~F.col("_w"), F.col("_p") + 1).alias("part"), F.col("_x.n").alias("n_tokens"), F.col("_x.body").alias("body"))
 
 
 def token_windows(units: DataFrame, budget: int) -> DataFrame:
-    """doc_id, unit_ord, part (from 1; null for a unit that fits), n_tokens, body: consecutive windows of budget tokens."""
-    t = budget_tokens(F.col("text"))
-    cut = units.select("doc_id", "unit_ord", "text", t.alias("t")).filter(F.size("t") > 0)
-    parts = F.transform(F.sequence(F.lit(0), F.size("t") - 1, F.lit(budget)), lambda i: F.slice("t", i + 1, F.lit(budget)))
-    exploded = cut.select("doc_id", "unit_ord", "text", F.size("t").alias("n"), F.posexplode(parts).alias("p", "w"))
-    whole = F.col("n") <= budget
-    return exploded.select("doc_id", "unit_ord", F.when(~whole, F.col("p") + 1).alias("part"), F.size("w").alias("n_tokens"), F.when(whole, F.col("text")).otherwise(F.array_join("w", " ")).alias("body"))
+    """doc_id, unit_ord, part, n_tokens, body: see windows."""
+    return windows(units.select("doc_id", "unit_ord", "text"), F.lit(budget))
 
 
-def overlap_tail(chunks: DataFrame, tail: int, scope: str = "window") -> DataFrame:
-    """chunks (doc_id, chunk_ord, part, body) with text: the last tokens of the chunk before, after an ellipsis, then the body.
+def overlap_tail(chunks: DataFrame, n: int, scope: str = "window") -> DataFrame:
+    """chunks (doc_id, chunk_ord, part, body, and breadcrumb if they have one) with text: context lines, the last n tokens of
+    the chunk before after an ellipsis, the body.
 
     Scope "window" carries into parts from 2 on, "document" into every chunk but the first.
     """
     before = F.lag("body").over(Window.partitionBy("doc_id").orderBy("chunk_ord"))
-    t = budget_tokens(F.col("_b"))
-    carry = F.concat(F.lit("… "), F.array_join(F.slice(t, F.greatest(F.lit(1), F.size(t) - tail + 1), F.lit(tail)), " "))
+    carried = F.nullif(tail(F.col("_b"), n), F.lit(""))
     wants = F.col("part") >= 2 if scope == "window" else F.lit(True)
-    return chunks.withColumn("_b", before).withColumn("text", F.concat_ws("\n", F.when(wants & F.col("_b").isNotNull(), carry), "body")).drop("_b")
+    lines = [F.nullif("breadcrumb", F.lit(""))] if "breadcrumb" in chunks.columns else []
+    return chunks.withColumn("_b", before).withColumn("text", F.concat_ws("\n", *lines, F.when(wants, F.concat(F.lit("… "), carried)), "body")).drop("_b")
 
 
 def chunk_ids(chunks: DataFrame) -> DataFrame:

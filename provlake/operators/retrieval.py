@@ -349,6 +349,16 @@ def _score_counter(shared):
     return task
 
 
+def bm25_topk(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score, rank <= k of the documents (doc_id, text) that share a term with the query.
+
+    Documents are scored in the task that reads them, for a bounded set of queries; each task keeps its k best by query.
+    """
+    bm25 = Bm25(queries, documents)
+    best = bm25.run(bm25.words, _best_scores(k), "query_id long, id long, value double")
+    return top_ranked(best, k, score="value", id_col="id").withColumnRenamed("value", "score")
+
+
 def hybrid(queries: DataFrame, documents: DataFrame, embed: Callable[[Column], Column], k: int = 8, c: int = 60) -> DataFrame:
     """query_id, id, score, rank <= k: fusion of the BM25 and the cosine ranking of all documents. queries: query_id, text.
 

@@ -132,3 +132,16 @@ def paragraph_index(units: DataFrame) -> DataFrame:
 
 def first_of_each(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_r = 1").drop("_r")
+
+
+def places(rows: DataFrame, keys: list[str], id_col: str, block: int = 4096) -> DataFrame:
+    """rows with place, from 1, in the order of keys and then of the whole number id_col, over all of them.
+
+    Rows are counted by keys and block of ids; a row's place is the count of the blocks before its own and its place
+    in it. The running sum is over blocks, a ``block``-th of the rows at most, and no task orders more than one.
+    """
+    named = rows.withColumn("_k", F.struct(*keys, F.floor(F.col(id_col) / block).alias("b")))
+    counts = named.groupBy("_k").agg(F.count("*").alias("_n"))
+    before = counts.select("_k", (F.sum("_n").over(Window.orderBy("_k")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_k").orderBy(id_col))
+    return named.join(before, "_k").withColumn("place", F.col("_before") + own).drop("_k", "_before")

@@ -16,17 +16,23 @@ CHAPTER, SECTION = r"^[ \t]*CHAPTER[ \t]+([IVXLCDM]+)[ \t]*$", r"^[ \t]*SECTION[
 ARTICLE, ANNEX = r"^[ \t]*Article[ \t]+([0-9]+[a-z]?)[ \t]*$", r"^[ \t]*ANNEX[ \t]+([IVXLCDM]+)[ \t]*$"
 RECITAL = r"^[ \t]*\(([0-9]{1,3})\)(?:[ \t]+|$)"
 DOTTED, BRACKETED = r"^[ \t]*([0-9]{1,2})\.[ \t]+", r"^[ \t]*\(([0-9]{1,2})\)[ \t]+"
-#: Bodies that show a number in brackets to be a footnote.
-FOOTNOTE = r"^(?:OJ [CL]|Directive|Regulation|Decision|Council|Commission)\b.*OJ [CL]"
+#: How bodies begin that show a number in brackets to be a footnote, and how clauses of a preamble begin.
+FOOTNOTE = (
+    r"^(?:OJ [CL]|Regulation \(|Directive |Council (?:Directive|Regulation|Decision|Framework)|Decision (?:\(|No)|"
+    r"Position of the European Parliament|European Council|European Parliament resolution|Judgment of|Commission [A-Z]|Recommendation|Proposal for)"
+)
+CLAUSE = r"^[ \t]*(?:THE EUROPEAN PARLIAMENT|Having regard to|After |Acting in accordance|Whereas:)"
+#: Title of preamble clauses, and words that a preamble has at least.
+PREAMBLE_TITLE, PREAMBLE_WORDS = "Title and recitations", 20
 
 
 def marked_lines(documents: DataFrame) -> DataFrame:
-    """doc_id, pos, line, zone (recitals, articles, annexes), kind and number of marker lines. Lines of adoption are left out."""
+    """doc_id, pos, line, zone (recitals, articles, annexes), kind and number of marker lines. Of the line of adoption what precedes it is left."""
     lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     w = Window.partitionBy("doc_id").orderBy("pos")
-    adopted = F.col("line").rlike(ADOPTED)
-    rows = lines.withColumn("_a", adopted).withColumn("_seen", F.coalesce(F.max("_a").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
-    rows = rows.withColumn("_has", F.max("_a").over(Window.partitionBy("doc_id"))).withColumn("_head", F.col("_has") & ~F.col("_seen")).filter(~(F.col("_a") & ~F.col("_seen")))
+    rows = lines.withColumn("_a", F.col("line").rlike(ADOPTED)).withColumn("_seen", F.coalesce(F.max("_a").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+    rows = rows.withColumn("_has", F.max("_a").over(Window.partitionBy("doc_id"))).withColumn("_head", F.col("_has") & ~F.col("_seen"))
+    rows = rows.withColumn("line", F.when(F.col("_a") & ~F.col("_seen"), F.regexp_extract("line", ADOPTED.replace("(?i)", "(?i)^(.*?)"), 1)).otherwise(F.col("line")))
     rows = rows.withColumn("_x", F.max(~F.col("_head") & F.col("line").rlike(ANNEX)).over(w))
     rows = rows.withColumn("zone", F.when(F.col("_head"), "recitals").when(F.col("_x"), "annexes").otherwise("articles"))
     kinds = {"articles": (("chapter", CHAPTER), ("section", SECTION), ("article", ARTICLE)), "annexes": (("annex", ANNEX),), "recitals": (("recital", RECITAL),)}
@@ -49,12 +55,24 @@ def blocks(marked: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("r")[0]["pos"].alias("pos"), "zone", "kind", "number", F.col("r")[0]["line"].alias("head"), F.transform(F.slice("r", 2, 1 << 30), lambda x: x["line"]).alias("lines"))
 
 
+def parse_preamble(marked: DataFrame) -> DataFrame:
+    """doc_id, pos, text: clauses of what stands before the first recital, if that has PREAMBLE_WORDS words."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    head = marked.filter("zone = 'recitals'").withColumn("_k", F.count("kind").over(w)).filter("_k = 0")
+    # blank lines before the first word are no text, and the first line always starts a clause
+    head = head.withColumn("_t", F.max(F.col("line").rlike(r"\S")).over(w)).filter("_t").withColumn("_n", F.row_number().over(w))
+    clause = F.sum(F.when((F.col("_n") > 1) & F.col("line").rlike(CLAUSE), 1).otherwise(0)).over(w)
+    clauses = head.withColumn("_c", clause).groupBy("doc_id", "_c").agg(F.min("pos").alias("pos"), _joined(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])).alias("text"))
+    words = F.sum(F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))).over(Window.partitionBy("doc_id"))
+    return clauses.withColumn("_w", words).filter((F.col("_w") >= PREAMBLE_WORDS) & (F.col("text") != "")).select("doc_id", "pos", "text")
+
+
 def parse_recitals(marked: DataFrame) -> DataFrame:
-    """doc_id, pos, number, text: blocks whose number is the next expected and that are no footnotes; others are lost with their text."""
+    """doc_id, pos, number, text: blocks with a text that is no footnote and whose number is the next expected; others are lost."""
     own = blocks(marked.filter("zone = 'recitals'")).withColumn("body", _joined(F.concat(F.array(F.regexp_replace("head", RECITAL, "")), F.col("lines"))))
-    own = own.filter(~F.col("body").rlike(FOOTNOTE)).withColumn("n", F.col("number").cast("int"))
+    own = own.filter(~F.col("body").rlike(FOOTNOTE) & (F.col("body") != "")).withColumn("n", F.col("number").cast("int"))
     kept = C.sequence_filter(own, "doc_id", "pos", "n").select("doc_id", F.col("pos").cast("int").alias("pos"))
-    return own.join(kept, ["doc_id", "pos"], "left_semi").filter("body <> ''").select("doc_id", "pos", "number", F.concat(F.lit("("), "number", F.lit(") "), "body").alias("text"))
+    return own.join(kept, ["doc_id", "pos"], "left_semi").select("doc_id", "pos", "number", F.concat(F.lit("("), "number", F.lit(") "), "body").alias("text"))
 
 
 def parse_provisions(marked: DataFrame) -> DataFrame:
@@ -79,11 +97,31 @@ def parse_provisions(marked: DataFrame) -> DataFrame:
     keys = ["doc_id", "pos", "type", "number", "chapter", "section"]
     units = cut.groupBy(*keys, "unit").agg(F.max("n").alias("paragraph"), _joined(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"])).alias("body"))
     titles = units.filter("unit = 0").select("doc_id", "pos", F.col("body").alias("title"))
-    parts = units.filter("unit > 0 and body <> ''").join(titles, ["doc_id", "pos"], "left").select(*keys, "paragraph", F.coalesce("title", F.lit("")).alias("title"), "unit", F.concat("paragraph", F.lit(". "), "body").alias("text"))
-    return whole.select(*parts.columns).unionByName(parts)
+    some = units.filter("unit > 0 and body <> ''")
+    # paragraphs without any text: the provision stays whole
+    bare = own.filter("style is not null").join(some.select("doc_id", "pos").distinct(), ["doc_id", "pos"], "left_anti").join(titles, ["doc_id", "pos"], "left")
+    bare = bare.select(*base, F.lit(None).cast("string").alias("paragraph"), F.coalesce(F.col("title"), F.lit("")).alias("title"), F.lit(1).cast("long").alias("unit"), _joined(F.col("lines")).alias("text")).filter("text <> ''")
+    parts = some.join(titles, ["doc_id", "pos"], "left").select(*keys, "paragraph", F.coalesce("title", F.lit("")).alias("title"), "unit", F.concat("paragraph", F.lit(". "), "body").alias("text"))
+    return whole.select(*parts.columns).unionByName(bare.select(*parts.columns)).unionByName(parts)
 
 
 def breadcrumb(chapter: Column, section: Column, kind: Column, number: Column, title: Column) -> Column:
     """Context lines of a provision; absent levels are left out."""
-    part = lambda name, x: F.when(x != "", F.concat(F.lit(f"{name} "), F.replace(x, F.lit(" - "), F.lit(": "))))
+    part = lambda name, x: F.when(x != "", F.concat(F.lit(f"{name} "), F.regexp_replace(x, "(?s)^(.*?) - ", "$1: ")))
     return F.concat_ws("\n", part("Chapter", chapter), part("Section", section), F.concat(kind, F.lit(" "), number, F.when(title != "", F.concat(F.lit(": "), title)).otherwise("")))
+
+
+def parse_units(documents: DataFrame) -> DataFrame:
+    """doc_id, unit_ord (from 0), type, number, paragraph, title, chapter, section, citation, breadcrumb, text of all parts of
+    clean texts: preamble, recitals, articles, annexes. A document without any has no unit."""
+    marked = marked_lines(documents)
+    none, empty = F.lit(None).cast("string"), F.lit("")
+    flat = lambda df, zone, kind, number, title, citation: df.select("doc_id", F.lit(zone).alias("z"), "pos", F.lit(1).cast("long").alias("unit"), F.lit(kind).alias("type"), number.alias("number"), none.alias("paragraph"), title.alias("title"), empty.alias("chapter"), empty.alias("section"), citation.alias("citation"), empty.alias("breadcrumb"), "text")
+    preamble = flat(parse_preamble(marked), 0, "Preamble", F.lit("0"), F.lit(PREAMBLE_TITLE), F.lit("Preamble"))
+    recitals = flat(parse_recitals(marked), 1, "Recital", F.col("number"), none, F.concat(F.lit("Recital "), F.col("number")))
+    named = F.concat("type", F.lit(" "), "number", F.coalesce(F.concat(F.lit("("), F.col("paragraph"), F.lit(")")), empty))
+    crumb = breadcrumb(F.col("chapter"), F.col("section"), F.col("type"), F.col("number"), F.trim("title"))
+    rest = parse_provisions(marked).select("doc_id", F.when(F.col("type") == "Article", 2).otherwise(3).alias("z"), "pos", "unit", "type", "number", "paragraph", "title", "chapter", "section", named.alias("citation"), crumb.alias("breadcrumb"), "text")
+    rows = preamble.unionByName(recitals).unionByName(rest)
+    ord_ = F.row_number().over(Window.partitionBy("doc_id").orderBy("z", "pos", "unit")) - 1
+    return rows.withColumn("unit_ord", ord_).drop("z", "pos", "unit")

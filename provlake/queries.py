@@ -155,17 +155,18 @@ def macro_avg(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("mean_precision", "mean_recall")})
 
 
-@query(_S + "SELECT query_id, min(rank) FILTER (label = q_label) AS first_rank FROM knn GROUP BY 1")
+@query(_S + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s) SELECT query_id, min(rank) FILTER (label = q_label) AS first_rank FROM r GROUP BY 1")
 def rank_of_ref(spark, d):
-    """Over the whole corpus; the SQL reads the first 8 only, where it says null."""
+    """Over the whole corpus."""
     return V.first_rank(_vector_queries(spark, d), table(spark, d, "embeddings"), ("q_label", "label"))
 
 
 @query(_S + """, f AS (SELECT query_id, min(rank) FILTER (label = q_label) AS r, count(DISTINCT label) AS n FROM knn GROUP BY 1)
 SELECT k, CAST(sum(CASE WHEN r <= k THEN 1 ELSE 0 END) AS BIGINT) AS hits, round(avg(n), 6) AS mean_distinct FROM f, (SELECT unnest([1, 3, 5, 8]) AS k) GROUP BY 1""")
 def hits_at_k_distinct(spark, d):
-    (mean,) = _knn(spark, d).groupBy("query_id").agg(F.count_distinct("label").alias("n")).agg(F.round(F.avg("n"), 6)).first()
-    return S.hits_at(rank_of_ref(spark, d)).withColumn("mean_distinct", F.lit(mean).cast("double"))
+    distinct = _knn(spark, d).groupBy("query_id").agg(F.count_distinct("label").alias("n"))
+    each = rank_of_ref(spark, d).join(distinct, "query_id").withColumn("k", F.explode(F.array(*map(F.lit, S.KS))))
+    return each.groupBy("k").agg(F.sum(F.coalesce((F.col("first_rank") <= F.col("k")).cast("long"), F.lit(0))).alias("hits"), F.round(F.avg("n"), 6).alias("mean_distinct"))
 
 
 @query(_S + """SELECT query_id, string_agg('[' || rank || '] vector ' || id || chr(10) || 'label ' || label, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM knn GROUP BY 1""")
@@ -174,10 +175,10 @@ def context_block(spark, d):
     return _knn(spark, d).groupBy("query_id").agg(T.ordered_block(F.col("rank"), header, F.concat(F.lit("label "), F.col("label"))).alias("context"))
 
 
-@query(_S + """, a AS (SELECT query_id, id, sim, label FROM low WHERE label IN (1, 3))
+@query(_S + """, a AS (SELECT query_id, id, sim, label FROM s WHERE label IN (1, 3))
 SELECT query_id, id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM a QUALIFY rank <= 4""")
 def follow_refs(spark, d):
-    """References 1, 2, 3 asked for, of which 1 and 3 are allowed. All their rows count; the SQL reads 8 rows a query only."""
+    """References 1, 2, 3 asked for, of which 1 and 3 are allowed. All their rows count."""
     q = _vector_queries(spark, d)
     ref = lambda *r: q.select("query_id", F.explode(F.array(*map(F.lit, r))).alias("ref"))
     vectors = table(spark, d, "embeddings")
@@ -212,11 +213,6 @@ sc AS (SELECT query_id, doc_id AS id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.
 """
 
 
-def _bm25(spark, d) -> DataFrame:
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return V.bm25_scores(asked, table(spark, d, "documents")).withColumnRenamed("doc_id", "id")
-
-
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY 1")
 def corpus_stats(spark, d):
     return V.corpus_stats(table(spark, d, "documents"))
@@ -224,14 +220,24 @@ def corpus_stats(spark, d):
 
 @query(_BM + "SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc QUALIFY rank <= 8")
 def bm25_topk(spark, d):
-    return V.top_ranked(_bm25(spark, d), 8, id_col="id").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return V.bm25_topk(asked, table(spark, d, "documents"), 8).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(_BM + """, lists AS (SELECT query_id, id, 0 AS list_idx, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc QUALIFY rank <= 50
-UNION ALL SELECT query_id, id, 1, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, id) AS rank FROM sc QUALIFY rank <= 50)
-""" + _FUSED.format(lists="lists") + " QUALIFY rank <= 8")
+_SLOT = "CAST('0x' || substr(md5(term), 1, 4) AS INTEGER) % 64"
+_VECTORS = """{name}t AS (SELECT id, {slot} AS slot, count(*) AS c FROM (SELECT {id} AS id, unnest({tok}) AS term FROM {table}) GROUP BY ALL),
+{name}n AS (SELECT id, sqrt(sum(c * c)) AS n FROM {name}t GROUP BY 1), {name}v AS (SELECT id, slot, CAST(CAST(c / n AS FLOAT) AS DOUBLE) AS v FROM {name}t JOIN {name}n USING (id))"""
+
+
+@query(_BM + ", " + _VECTORS.format(name="e", slot=_SLOT, id="doc_id", tok=_TOK, table="documents") + ", " + _VECTORS.format(name="b", slot=_SLOT, id="item_id", tok=_TOK, table="benchmark") + """,
+every AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark, documents),
+dot AS (SELECT bv.id AS query_id, ev.id, round(sum(bv.v * ev.v), 6) AS sim FROM bv JOIN ev USING (slot) GROUP BY 1, 2),
+dense AS (SELECT a.id AS query_id, b.id, coalesce(sim, 0) AS sim FROM bn a CROSS JOIN en b LEFT JOIN dot ON dot.query_id = a.id AND dot.id = b.id),
+lists AS (SELECT query_id, id, 0 AS list_idx, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(score, 0), 9) DESC, id) AS rank FROM every LEFT JOIN sc USING (query_id, id)
+UNION ALL SELECT query_id, id, 1, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) FROM dense)
+""" + _FUSED.format(lists="lists").replace("* 1000 +", "* 1000000000 +") + " QUALIFY rank <= 8")
 def hybrid_topk(spark, d):
-    """BM25 and hashed embeddings over all documents; the SQL fuses two cut lists, of BM25 and of matched terms."""
+    """BM25 and hashed embeddings, each a ranking of all documents."""
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return V.hybrid(asked, table(spark, d, "documents"), hashed_embedding, 8)
 
@@ -239,7 +245,7 @@ def hybrid_topk(spark, d):
 # --- provisions, units, chunks ---------------------------------------------------------------------------
 
 _LINES = """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-u AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS unit_ord, text, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]')) AS n_tokens FROM l WHERE regexp_matches(text, '[^ \\t]')),
+u AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS unit_ord, text, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^ \\t\\n\\x0B\\f\\rA-Za-z0-9]')) AS n_tokens FROM l WHERE regexp_matches(text, '[^ \\t]')),
 g AS (SELECT doc_id, unit_ord, n_tokens, text, 1 AS grp, n_tokens AS t FROM u WHERE unit_ord = 0
 UNION ALL SELECT u.doc_id, u.unit_ord, u.n_tokens, u.text, CASE WHEN g.t + u.n_tokens + 1 <= 60 THEN g.grp ELSE g.grp + 1 END, CASE WHEN g.t + u.n_tokens + 1 <= 60 THEN g.t + u.n_tokens + 1 ELSE u.n_tokens END FROM g JOIN u ON u.doc_id = g.doc_id AND u.unit_ord = g.unit_ord + 1)
 """
@@ -264,10 +270,13 @@ def merge_ranges(spark, d):
     return C.merge_groups(C.pack_size(_units(spark, d), 60)).withColumn("n_units", F.col("n_units").cast("long"))
 
 
-_WIN = _LINES + """, t AS (SELECT doc_id, unit_ord, text, regexp_extract_all(text, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]') AS t FROM u),
-w AS (SELECT doc_id, unit_ord, CASE WHEN len(t) > 50 THEN CAST(i // 50 + 1 AS INTEGER) END AS part, least(50, len(t) - i) AS n_tokens, CASE WHEN len(t) <= 50 THEN text ELSE array_to_string(t[i + 1:i + 50], ' ') END AS body, i
-FROM (SELECT *, unnest(range(0, len(t), 50)) AS i FROM t WHERE len(t) > 0))
-"""
+_WS = " \\t\\n\\x0B\\f\\r"
+_SLICES = "regexp_extract_all({text}, '(?:[" + _WS + "]*(?:[A-Za-z0-9]+|[^" + _WS + "A-Za-z0-9])){{1,{n}}}')"
+_LTRIM = "regexp_replace({x}, '^[" + _WS + "]+', '')"
+_WIN = _LINES + """, t AS (SELECT doc_id, unit_ord, text, n_tokens AS n, __SLICES__ AS p FROM u WHERE n_tokens > 0),
+w AS (SELECT doc_id, unit_ord, CASE WHEN n > 50 THEN CAST(i AS INTEGER) END AS part, least(50, n - 50 * (i - 1)) AS n_tokens, CASE WHEN n <= 50 THEN text ELSE __LTRIM__ END AS body, i
+FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM t))
+""".replace("__SLICES__", _SLICES.format(text="text", n=50)).replace("__LTRIM__", _LTRIM.format(x="p[i]"))
 
 
 @query(_WIN + "SELECT doc_id, unit_ord, part, n_tokens, body FROM w")
@@ -285,8 +294,12 @@ def _chunks(spark, d) -> DataFrame:
 _CH = _WIN + ", c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit_ord, i) AS chunk_ord FROM w)\n"
 
 
-@query(_CH + """, b AS (SELECT *, lag(body) OVER (PARTITION BY doc_id ORDER BY chunk_ord) AS prev FROM c), x AS (SELECT *, regexp_extract_all(prev, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]') AS pt FROM b)
-SELECT doc_id, chunk_ord, part, CASE WHEN part >= 2 AND prev IS NOT NULL THEN '… ' || array_to_string(pt[greatest(1, len(pt) - 9):], ' ') || chr(10) || body ELSE body END AS text FROM x""")
+# the last 10 tokens: what is left of the text when all tokens before them are cut off
+_TAIL = "regexp_replace(substr({b}, length(array_to_string(array_slice(regexp_extract_all({b}, '[" + _WS + "]*(?:[A-Za-z0-9]+|[^" + _WS + "A-Za-z0-9])'), 1, greatest(0, len(regexp_extract_all({b}, '[A-Za-z0-9]+|[^" + _WS + "A-Za-z0-9]')) - 10)), '')) + 1), '^[" + _WS + "]+|[" + _WS + "]+$', '', 'g')"
+
+
+@query(_CH + """, b AS (SELECT *, lag(body) OVER (PARTITION BY doc_id ORDER BY chunk_ord) AS prev FROM c)
+SELECT doc_id, chunk_ord, part, CASE WHEN part >= 2 AND prev IS NOT NULL THEN '… ' || """ + _TAIL.format(b="prev") + """ || chr(10) || body ELSE body END AS text FROM b""")
 def overlap_tail(spark, d):
     return C.overlap_tail(_chunks(spark, d), 10).select("doc_id", "chunk_ord", "part", "text")
 
@@ -335,8 +348,9 @@ def toc(spark, d):
     return C.toc_breaks(table(spark, d, "documents").select("doc_id", "source", "lang"), "source", "doc_id", "lang")
 
 
-@query("""SELECT conv_id, b AS block, min(text) FILTER (h) AS header, string_agg(text, chr(10) ORDER BY turn) FILTER (NOT h) AS body FROM (
-SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM (SELECT conv_id, turn, role = 'user' AS h, role || ': ' || replace(text, chr(10), ' ') AS text FROM conversations)) WHERE b > 0 GROUP BY 1, 2""".replace("AS body FROM", "AS body0 FROM").replace("SELECT conv_id, b AS block, min(text) FILTER (h) AS header, string_agg", "SELECT conv_id, CAST(block AS BIGINT) AS block, header, coalesce(body0, '') AS body FROM (SELECT conv_id, b AS block, min(text) FILTER (h) AS header, string_agg") + ")")
+@query("""WITH l AS (SELECT conv_id, turn, role = 'user' AS h, role || ': ' || replace(text, chr(10), ' ') AS text FROM conversations),
+b AS (SELECT *, CAST(sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS block FROM l)
+SELECT conv_id, block, min(text) FILTER (h) AS header, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (NOT h), '') AS body FROM b WHERE block > 0 GROUP BY 1, 2""")
 def split_by_header(spark, d):
     lines = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.concat("role", F.lit(": "), F.replace("text", F.lit("\n"), F.lit(" "))).alias("text"))
     return C.split_by_header(lines, "^user: ").withColumnRenamed("doc_id", "conv_id")
@@ -365,56 +379,85 @@ def _provisions(spark, d) -> DataFrame:
     return doc.select(F.col("doc_id").alias("chunk_id"), kind.alias("type"), number.alias("number"), F.concat(R.int_to_roman(n % 9 + 1), F.lit(" - Title")).alias("chapter"), F.concat((n % 5).cast("string"), F.lit(" - Part")).alias("section"))
 
 
-QUESTIONS = [(1, "what do articles 9 to 12 say"), (2, "explain annex II and annex 5"), (3, "recital 24, 25"), (4, "chapter 3 section 4"), (5, "section 2"), (6, "chapter IV"), (7, "hello")]
+def _roman_sql(n: str) -> str:
+    return f"['','X','XX','XXX','XL','L','LX','LXX','LXXX','XC'][({n}) // 10 % 10 + 1] || ['','I','II','III','IV','V','VI','VII','VIII','IX'][({n}) % 10 + 1]"
 
 
-@query("""WITH d AS (SELECT doc_id, doc_id % 3 AS t, doc_id % 9 + 1 AS c, doc_id % 5 AS s FROM documents)
-SELECT 1 AS query_id, doc_id AS chunk_id FROM d WHERE t = 0 AND doc_id BETWEEN 9 AND 12 UNION ALL
-SELECT 2, doc_id FROM d WHERE t = 2 AND doc_id IN (2, 5) UNION ALL
-SELECT 3, doc_id FROM d WHERE t = 1 AND doc_id <= 25 AND doc_id + 2 >= 24 UNION ALL
-SELECT 4, doc_id FROM d WHERE c = 3 AND s = 4 UNION ALL
-SELECT 5, doc_id FROM d WHERE s = 2 UNION ALL
-SELECT 6, doc_id FROM d WHERE c = 4""")
+@query("""WITH d AS (SELECT doc_id, doc_id % 3 AS t, doc_id % 9 + 1 AS c, doc_id % 5 AS s FROM documents), b AS (SELECT item_id AS query_id, item_id % 7 AS i, item_id % 90 + 1 AS n FROM benchmark)
+SELECT query_id, doc_id AS chunk_id FROM b JOIN d ON t = 0 AND doc_id BETWEEN n AND n + 3 WHERE i = 0 UNION ALL
+SELECT query_id, doc_id FROM b JOIN d ON t = 2 AND doc_id IN (n, n + 4) WHERE i = 1 UNION ALL
+SELECT query_id, doc_id FROM b JOIN d ON t = 1 AND doc_id <= n + 1 AND doc_id + 2 >= n WHERE i = 2 UNION ALL
+SELECT query_id, doc_id FROM b JOIN d ON c = n % 9 + 1 AND s = n % 5 WHERE i = 3 UNION ALL
+SELECT query_id, doc_id FROM b JOIN d ON s = n % 5 WHERE i = 4 UNION ALL
+SELECT query_id, doc_id FROM b JOIN d ON c = n % 9 + 1 WHERE i = 5""")
 def metadata_match(spark, d):
-    asked = spark.createDataFrame(QUESTIONS, "query_id int, text string").select("query_id", F.explode(R.parse_question(F.col("text"))).alias("r")).select("query_id", "r.*")
+    """A question for each benchmark item, against all provisions."""
+    n, i = (F.col("item_id") % 90 + 1).cast("int"), F.col("item_id") % 7
+    say = lambda form, *x: F.format_string(form, *x)
+    text = F.when(i == 0, say("what do articles %d to %d say", n, n + 3)).when(i == 1, say("explain annex %s and annex %d", R.int_to_roman(n), n + 4)).when(i == 2, say("recital %d, %d", n, n + 1))
+    text = text.when(i == 3, say("chapter %d section %d", n % 9 + 1, n % 5)).when(i == 4, say("section %d", n % 5)).when(i == 5, say("chapter %s", R.int_to_roman(n % 9 + 1))).otherwise("hello")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(R.parse_question(text)).alias("r")).select("query_id", "r.*")
     return R.match_provisions(_provisions(spark, d), asked).select("query_id", "chunk_id")
 
 
-def _values(rows: list[tuple]) -> str:
-    quote = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
-    return "(VALUES " + ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows) + ")"
+def _named_refs(refs: F.Column) -> F.Column:
+    return F.array_join(F.transform(refs, lambda r: F.concat_ws(" ", r["kind"], r["num"].cast("string"))), ", ")
 
 
-#: Questions and their references in the strict grammar.
-STRICT = [
-    ("what does article 97 talk about?", "article 97"), ("summarize Article 112", "article 112"), ("what does Annex 11 talk about?:", "annex XI"),
-    ("explain annex III and annex iv", "annex III, annex IV"), ("recitals 24, 25 and article 2", "article 2, recital 24, recital 25"),
-    ("articles 9 to 12", "article 10, article 11, article 12, article 9"), ("article 10(2) on bias", "article 10"), ("art. 5 prohibitions", "article 5"),
-    ("Chapter III Section 4", "chapter III, section 4"), ("what does the preamble say", "preamble 0"), ("how many annexes do we have?", ""),
-    ("what article talks about AI literacy?", ""), ("which section talks about notifying everyone?", ""), ("annex civil liability", ""), ("what is an AI system", ""),
-    ("annexes III and IV", "annex III, annex IV"),
-]
-#: Citations and their references in the loose grammar.
-LOOSE = [
-    ("article 13", "article 13"), ("Article 13(a)", "article 13"), ("article 10(2), 10(5)", "article 10"), ("Recital 24, 25, article 2", "article 2, recital 24, recital 25"),
-    ("annex 3, Article 9-15, 16", "annex 3, article 9, article 10, article 11, article 12, article 13, article 14, article 15, article 16".replace("annex 3, ", "annex 3, ")),
-    ("Section 4, article 28", "article 28"), ("artcile 97", "article 97"), ("Annex III(2)", "annex 3"), ("Annex VIII", "annex 8"), ("Article 71, Annex 8", "annex 8, article 71"),
-    ("preamble 0", "preamble 0"), ("Preamble", "preamble 0"), ("", ""),
-]
+def _texts(spark, d, *forms) -> DataFrame:
+    """doc_id, n and text: one of the forms of n = doc_id % 90 + 1, by doc_id."""
+    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 90 + 1).cast("int").alias("n"), (F.col("doc_id") % len(forms)).alias("i"))
+    text = F.lit(None).cast("string")
+    for i, f in enumerate(forms):
+        text = F.when(F.col("i") == i, f(F.col("n"))).otherwise(text)
+    return docs.withColumn("text", text)
 
 
-def _named_refs(refs: F.Column) -> F.Column:
-    return F.array_join(F.transform(refs, lambda r: F.concat_ws(" ", r["kind"], r["num"].cast("string"))), ", ")
+def _text_sql(*values: str) -> str:
+    cases = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values))
+    return f"SELECT doc_id, CASE doc_id % {len(values)} {cases} END AS {{name}} FROM (SELECT doc_id, CAST(doc_id % 90 + 1 AS INTEGER) AS n FROM documents)"
 
 
-@query(f"SELECT * FROM {_values(STRICT)} v(text, refs)")
+_say = lambda form, *f: lambda n: F.format_string(form, *[x(n) for x in f])
+_own = lambda n: n
+_plus = lambda k: lambda n: n + k
+_list = lambda *x: "array_to_string(list_sort([" + ", ".join(x) + "]), ', ')"
+
+
+@query(_text_sql(
+    _list("'article ' || n", "'article ' || (n + 1)", "'article ' || (n + 2)"), _list("'annex ' || " + _roman_sql("n"), "'recital ' || n"), _list("'recital ' || n", "'recital ' || (n + 1)", "'article ' || (n + 5)"),
+    "'chapter ' || " + _roman_sql("n") + " || ', section ' || n", "'article ' || n", "''", _list("'annex ' || " + _roman_sql("n"), "'annex ' || " + _roman_sql("n + 1")), "'preamble 0'",
+).replace("{name}", "refs"))
 def parse_question(spark, d):
-    return spark.createDataFrame([(t,) for t, _ in STRICT], "text string").select("text", _named_refs(R.parse_question(F.col("text"))).alias("refs"))
+    rows = _texts(
+        spark, d, _say("what do articles %d to %d say?", _own, _plus(2)), _say("explain annex %s and recital %d", R.int_to_roman, _own), _say("recitals %d, %d and article %d", _own, _plus(1), _plus(5)),
+        _say("Chapter %d Section %d", _own, _own), _say("art. %d(2) on bias", _own), _say("how many annexes are there in %d? annex civil liability", _own), _say("annexes %s and %d", R.int_to_roman, _plus(1)), _say("what does the preamble say in %d", _own),
+    )
+    return rows.select("doc_id", _named_refs(R.parse_question(F.col("text"))).alias("refs"))
+
 
+_refs_sql = lambda *x: "array_to_string(list_transform(list_sort([" + ", ".join("{'k': '" + k + "', 'n': CAST(" + n + " AS INTEGER)}" for k, n in x) + "]), lambda r: r.k || ' ' || r.n), ', ')"
 
-@query(f"SELECT * FROM {_values(LOOSE)} v(text, refs)")
+
+@query(_text_sql(
+    _refs_sql(("article", "n")), _refs_sql(("article", "n")), _refs_sql(("recital", "n"), ("recital", "n + 1"), ("article", "n + 2")), _refs_sql(("annex", "3"), ("article", "n"), ("article", "n + 1"), ("article", "n + 2"), ("article", "n + 9")),
+    _refs_sql(("article", "n")), _refs_sql(("annex", "n")), "'preamble 0'", "''", _refs_sql(("article", "n"), ("article", "n + 3")), _refs_sql(("annex", "143")),
+).replace("{name}", "refs"))
 def parse_refs(spark, d):
-    return spark.createDataFrame([(t,) for t, _ in LOOSE], "text string").select("text", _named_refs(R.parse_refs(F.col("text"))).alias("refs"))
+    rows = _texts(
+        spark, d, _say("artcile %d(a)", _own), _say("article %d(2), %d(5)", _own, _own), _say("Recital %d, %d, article %d", _own, _plus(1), _plus(2)), _say("annex 3, Article %d-%d, %d", _own, _plus(2), _plus(9)),
+        _say("Section 4, article %d", _own), _say("Annex %s(2)", lambda n: F.when(n < 90, R.int_to_roman(n)).otherwise(n.cast("string"))), _say("Preamble %d", _own), lambda n: F.lit(""), _say("articles %d to %d", _own, _plus(3)), lambda n: F.lit("annex civil liability"),
+    )
+    return rows.select("doc_id", _named_refs(R.parse_refs(F.col("text"))).alias("refs"))
+
+
+@query(_text_sql(
+    "'article|' || n || '|1,2,3'", "'annex|' || n || '|' || n", "'recital|' || n || '|'", "NULL", "NULL", "'article|' || n || '|'",
+).replace("{name}", "detail"))
+def citation_detail(spark, d):
+    rows = _texts(spark, d, _say("Article %d(1-3)", _own), _say("Annex %s(%d)", lambda n: F.when(n < 90, R.int_to_roman(n)).otherwise(n.cast("string")), _own), _say("Recitals %d-%d", _own, _plus(2)), _say("Article %da", _own), _say("see Article %d", _own), _say(" Article %d ", _own))
+    c = R.citation_detail(F.col("text"))
+    return rows.select("doc_id", F.concat_ws("|", c["kind"], c["num"].cast("string"), F.array_join(F.array_sort(c["labels"]), ",")).alias("t"), c.alias("c")).select("doc_id", F.when(F.col("c").isNotNull(), F.col("t")).alias("detail"))
 
 
 @query("""SELECT doc_id, ['','M','MM','MMM'][n // 1000 + 1] || ['','C','CC','CCC','CD','D','DC','DCC','DCCC','CM'][n // 100 % 10 + 1] || ['','X','XX','XXX','XL','L','LX','LXX','LXXX','XC'][n // 10 % 10 + 1] || ['','I','II','III','IV','V','VI','VII','VIII','IX'][n % 10 + 1] AS roman, CAST(n AS INTEGER) AS back FROM (SELECT doc_id, doc_id % 3999 + 1 AS n FROM documents)""")
@@ -423,49 +466,41 @@ def roman(spark, d):
     return table(spark, d, "documents").select("doc_id", r.alias("roman"), R.roman_to_int(r).alias("back"))
 
 
-RANGES = [("1-5", "1,2,3,4,5"), ("7", "7"), ("", ""), ("5-3", ""), ("2 – 4", "2,3,4"), ("47a", "47a")]
-
-
-@query(f"SELECT * FROM {_values(RANGES)} v(label, items)")
+@query(_text_sql("n || ',' || (n + 1) || ',' || (n + 2)", "CAST(n AS VARCHAR)", "''", "''", "n || ',' || (n + 1)", "n || 'a'").replace("{name}", "items"))
 def expand_range(spark, d):
-    return spark.createDataFrame([(t,) for t, _ in RANGES], "label string").select("label", F.array_join(R.expand_range(F.col("label")), ",").alias("items"))
+    rows = _texts(spark, d, _say("%d-%d", _own, _plus(2)), _say("%d", _own), lambda n: F.lit(""), _say("%d-%d", _plus(3), _own), _say("%d – %d", _own, _plus(1)), _say(" %da", _own))
+    return rows.select("doc_id", F.array_join(R.expand_range(F.col("text")), ",").alias("items"))
 
 
-@query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id % 3, CAST(n_chars % 40 AS INTEGER), doc_id) AS place FROM documents")
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id % 3, CAST(n_chars % 40 AS INTEGER), doc_id) AS place FROM documents")
 def lead_int_sort(spark, d):
-    from pyspark.sql import Window
-
+    """The place of every document in the order of type, leading number and id, as in an export."""
     label = F.concat((F.col("n_chars") % 40).cast("string"), F.lit("-"), F.col("n_chars").cast("string"))
-    return table(spark, d, "documents").select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.col("doc_id") % 3, R.lead_int(label), "doc_id")).alias("place"))
+    rows = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 3).alias("kind"), R.lead_int(label).alias("lead"))
+    return S.places(rows, ["kind", "lead"], "doc_id").select("doc_id", "place")
 
 
 REFUSED = "I cannot find an answer to this in the EU AI Act excerpts provided"
-ANSWERS = [(REFUSED + ".", True), ("  " + REFUSED.upper(), True), ("Sorry: " + REFUSED + ", but", True), ("Article 5 says so.", False), (None, False), ("x" * 60 + " " + REFUSED, False)]
 
 
-@query("SELECT * FROM " + "(VALUES " + ", ".join(f"({'NULL' if a is None else chr(39) + a + chr(39)}, {b})" for a, b in ANSWERS) + ") v(answer, refusal)")
+@query(f"""WITH a AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{REFUSED}. ' || text WHEN 1 THEN '  ' || repeat('x', CAST(doc_id % 60 AS INTEGER)) || upper('{REFUSED}') WHEN 2 THEN text END AS answer FROM documents)
+SELECT doc_id, coalesce(contains(substr(lower(trim(answer)), 1, {len(REFUSED) + 40}), lower('{REFUSED}')), false) AS refusal FROM a""")
 def is_refusal(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in ANSWERS], "answer string").select("answer", T.is_refusal(F.col("answer")).alias("refusal"))
-
+    i = F.col("doc_id") % 4
+    answer = F.when(i == 0, F.concat(F.lit(REFUSED + ". "), "text")).when(i == 1, F.concat(F.lit("  "), F.repeat(F.lit("x"), (F.col("doc_id") % 60).cast("int")), F.lit(REFUSED.upper()))).when(i == 2, F.col("text"))
+    return table(spark, d, "documents").select("doc_id", T.is_refusal(answer).alias("refusal"))
 
-CITED = [("See article 5(2) and  Article  5(2), then annex iv.", "Article 5(2)|Annex iv"), ("RECITAL 12; recital 12", "RECITAL 12"), ("none", "")]
 
-
-@query(f"SELECT * FROM {_values(CITED)} v(answer, cited)")
+@query(_text_sql("'Article ' || n || '(2)|Annex iv'", "'RECITAL ' || n", "''").replace("{name}", "cited"))
 def citation_dedup(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in CITED], "answer string").select("answer", F.array_join(T.citations(F.col("answer")), "|").alias("cited"))
-
+    rows = _texts(spark, d, _say("See article %d(2) and  Article  %d(2), then annex iv.", _own, _own), _say("RECITAL %d; recital %d", _own, _own), lambda n: F.lit("none"))
+    return rows.select("doc_id", F.array_join(T.citations(F.col("text")), "|").alias("cited"))
 
-UNSUPPORTED = [("Yes (Article 5, Annex III).", "Article 5", "annex 3"), ("Yes (Article 5(2)).", "Article 5", ""), ("No (Recital 7, Article 9-11)", "Article 10", "article 11, article 9, recital 7")]
 
-
-@query(f"SELECT * FROM {_values(UNSUPPORTED)} v(answer, kept, unsupported)")
+@query(_text_sql("'annex 3'", "''", _list("'article ' || (n + 1)", "'article ' || (n + 2)", "'recital 7'")).replace("{name}", "unsupported"))
 def unsupported_citations(spark, d):
-    rows = spark.createDataFrame([(a, k) for a, k, _ in UNSUPPORTED], "answer string, kept string")
-    inside = F.array_join(F.regexp_extract_all("answer", F.lit(r"\((?:[^()]|\([^()]*\))*\)"), F.lit(0)), " ; ")
-    gone = F.array_except(R.parse_refs(F.regexp_replace(inside, r"^\(", "")), R.parse_refs(F.col("kept")))
-    named = F.array_sort(F.transform(gone, lambda r: F.concat_ws(" ", r["kind"], r["num"].cast("string"))))
-    return rows.select("answer", "kept", F.array_join(named, ", ").alias("unsupported"))
+    rows = _texts(spark, d, _say("Yes (Article %d, Annex III).", _own), _say("Yes (Article %d(5)).", _own), _say("No (Recital 7, Article %d-%d)", _own, _plus(2)))
+    return rows.select("doc_id", F.array_join(R.unsupported_citations(F.col("text"), F.format_string("Article %d", "n")), ", ").alias("unsupported"))
 
 
 # --- scoring ---------------------------------------------------------------------------------------------
@@ -590,32 +625,38 @@ def label_override(spark, d):
     return L.with_overrides(results, human, ["doc_id"]).select("doc_id", "score", "overridden")
 
 
-@query("""WITH l AS (SELECT doc_id, 'lesson ' || doc_id AS lesson, toxic AS js, quality AS hs FROM labels WHERE doc_id % 3 = 0),
-s AS (SELECT doc_id, 1 - toxic AS judge, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE quality END AS human FROM labels WHERE doc_id % 2 = 0)
+@query("""WITH l AS (SELECT doc_id, 'lesson ' || doc_id AS lesson, toxic AS js, quality AS hs FROM labels),
+s AS (SELECT doc_id, CASE WHEN toxic + quality > 0 THEN 1 - toxic END AS judge, CASE WHEN n_chars % 4 = 0 THEN NULL ELSE n_chars % 2 END AS human FROM documents LEFT JOIN labels USING (doc_id))
 SELECT doc_id, coalesce(lesson, '') AS lesson, CASE WHEN a IN ('insert', 'update') THEN judge ELSE js END AS judge_score, CASE WHEN a IN ('insert', 'update') THEN human ELSE hs END AS human_score, a AS action FROM (
 SELECT coalesce(l.doc_id, s.doc_id) AS doc_id, lesson, js, hs, judge, human, CASE WHEN s.doc_id IS NOT NULL AND l.doc_id IS NOT NULL AND judge IS NOT DISTINCT FROM human THEN 'delete' WHEN s.doc_id IS NOT NULL AND judge IS DISTINCT FROM human AND human IS NOT NULL THEN CASE WHEN l.doc_id IS NOT NULL THEN 'update' ELSE 'insert' END WHEN l.doc_id IS NOT NULL THEN 'keep' END AS a FROM l FULL JOIN s ON l.doc_id = s.doc_id) WHERE a IS NOT NULL""")
 def label_merge(spark, d):
     t = table(spark, d, "labels")
-    labels = t.filter("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("lesson "), F.col("doc_id")).alias("lesson"), F.col("toxic").alias("judge_score"), F.col("quality").alias("human_score"), F.lit("old").alias("judge_reasoning"))
-    sheet = t.filter("doc_id % 2 = 0").select("doc_id", (1 - F.col("toxic")).alias("judge"), F.when(F.col("doc_id") % 4 != 0, F.col("quality")).alias("human"), F.lit("new").alias("reasoning"))
+    labels = t.select("doc_id", F.concat(F.lit("lesson "), F.col("doc_id")).alias("lesson"), F.col("toxic").alias("judge_score"), F.col("quality").alias("human_score"), F.lit("old").alias("judge_reasoning"))
+    sheet = table(spark, d, "documents").join(t, "doc_id", "left").select("doc_id", F.when(F.col("toxic") + F.col("quality") > 0, 1 - F.col("toxic")).alias("judge"), F.when(F.col("n_chars") % 4 != 0, F.col("n_chars") % 2).alias("human"), F.lit("new").alias("reasoning"))
     return L.merge_labels(labels, sheet, ["doc_id"]).drop("judge_reasoning")
 
 
-JSON_TEXTS = [('```json {"score": 1}``` end', '{"score": 1}', 1), ('x {"score": "0"} y', '{"score": "0"}', 0), ('{"score": 7}', '{"score": 7}', None), ("no object", None, None), ('{"score": null}', '{"score": null}', None)]
+_JSON = {0: '```json\\n{"score": %d}\\n``` end {x}', 1: 'x {"score": "%d"} y', 2: '{"score": %d}', 3: "no object %d", 4: '{"score": null, "n": %d}', 5: '{"score": "high", "n": %d}'}
 
 
-@query(f"SELECT text, object, CAST(score AS INTEGER) AS score FROM {_values(JSON_TEXTS)} v(text, object, score)")
+@query("""SELECT doc_id, CASE i WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE CASE WHEN v IN (0, 1) THEN CAST(v AS INTEGER) END END AS score,
+CASE i WHEN 3 THEN 'no score' WHEN 4 THEN 'no score' WHEN 5 THEN 'score is not a number: high' ELSE CASE WHEN v NOT IN (0, 1) THEN 'score out of range: ' || v END END AS reason
+FROM (SELECT doc_id, doc_id % 6 AS i, quality + toxic + doc_id % 2 AS v FROM labels)""")
 def judge_verdicts(spark, d):
-    rows = spark.createDataFrame([(t,) for t, *_ in JSON_TEXTS], "text string").withColumn("object", T.json_object(F.col("text")))
-    return rows.withColumn("score", T.verdict(F.get_json_object("object", "$.score"), F.lit(None).cast("string")))
-
+    rows = table(spark, d, "labels").select("doc_id", (F.col("doc_id") % 6).alias("i"), (F.col("quality") + F.col("toxic") + F.col("doc_id") % 2).alias("v"))
+    said = F.lit(None).cast("string")
+    for i, form in _JSON.items():
+        said = F.when(F.col("i") == i, F.format_string(form.replace("\\n", "\n"), F.col("v"))).otherwise(said)
+    score, none = F.get_json_object(T.json_object(said), "$.score"), F.lit(None).cast("string")
+    return rows.select("doc_id", T.verdict(score, none).alias("score"), T.verdict_reason(score, none).alias("reason"))
 
-LOCATIONS = [("III - HIGH RISK", "4 - Title", "Location: Chapter III (HIGH RISK) > Section 4 (Title)"), ("V", "", "Location: Chapter V"), ("", "", None)]
 
-
-@query(f"SELECT * FROM {_values(LOCATIONS)} v(chapter, section, line)")
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Location: Chapter ' || """ + _roman_sql("doc_id % 9 + 1") + """ || ' (HIGH RISK) > Section ' || (doc_id % 5) || ' (' || source || ')' WHEN 1 THEN 'Location: Chapter ' || """ + _roman_sql("doc_id % 9 + 1") + """ END AS line FROM documents""")
 def location_line(spark, d):
-    return spark.createDataFrame([r[:2] for r in LOCATIONS], "chapter string, section string").withColumn("line", T.location_line(F.col("chapter"), F.col("section")))
+    n, i = R.int_to_roman((F.col("doc_id") % 9 + 1).cast("int")), F.col("doc_id") % 3
+    chapter = F.when(i == 0, F.concat(n, F.lit(" - HIGH RISK"))).when(i == 1, n).otherwise("")
+    section = F.when(i == 0, F.concat((F.col("doc_id") % 5).cast("string"), F.lit(" - "), "source")).otherwise("")
+    return table(spark, d, "documents").select("doc_id", T.location_line(chapter, section).alias("line"))
 
 
 @query("SELECT doc_id, array_to_string(string_split(text, chr(10))[1:1], '') AS first_line, source FROM documents WHERE contains(lower(source), 'src1')")
@@ -634,28 +675,91 @@ def extract_pages(spark, d):
     return table(spark, d, "pages").select("page_id", "url", F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"[ \t\n\f\r]+", " ")).alias("text"))
 
 
-@query("""SELECT conv_id AS doc_id, 'Article' AS type, CAST(conv_id + 1 AS VARCHAR) AS number, CAST(turn + 1 AS VARCHAR) AS paragraph, 'Turns' AS title, 'I - All' AS chapter, '2 - Part' AS section, (turn + 1) || '. ' || t AS text
-FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations) WHERE turn < 99 AND t <> ''""")
+_TURNS = "SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations"
+
+
+def _regulations(spark, d) -> DataFrame:
+    """Conversations as regulations: a preamble, a recital for each role, 50 turns to an article, an annex of roles."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", F.trim(F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", " ")).alias("t"))
+    line = F.concat(F.when(F.col("turn") % 50 == 0, F.concat(F.lit("Article "), F.floor(F.col("turn") / 50) + 1, F.lit("\nAll turns\n"))).otherwise(""), F.col("turn") % 50 + 1, F.lit(". "), F.col("t"))
+    body = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))).alias("r"), F.array_sort(F.collect_set("role")).alias("roles"))
+    numbered = lambda form: F.array_join(F.transform("roles", lambda x, i: F.format_string(form, i + 1, x)), "\n")
+    head = F.concat(F.lit("ACT ON CONVERSATION "), F.col("conv_id"), F.lit("\nlaying down what was said in it by all of those who took part, in the order in which they spoke\nHaving regard to them,\nWhereas:\n"))
+    text = F.concat(head, numbered("(%d) %s"), F.lit("\n(1) OJ C 5, a footnote\nHAVE ADOPTED THIS REGULATION:\nCHAPTER I\nGeneral - part\nSECTION 2\nTurns\n"), F.array_join(F.transform("r", lambda x: x["l"]), "\n"), F.lit("\nANNEX IV\nRoles\n"), numbered("(%d) %s"))
+    return body.select(F.col("conv_id").alias("doc_id"), text.alias("text"))
+
+
+@query("""WITH t AS (""" + _TURNS + """)
+SELECT conv_id AS doc_id, 'Article' AS type, CAST(turn // 50 + 1 AS VARCHAR) AS number, CAST(turn % 50 + 1 AS VARCHAR) AS paragraph, 'All turns' AS title, 'I - General - part' AS chapter, '2 - Turns' AS section, (turn % 50 + 1) || '. ' || t AS text FROM t WHERE t <> ''""")
 def structure_roundtrip(spark, d):
     """Conversations written out as chapters, sections, articles and paragraphs, then parsed back."""
     from .operators import structure as X
 
-    turns = table(spark, d, "conversations").filter("turn < 99").select("conv_id", "turn", F.trim(F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", " ")).alias("t"))
-    line = F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), F.col("t"))
-    body = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))).alias("r"))
-    head = F.concat(F.lit("(1) whereas\nHAVE ADOPTED THIS REGULATION:\nCHAPTER I\nAll\nSECTION 2\nPart\nArticle "), (F.col("conv_id") + 1).cast("string"), F.lit("\nTurns\n"))
-    docs = body.select(F.col("conv_id").alias("doc_id"), F.concat(head, F.array_join(F.transform("r", lambda x: x["l"]), "\n"), F.lit("\nANNEX I\nNone\n")).alias("text"))
-    return X.parse_provisions(X.marked_lines(docs)).filter("type = 'Article'").select("doc_id", "type", "number", "paragraph", "title", "chapter", "section", "text")
+    return X.parse_provisions(X.marked_lines(_regulations(spark, d))).filter("type = 'Article'").select("doc_id", "type", "number", "paragraph", "title", "chapter", "section", "text")
+
+
+_UNITS = """WITH t AS (""" + _TURNS + """), roles AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY role) AS i FROM (SELECT DISTINCT conv_id, role FROM conversations)),
+c AS (SELECT DISTINCT conv_id FROM t),
+un AS (SELECT conv_id, 0 AS z, 1 AS o, 'Preamble' AS type, '0' AS number, NULL AS paragraph, 'Preamble' AS citation, '' AS crumb, 'ACT ON CONVERSATION ' || conv_id || chr(10) || 'laying down what was said in it by all of those who took part, in the order in which they spoke' AS text FROM c
+UNION ALL SELECT conv_id, 0, 2, 'Preamble', '0', NULL, 'Preamble', '', 'Having regard to them,' FROM c UNION ALL SELECT conv_id, 0, 3, 'Preamble', '0', NULL, 'Preamble', '', 'Whereas:' FROM c
+UNION ALL SELECT conv_id, 1, i, 'Recital', CAST(i AS VARCHAR), NULL, 'Recital ' || i, '', '(' || i || ') ' || role FROM roles
+UNION ALL SELECT conv_id, 2, turn, 'Article', CAST(turn // 50 + 1 AS VARCHAR), CAST(turn % 50 + 1 AS VARCHAR), 'Article ' || (turn // 50 + 1) || '(' || (turn % 50 + 1) || ')', 'Chapter I: General - part' || chr(10) || 'Section 2: Turns' || chr(10) || 'Article ' || (turn // 50 + 1) || ': All turns', (turn % 50 + 1) || '. ' || t FROM t WHERE t <> ''
+UNION ALL SELECT conv_id, 3, i, 'Annex', 'IV', CAST(i AS VARCHAR), 'Annex IV(' || i || ')', 'Annex IV: Roles', i || '. ' || role FROM roles)
+"""
+
 
+@query(_UNITS + "SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY z, o) - 1 AS unit_ord, type, number, paragraph, citation, crumb AS breadcrumb, text FROM un")
+def parse_units(spark, d):
+    """All parts of the same regulations: preamble clauses, recitals, articles, annexes, with their context lines."""
+    from .operators import structure as X
+
+    units = X.parse_units(_regulations(spark, d))
+    return units.select("doc_id", F.col("unit_ord").cast("long").alias("unit_ord"), "type", "number", "paragraph", "citation", "breadcrumb", "text")
+
+
+_TOKENS = "len(regexp_extract_all({x}, '[A-Za-z0-9]+|[^" + _WS + "A-Za-z0-9]'))"
+
+
+@query(_UNITS + ", n AS (SELECT *, " + _TOKENS.format(x="text") + " AS n FROM un), m AS (SELECT *, 46 - " + _TOKENS.format(x="crumb") + """ AS b FROM n WHERE n > 0),
+p AS (SELECT *, greatest(b, 10) AS most, CASE greatest(b, 10) """ + " ".join(f"WHEN {k} THEN " + _SLICES.format(text="text", n=k) for k in (46, 42, 31)) + """ END AS parts FROM m),
+w AS (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM p), x AS (SELECT *, n > most AS cut, CASE WHEN n <= most THEN text ELSE """ + _LTRIM.format(x="parts[i]") + """ END AS body FROM w),
+y AS (SELECT *, lag(body) OVER (PARTITION BY conv_id ORDER BY z, o, i) AS prev, lower(type) || '-' || number || coalesce('-' || paragraph, '') || CASE WHEN cut THEN '#' || i ELSE '' END AS base FROM x),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, base ORDER BY z, o, i) AS nth FROM y)
+SELECT conv_id AS doc_id, base || CASE WHEN nth > 1 THEN '__' || nth ELSE '' END AS chunk_id, citation, CASE WHEN crumb = '' THEN '' ELSE crumb || chr(10) END || CASE WHEN cut AND i >= 2 THEN '… ' || """ + _TAIL.format(b="prev") + """ || chr(10) ELSE '' END || body AS text FROM k""")
+def chunk_document(spark, d):
+    """The same regulations as chunks of at most 60 tokens, 10 of them overlap, one unit each."""
+    from .config import Config
+    from .plans.ingest import chunk_documents
+
+    return chunk_documents(_regulations(spark, d), Config(window=60, overlap=10, packing="none")).select("doc_id", "chunk_id", "citation", "text")
+
+
+@query(_UNITS.replace("WITH t AS", "WITH RECURSIVE t AS") + """, n AS (SELECT *, """ + _TOKENS.format(x="text") + """ AS n, 446 - """ + _TOKENS.format(x="crumb") + """ AS b, CASE WHEN z < 2 THEN type ELSE type || number END AS root, row_number() OVER (PARTITION BY conv_id ORDER BY z, o) AS u FROM un),
+r AS (SELECT conv_id, u, root, n AS t, 1 AS grp FROM n WHERE u = 1
+UNION ALL SELECT n.conv_id, n.u, n.root, CASE WHEN n.root = r.root AND r.t + n.n + 1 <= n.b THEN r.t + n.n + 1 ELSE n.n END, CASE WHEN n.root = r.root AND r.t + n.n + 1 <= n.b THEN r.grp ELSE r.grp + 1 END FROM r JOIN n ON n.conv_id = r.conv_id AND n.u = r.u + 1)
+SELECT conv_id AS doc_id, CAST(grp AS BIGINT) AS grp, CASE WHEN count(*) = 1 OR min(type) = 'Preamble' THEN min(citation) WHEN min(type) = 'Recital' THEN 'Recitals ' || min_by(number, u) || '-' || max_by(number, u) ELSE min(type) || ' ' || min(number) || '(' || min_by(paragraph, u) || '-' || max_by(paragraph, u) || ')' END AS citation,
+CASE WHEN min(type) = 'Preamble' THEN string_agg(text, chr(10) ORDER BY u) ELSE string_agg(text, chr(10) || chr(10) ORDER BY u) END AS text FROM r JOIN n USING (conv_id, u) GROUP BY 1, 2""")
+def pack_units(spark, d):
+    """The same regulations packed to groups of one root, with their ranges, before windows are cut."""
+    from .config import Config
+    from .operators import structure as X
+
+    units = X.parse_units(_regulations(spark, d)).withColumn("root", C.citation_root(F.col("type"), F.col("number"), F.col("chapter"), F.col("section")))
+    units = units.withColumn("n_tokens", F.size(T.budget_tokens(F.col("text")))).withColumn("c", F.size(T.budget_tokens(F.col("breadcrumb"))))
+    from pyspark.sql import Window
 
-NOTES = [("a|b", "x|y", "Sub-questions:\n1. a\n2. b\nAssumptions: x; y"), ("a", "", None), ("a", "x", "Assumptions: x")]
+    w = Window.partitionBy("doc_id").orderBy("unit_ord")
+    packed = C.pack(units.withColumn("j", F.col("root") == F.lag("root").over(w)), F.lit(Config().budget) - F.col("c"), F.col("j"))
+    merged = C.merge_units(packed)
+    return merged.withColumn("grp", F.row_number().over(w).cast("long")).select("doc_id", "grp", "citation", "text")
 
 
-@query(f"SELECT * FROM {_values(NOTES)} v(questions, assumptions, notes)")
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Sub-questions:' || chr(10) || '1. in ' || lang || chr(10) || '2. from ' || source || chr(10) || 'Assumptions: x; ' || lang WHEN 1 THEN 'Assumptions: x; ' || lang WHEN 2 THEN 'Sub-questions:' || chr(10) || '1. in ' || lang || chr(10) || '2. from ' || source END AS notes FROM documents""")
 def notes_block(spark, d):
-    rows = spark.createDataFrame([r[:2] for r in NOTES], "questions string, assumptions string")
-    parts = lambda c: F.filter(F.split(c, r"\|"), lambda x: x != "")
-    return rows.withColumn("notes", T.notes_block(parts("questions"), parts("assumptions")))
+    i, none = F.col("doc_id") % 4, F.expr("cast(array() as array<string>)")
+    asked = F.array(F.concat(F.lit("in "), "lang"), F.concat(F.lit("from "), "source"))
+    questions = F.when(i.isin(0, 2), asked).otherwise(F.slice(asked, 1, 1))
+    return table(spark, d, "documents").select("doc_id", T.notes_block(questions, F.when(i.isin(0, 1), F.array(F.lit("x"), F.col("lang"))).otherwise(none)).alias("notes"))
 
 
 @query("SELECT toxic, string_agg('- ' || doc_id || ': judge ' || toxic || ', human ' || quality || CASE WHEN doc_id % 2 = 0 THEN ' (even)' ELSE '' END, chr(10) ORDER BY doc_id) AS block FROM labels WHERE toxic <> quality GROUP BY 1")
