@@ -73,26 +73,20 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents come in under two tokenizer versions; the first is then revised to white-space words; later
-    copies of a text are deleted; the last batch is delivered twice."""
-    from pyspark.sql import Window
-
-    from .token_counts import TokenLedger, count_word_pieces, count_words
+    """All documents come in under two tokenizers; the first's counts are then revised to include an end id for each
+    document; later copies of a text are deleted; the last batch is delivered twice."""
+    from .token_counts import TokenLedger, events, later_copies, row_events
     from .workspace import Workspace
 
     ws = Workspace(spark, "token-counts")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", count_words().alias("words"), count_word_pieces().alias("parts"), F.length("text").alias("chars"), F.sha2("text", 256).alias("h"))
-    docs = ws.save(docs, "counted")
+    one, two = tokenizer_path(), tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    rows = ws.save(row_events(_table(spark, sf_dir, "documents"), [one, two]), "counted")
     ledger = TokenLedger(spark, ws.file("ledger"))
-
-    def event(df: DataFrame, op: str, version: str, n: str) -> DataFrame:
-        return df.select("doc_id", "source", "lang", F.lit(op).alias("op"), F.lit(version).alias("tokenizer_version"), F.col(n).cast("long").alias("n_tokens"), F.lit(0).alias("seq"))
-
-    ledger.apply("load", event(docs, "insert", "words-1", "chars").unionByName(event(docs, "insert", "pieces-1", "parts")))
-    ledger.apply("recount", event(docs, "revise", "words-1", "words"))
-    first = docs.groupBy("h").agg(F.min("doc_id").alias("first"))
-    copies = docs.join(first, "h").filter("doc_id > first")
-    deletes = event(copies, "delete", "words-1", "words").unionByName(event(copies, "delete", "pieces-1", "parts"))
+    with_end = F.col("n0") + F.col("n_docs")
+    ledger.apply("load", events(rows, "insert", one, F.col("n0")).unionByName(events(rows, "insert", two, F.col("n1"))))
+    ledger.apply("end-ids", events(rows, "revise", one, with_end))
+    copies = ws.save(later_copies(rows), "copies")
+    deletes = events(copies, "delete", one, with_end).unionByName(events(copies, "delete", two, F.col("n1")))
     ledger.apply("drop-copies", deletes)
     ledger.apply("drop-copies", deletes)
     return ledger.totals()

@@ -57,23 +57,9 @@ comp AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY 1)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
 """
 
-TOKEN_COUNTS = r"""
-WITH d AS (
-  SELECT doc_id, source, lang,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
-         len(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{80}-\x{10FFFF}]+|[0-9]+|[!-/:-@\[-`{-~]')) AS parts,
-         doc_id > min(doc_id) OVER (PARTITION BY text) AND text IS NOT NULL AS copy
-  FROM documents
-), kept AS (SELECT * FROM d WHERE NOT copy)
-SELECT source, lang, 'words-1' AS tokenizer_version, count(*) AS n_docs, CAST(sum(words) AS BIGINT) AS n_tokens FROM kept GROUP BY ALL
-UNION ALL
-SELECT source, lang, 'pieces-1', count(*), CAST(sum(parts) AS BIGINT) FROM kept GROUP BY ALL
-"""
-
 SQL = {
     "op3_benchmark_decontamination": DECONTAMINATION,
     "op4_quality_rules": QUALITY_RULES,
     "op5_suffix_array_dedup": SUFFIX_DEDUP,
     "op7_minhash_near_dedup": NEAR_DUP,
-    "op9_token_counts": TOKEN_COUNTS,
 }

@@ -84,6 +84,13 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        if path.endswith(".tiktoken"):
+            self._tiktoken(path)
+        else:
+            self._tokenizers(path)
+        self.reset()
+
+    def _tokenizers(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -94,7 +101,23 @@ class Encoder:
         self.width = np.zeros(max(self.tok.get_vocab().values()) + 1, np.int64)
         for token, i in self.tok.get_vocab().items():
             self.width[i] = len(token)
-        self.reset()
+        self.ids_of = lambda texts: [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _tiktoken(self, path: str) -> None:
+        """A file of ranks; it has no special tokens, so that nothing in a text matches across cuts."""
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.tok = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.vocab, self.marks = len(ranks), []
+        self.width = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, i in ranks.items():
+            self.width[i] = len(token)
+        self.ids_of = lambda texts: [self.tok.encode_ordinary(t) for t in texts]
 
     def reset(self) -> None:
         #: 8 bytes, 8 bytes, and (first id << 32 | ids << 8 | bytes): 0 where free
@@ -112,11 +135,11 @@ class Encoder:
         joint = np.array([len(c) > 1 and c[0] == " " and c[1] != " " and c[-1].isalnum() and c.isascii() for c in chunks], bool)
         many, alone = np.flatnonzero(joint), np.flatnonzero(~joint)
         size = np.zeros(len(chunks), np.int64)
-        got = [e.ids for e in self.tok.encode_batch_fast([chunks[i] for i in alone.tolist()], add_special_tokens=False)]
+        got = self.ids_of([chunks[i] for i in alone.tolist()])
         size[alone] = np.fromiter(map(len, got), np.int64, len(got))
         flat_alone = np.fromiter(chain.from_iterable(got), np.uint32, int(size[alone].sum()))
         blocks = ["".join([chunks[i] for i in part.tolist()]) for part in np.array_split(many, max(1, -(-len(many) // JOINT)))]
-        got = [e.ids for e in self.tok.encode_batch_fast(blocks, add_special_tokens=False)]
+        got = self.ids_of(blocks)
         flat_many = np.fromiter(chain.from_iterable(got), np.uint32, sum(map(len, got)))
         ends = np.searchsorted(np.cumsum(self.width[flat_many]), np.cumsum(np.fromiter((len(chunks[i]) for i in many.tolist()), np.int64, len(many)))) + 1
         size[many] = np.diff(np.concatenate(([0], ends)))
@@ -178,13 +201,13 @@ class Encoder:
     def _equal(entry: np.ndarray, key: np.ndarray) -> np.ndarray:
         return (entry[:, 0] == key[:, 0]) & (entry[:, 1] == key[:, 1]) & (entry[:, 2] & np.uint64(0xFF) == key[:, 2])
 
-    def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids, ids of each document) of consecutive rows."""
+    def _parts(self, column: pa.Array) -> Iterator[tuple]:
+        """Of consecutive rows (first chunk of each row and the end, where a chunk's ids start, how many they are, None), or
+        (None, None, None, ids of each row) where an added token is in a text."""
         for _, _, buf, docs in pieces(column):
-            data = buf.tobytes()
+            data = buf.tobytes() if self.marks else b""
             if any(m in data for m in self.marks):  # added tokens match across any cut
-                got = [self.tok.encode(data[docs[i] : docs[i + 1] - 1].decode("utf-8", "replace"), add_special_tokens=False).ids for i in range(len(docs) - 1)]
-                yield np.fromiter(chain.from_iterable(got), np.uint32), np.array([len(g) for g in got], np.int64)
+                yield None, None, None, self.ids_of([data[docs[i] : docs[i + 1] - 1].decode("utf-8", "replace") for i in range(len(docs) - 1)])
                 continue
             # each document starts a chunk; the \n after it belongs to none
             new_chunk = np.zeros(len(buf) + 1, bool)
@@ -198,10 +221,24 @@ class Encoder:
             starts, ends = starts[keep], ends[keep]
             if self.used > CACHE_IDS:
                 self.reset()
-            run, size = self._known(buf, starts, ends)
+            yield np.searchsorted(starts, docs), *self._known(buf, starts, ends), None
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, ids of each document) of consecutive rows."""
+        for first, run, size, got in self._parts(column):
+            if got is not None:
+                yield np.fromiter(chain.from_iterable(got), np.uint32), np.array([len(g) for g in got], np.int64)
+                continue
             total = np.concatenate(([0], np.cumsum(size)))
             ids = self.ids[np.repeat(run - total[:-1], size) + np.arange(total[-1])]
-            yield ids, np.diff(total[np.searchsorted(starts, docs)])
+            yield ids, np.diff(total[first])
+
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """How many ids each row has."""
+        out = []
+        for first, _, size, got in self._parts(column):
+            out.append(np.array([len(g) for g in got], np.int64) if got is not None else np.diff(np.concatenate(([0], np.cumsum(size)))[first]))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def _pair_slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:

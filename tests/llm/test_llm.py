@@ -327,18 +327,85 @@ def test_pivotal_rounding_keeps_expectations(spark):
 def test_token_ledger(spark):
     ws = Workspace(spark, "test-ledger")
     ledger = token_counts.TokenLedger(spark, ws.file("ledger"))
-    cols = "doc_id long, tokenizer_version string, op string, source string, lang string, n_tokens long, seq long, score string"
+    cols = "key string, tokenizer_version string, op string, source string, lang string, n_docs long, n_tokens long, seq long, score string"
     ev = lambda *rows: spark.createDataFrame([(*r, "x") for r in rows], cols)
     assert ledger.totals().count() == 0
-    assert ledger.apply("1", ev((1, "v", "insert", "a", "en", 5, 0), (1, "v", "insert", "a", "en", 7, 1), (2, "v", "insert", "a", None, 3, 0), (None, "v", "insert", None, None, None, 0)))
+    assert ledger.apply("1", ev(("1", "v", "insert", "a", "en", 1, 5, 0), ("1", "v", "insert", "a", "en", 1, 7, 1), ("2", "v", "insert", "a", None, 2, 3, 0), ("n", None, "insert", None, None, 1, None, 0)))
     one = {tuple(r) for r in ledger.totals().collect()}
-    assert one == {("a", "en", "v", 1, 7), ("a", None, "v", 1, 3), (None, None, "v", 1, 0)}
-    batch = ev((1, "v", "revise", "b", "en", 9, 0), (2, "v", "delete", "a", None, 3, 0), (9, "v", "delete", "a", "en", 3, 0), (3, "w", "insert", "a", "en", 1, 0))
+    assert one == {("a", "en", "v", 1, 7), ("a", None, "v", 2, 3), (None, None, None, 1, 0)}
+    batch = ev(("1", "v", "revise", "b", "en", 1, 9, 0), ("2", "v", "delete", "a", None, 1, 3, 0), ("9", "v", "delete", "a", "en", 1, 3, 0), ("3", "w", "insert", "a", "en", 1, 1, 0))
+    before = ledger.commits()[-1]["parts"]
     assert ledger.apply("2", batch) and not ledger.apply("2", batch)
     two = {tuple(r) for r in ledger.totals().collect()}
-    assert two == {("b", "en", "v", 1, 9), (None, None, "v", 1, 0), ("a", "en", "w", 1, 1)}
-    assert ledger.apply("3", ev().limit(0) if False else spark.createDataFrame([], cols))
-    assert {tuple(r) for r in ledger.totals().collect()} == two
+    assert two == {("b", "en", "v", 1, 9), (None, None, None, 1, 0), ("a", "en", "w", 1, 1)}
+    # the part of key n was not touched by the second batch
+    assert set(before.values()) & set(ledger.commits()[-1]["parts"].values())
+    assert ledger.apply("3", spark.createDataFrame([], cols))
+    assert {tuple(r) for r in ledger.totals().collect()} == two and ledger.state().count() == 3
+    with pytest.raises(Exception, match="without key"):
+        ledger.apply("4", ev((None, "v", "insert", "a", "en", 1, 5, 0)))
+    assert len(ledger.commits()) == 3
+
+
+def test_token_ledger_survives_a_crash(spark, monkeypatch):
+    ws = Workspace(spark, "test-ledger-crash")
+    path = ws.file("ledger")
+    cols = "key string, tokenizer_version string, op string, source string, lang string, n_docs long, n_tokens long, seq long"
+    batch = spark.createDataFrame([("1", "v", "insert", "a", "en", 1, 5, 0)], cols)
+    ledger = token_counts.TokenLedger(spark, path)
+    real = token_counts.TokenLedger._commit
+
+    def crash(self, number, entry):
+        out = self._fs.create(self._Path(f"{self.path}/commits/.half"), False)
+        out.close()
+        raise OSError("lost before the marker was named")
+
+    monkeypatch.setattr(token_counts.TokenLedger, "_commit", crash)
+    with pytest.raises(OSError):
+        ledger.apply("1", batch)
+    monkeypatch.setattr(token_counts.TokenLedger, "_commit", real)
+    again = token_counts.TokenLedger(spark, path)
+    assert again.commits() == [] and again.totals().count() == 0
+    assert again.apply("1", batch) and [tuple(r) for r in again.totals().collect()] == [("a", "en", "v", 1, 5)]
+    # of two writers that saw the same commits the second fails and changes nothing
+    with pytest.raises(Exception, match="already exists|AlreadyExists"):
+        again._commit(0, {"batch": "2", "attempt": "x", "parts": {}})
+    assert [c["batch"] for c in again.commits()] == ["1"]
+
+
+def plain_counts(rows):
+    """Totals by the tokenizers themselves: rows (doc_id, text, lang, source) after the three batches of the query."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    with open(tokenizer_path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    multi = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    first = {}
+    for d, t, *_ in rows:
+        if d is not None and t is not None:
+            first[t] = min(d, first.get(t, d))
+    out: dict = collections.defaultdict(lambda: [0, 0])
+    for d, t, lang, source in rows:
+        if d is not None and t is not None and d > first[t]:
+            continue
+        for v, n in (("byte_bpe_50k.json", len(tok.encode(t or "", add_special_tokens=False).ids) + 1), ("byte_bpe_multi_50k.tiktoken", len(multi.encode_ordinary(t or "")))):
+            out[source, lang, v][0] += 1
+            out[source, lang, v][1] += n
+    return {(*k, *v) for k, v in out.items()}
+
+
+def test_token_counts_query_against_the_tokenizers(spark, odd, tmp_path):
+    rows = odd + [(None, "no id", "en", "s"), (None, "no id", "en", "s"), (odd[0][0], odd[0][1], odd[0][2], odd[0][3]), (odd[0][0], "same id", "en", None), (9999, odd[1][1], "en", "s")]
+    for name, table in (("some", rows), ("none", [])):
+        frame(spark, table).write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        got = QUERIES["op9_token_counts"](spark, f"file://{tmp_path}/{name}")
+        assert got.columns == ["source", "lang", "tokenizer_version", "n_docs", "n_tokens"]
+        assert {tuple(r) for r in got.collect()} == plain_counts(table)
 
 
 def labelled(n, word, seed=0):
