@@ -10,15 +10,18 @@ parse is its sequence of phrases.
 
 Dictionary and parse. Occurrences go by trigger to buckets, as one packed row for each task and bucket with
 each phrase once (its least doc_id there). A bucket orders them by trigger, phrase and document: the parse
-order within a phrase gives the first document, and later documents have the whole phrase covered. Only
+order within a phrase gives the first document, and later documents have the whole phrase covered. Phrases are
+named by 93 bits: 61 of the phrase's hash modulo a prime and 32 of its trigger's, of another kind. Only
 where different phrases share a trigger can windows still match in part; those phrases' texts, once each,
 form the dictionary whose suffixes of LENGTH bytes or more are put in suffix order, bucket by bucket. Equal
 neighbours in that order are the same string, decided on the bytes themselves.
 
+``suffix_order`` combines the suffix arrays of dictionary and parse into the order of all suffixes of some texts;
+to remove repeats, whose order does not matter, the query needs the dictionary's order and the parse's phrases only.
+
 Skew: a phrase that is everywhere costs one entry a task. A trigger with more than ``HOT`` different phrases
-is hot: its windows, not its phrases, are then ordered, dealt out by their content, so that no bucket holds
-such a trigger. No suffix array of
-the parse is built: ``suffix_order``, for tests, breaks ties of dictionary suffixes by the raw text after them.
+is hot: its windows, not its phrases, are then ordered, dealt out by their content, each once a batch (its least
+doc_id there), so that no bucket holds such a trigger. Buckets are as many as the bytes of all texts ask for.
 
 Cases: null, empty and short texts (under LENGTH bytes) lose nothing; a null doc_id neither removes nor
 loses; rows with equal doc_id do not remove each other's bytes; an empty table gives an empty result; a
@@ -35,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textprims import doc_of, pieces, prefix_hash, span_hash
-from .workspace import Workspace, bounded_batches, shuffle_parts
+from .textprims import doc_of, identities, mix64, pieces, prefix_hash, span_hash
+from .workspace import Workspace, shuffle_parts
 
 LENGTH, GRAM = 50, 20
 HOT, HOT_LOCAL = 4096, 64
 #: Phrases that a task packs together; bytes of a text parsed at once.
 PACK, SEGMENT = 2_000_000, 8 << 20
+#: Bytes of text for each bucket, and buckets for each task.
+BUCKET_BYTES, BUCKETS_A_TASK = 16 << 20, 4
 _U = np.uint64
 _LOW = _U(0xFFFFFF)
 
@@ -50,14 +55,36 @@ ROW_SCHEMA = "bucket long, kind int, doc_id long, data binary"
 _ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("data", pa.binary())])
 
 
+_BASE = _U(0x9E3779B97F4A7C15)
+
+
+def gram_hashes(buf: np.ndarray) -> np.ndarray:
+    """A rolling hash of the GRAM bytes from each position: it only chooses where phrases are cut."""
+    up = np.cumprod(np.full(GRAM, _BASE, _U), dtype=_U)
+    h = np.zeros(len(buf) - GRAM + 1, _U)
+    # the sum over GRAM bytes, by halves: as many doublings as the bits of GRAM
+    power, width, part, at = _U(1), 1, buf.astype(_U) + _U(1), 0
+    left, rest = _U(1), GRAM
+    while rest:
+        if rest & 1:
+            h += part[at : at + len(h)] * left
+            at += width
+            left = up[at - 1]
+        rest >>= 1
+        if rest:
+            power = up[width - 1]
+            part = part[:-width] + part[width:] * power
+            width *= 2
+    return mix64(h)
+
+
 def parse(buf: np.ndarray, docs: np.ndarray, prefix: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Phrases of the texts in buf: first window, window past the last, trigger hash, phrase hash (48 bits), text number."""
+    """Phrases of the texts in buf: first window, window past the last, trigger hash, phrase hash, text number."""
     prefix = prefix_hash(buf) if prefix is None else prefix
     out = []
     for lo in range(0, max(0, len(buf) - LENGTH), SEGMENT):  # a text's bytes end before buf's last
         n = min(SEGMENT, len(buf) - LENGTH - lo)  # windows of this segment
-        at = np.arange(lo, lo + n + LENGTH - GRAM)
-        h = span_hash(prefix, at, at + GRAM)
+        h = gram_hashes(buf[lo : lo + n + LENGTH - 1])
         low = (h & ~_LOW) | np.arange(len(h), dtype=_U)
         width, span = LENGTH - GRAM + 1, 1
         while span * 2 <= width:
@@ -77,7 +104,7 @@ def parse(buf: np.ndarray, docs: np.ndarray, prefix: np.ndarray | None = None) -
         z = np.zeros(0, np.int64)
         return z, z, z.astype(_U), z.astype(_U), z
     start, end, trigger, owner = (np.concatenate(x) for x in zip(*out, strict=True))
-    return start, end, trigger, span_hash(prefix, start, end + LENGTH - 1) >> _U(16), owner
+    return start, end, trigger, span_hash(prefix, start, end + LENGTH - 1), owner
 
 
 def _binary(offsets: np.ndarray, data: bytes) -> pa.Array:
@@ -103,15 +130,15 @@ def _by_doc(docs: np.ndarray, kind: int, values: np.ndarray, buckets: int, extra
 
 
 def _pack_entries(bucket: np.ndarray, doc: np.ndarray, trigger: np.ndarray, phrase: np.ndarray) -> pa.RecordBatch:
-    """ENTRIES rows: for each bucket number of documents, their ids and counts, then 10 bytes a phrase."""
+    """ENTRIES rows: for each bucket number of documents, their ids and counts, then 12 bytes a phrase."""
     order = np.lexsort((doc, bucket))
     bucket, doc, trigger, phrase = (x[order] for x in (bucket, doc, trigger, phrase))
     at = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket))
     parts, sizes = [], []
-    t32, p32, p16 = (trigger >> _U(32)).astype("<u4"), (phrase & _U(0xFFFFFFFF)).astype("<u4"), (phrase >> _U(32)).astype("<u2")
+    t32, p64 = (trigger >> _U(32)).astype("<u4"), phrase.astype("<u8")
     for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         ids, count = np.unique(doc[s:e], return_counts=True)
-        part = b"".join((np.array([len(ids), e - s], "<u4").tobytes(), ids.astype("<i8").tobytes(), count.astype("<u4").tobytes(), t32[s:e].tobytes(), p32[s:e].tobytes(), p16[s:e].tobytes()))
+        part = b"".join((np.array([len(ids), e - s], "<u4").tobytes(), ids.astype("<i8").tobytes(), count.astype("<u4").tobytes(), t32[s:e].tobytes(), p64[s:e].tobytes()))
         parts.append(part)
         sizes.append(len(part))
     return _rows(bucket[at[:-1]], ENTRIES, np.zeros(len(sizes), np.int64), np.concatenate(([0], np.cumsum(sizes))), b"".join(parts))
@@ -122,28 +149,34 @@ def _unpack_entries(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     d, n = int(d), int(n)
     ids, count = np.frombuffer(data, "<i8", d, 8), np.frombuffer(data, "<u4", d, 8 + 8 * d)
     at = 8 + 12 * d
-    t, lo, hi = np.frombuffer(data, "<u4", n, at), np.frombuffer(data, "<u4", n, at + 4 * n), np.frombuffer(data, "<u2", n, at + 8 * n)
-    return np.repeat(ids, count), t, hi.astype(_U) << _U(32) | lo
+    return np.repeat(ids, count), np.frombuffer(data, "<u4", n, at), np.frombuffer(data, "<u8", n, at + 4 * n)
 
 
 _WIN = np.dtype([("doc", "<i8"), ("p", "<u8"), ("o", "<u4"), ("w", f"V{LENGTH}")])
 
 
-def _pack_windows(buf: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, phrase: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """WINDOWS rows: each window of some phrases, by its content's bucket."""
+def _pack_windows(buf: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, phrase: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Of the windows of some phrases those of the least document with the same content as WINDOWS rows, by content; the others are MATCHED."""
     size = end - start
     which = np.repeat(np.arange(len(start)), size)
     off = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     at = start[which] + off
+    prefix = prefix_hash(buf)
+    number, _ = identities(buf, at, at + LENGTH, prefix)
+    least = np.full(int(number.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, number, doc[which])
+    later = doc[which] > least[number]
+    if later.any():
+        yield _by_doc(doc[which[later]], MATCHED, phrase[which[later]], buckets, off[later])
+    which, off, at = which[~later], off[~later], at[~later]
     rows = np.zeros(len(at), _WIN)
     rows["doc"], rows["p"], rows["o"] = doc[which], phrase[which], off
-    text = buf[at[:, None] + np.arange(LENGTH)]
-    rows["w"] = text.view(f"V{LENGTH}").ravel()
-    bucket = (span_hash(prefix_hash(text.ravel()), np.arange(len(at)) * LENGTH, np.arange(1, len(at) + 1) * LENGTH) % _U(buckets)).astype(np.int64)
+    rows["w"] = buf[at[:, None] + np.arange(LENGTH)].view(f"V{LENGTH}").ravel()
+    bucket = (span_hash(prefix, at, at + LENGTH) % _U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, rows = bucket[order], rows[order]
     cut = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket))
-    return _rows(bucket[cut[:-1]], WINDOWS, np.zeros(len(cut) - 1, np.int64), cut * _WIN.itemsize, rows.tobytes())
+    yield _rows(bucket[cut[:-1]], WINDOWS, np.zeros(len(cut) - 1, np.int64), cut * _WIN.itemsize, rows.tobytes())
 
 
 def _parser(buckets: int, hot_local: int):
@@ -263,7 +296,7 @@ def _asker(buckets: int):
                     p = np.concatenate(picks[1])
                     for q in np.array_split(p, max(1, len(p) // 4096)):
                         if len(q):
-                            yield _pack_windows(buf, start[q], end[q], ids[lo + owner[q]], phrase[q], buckets)
+                            yield from _pack_windows(buf, start[q], end[q], ids[lo + owner[q]], phrase[q], buckets)
 
     return run
 
@@ -307,7 +340,7 @@ def _matcher(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
         data = table.column("data")
-        batches = []
+        batches = table.filter(pa.array(kind == MATCHED)).cast(_ARROW).to_batches()
         ids, names, sizes, texts = [], [], [], []
         for i in np.flatnonzero(kind == PHRASES):
             raw = data[int(i)].as_py()
@@ -387,16 +420,18 @@ def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_repeats(documents: DataFrame, hot: int = HOT, hot_local: int = HOT_LOCAL) -> DataFrame:
     """doc_id, n_bytes, removed (byte spans s:e), kept_sha256: one row for each row of documents."""
     spark = documents.sparkSession
-    bounded_batches(spark)
     ws = Workspace(spark, "suffix-dedup")
-    buckets = 4 * shuffle_parts(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.filter("doc_id is not null and text is not null")
+    n_bytes = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(BUCKETS_A_TASK * shuffle_parts(spark), -(-n_bytes // BUCKET_BYTES))
+    tasks = -(-buckets // BUCKETS_A_TASK)
     # one pass deals entries out by trigger; what is settled within a task rides along to be kept once
-    settled = ws.save(known.mapInArrow(_parser(buckets, hot_local), ROW_SCHEMA).groupBy("bucket").applyInArrow(_settle(buckets, hot), ROW_SCHEMA), "settled")
+    parsed = known.mapInArrow(_parser(buckets, hot_local), ROW_SCHEMA).repartition(tasks, "bucket")
+    settled = ws.save(parsed.groupBy("bucket").applyInArrow(_settle(buckets, hot), ROW_SCHEMA), "settled")
     asked = settled.filter(F.col("kind").isin(ASKED, ASKED_HOT)).groupBy("doc_id").agg(F.collect_list(F.when(F.col("kind") == ASKED, F.col("data"))).alias("plain"), F.collect_list(F.when(F.col("kind") == ASKED_HOT, F.col("data"))).alias("hot"))
     phrases = known.join(asked, "doc_id").select("doc_id", "text", "plain", "hot").mapInArrow(_asker(buckets), ROW_SCHEMA)
-    matched = ws.save(phrases.groupBy("bucket").applyInArrow(_matcher(buckets), ROW_SCHEMA), "matched")
+    matched = ws.save(phrases.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_matcher(buckets), ROW_SCHEMA), "matched")
     answers = settled.filter(F.col("kind") == COVERED).unionByName(matched).groupBy("doc_id").agg(F.collect_list(F.when(F.col("kind") == COVERED, F.col("data"))).alias("covered"), F.collect_list(F.when(F.col("kind") == MATCHED, F.col("data"))).alias("matched"))
     return docs.join(answers, "doc_id", "left").select("doc_id", "text", "covered", "matched").mapInArrow(_remover, FOUND_SCHEMA)
 
@@ -406,26 +441,62 @@ def repeat_digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_bytes", n.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def _ranks(keys: list) -> list[int]:
+    """The place of each key among the distinct ones."""
+    place = {k: i for i, k in enumerate(sorted(set(keys)))}
+    return [place[k] for k in keys]
+
+
+def parse_suffix_array(parse: np.ndarray) -> np.ndarray:
+    """The rank of each suffix of a parse, up to the end of its text (-1), by prefix doubling; equal suffixes share a rank."""
+    n, width = len(parse), 1
+    rank = np.unique(parse, return_inverse=True)[1].astype(np.int64)
+    ends = np.flatnonzero(parse < 0)
+    end = ends[np.searchsorted(ends, np.arange(n))]
+    while width < n:
+        at = np.arange(n) + width
+        key = (rank + 1) * (n + 2)
+        inside = at <= end
+        key[inside] += rank[at[inside]] + 1
+        rank = np.unique(key, return_inverse=True)[1]
+        width *= 2
+    return rank
+
+
 def suffix_order(texts: list[bytes]) -> list[tuple[int, int]]:
-    """(text, offset) of every suffix of LENGTH bytes or more, in order of suffix and then text, by the parse.
+    """(text, offset) of every suffix of LENGTH bytes or more, in order of suffix and then text, by prefix-free parsing.
 
-    Suffixes are ordered by their phrase's suffix first (dictionary order, LENGTH bytes), then by the rest.
+    A phrase is taken with the byte that ends it: that makes its suffixes prefix-free, for where one ended, another
+    that goes on with the same bytes would have ended too. So suffixes of the corpus are ordered by the suffix of
+    their phrase, from the dictionary, and where those are equal by the rank of the parse after it.
     """
     column = pa.array([t.decode("utf-8", "replace") for t in texts])
-    keyed = []
+    phrases, parse_, docs_of, starts = [], [], [], []
     for lo, _, buf, docs in pieces(column):
-        start, end, _, phrase, owner = parse(buf, docs)
-        _, first, back = np.unique(phrase, return_index=True, return_inverse=True)
-        size = (end + LENGTH - 1 - start)[first]
-        text = buf[np.repeat(start[first] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-        order, which, off, cls = dictionary_suffixes(text, size)
-        rank = {}
-        for place, o in enumerate(order.tolist()):
-            rank[int(which[o]), int(off[o])] = int(cls[place])
+        start, end, _, _, owner = parse(buf, docs)
         data = buf.tobytes()
-        for i in range(len(start)):
-            d = int(owner[i])
-            for o in range(int(end[i] - start[i])):
-                at = int(start[i]) + o
-                keyed.append((rank[int(back[i]), o], data[at : int(docs[d + 1]) - 1], lo + d, at - int(docs[d])))
-    return [(d, o) for _, _, d, o in sorted(keyed)]
+        for s, e, d in zip(start.tolist(), end.tolist(), owner.tolist(), strict=True):
+            stop = int(docs[d + 1]) - 1
+            # the byte past the phrase's last window, or the end of the text, which sorts first
+            phrases.append((data[s : min(e + LENGTH, stop)], e + LENGTH > stop))
+            docs_of.append(lo + d)
+            starts.append(s - int(docs[d]))
+    name = _ranks(phrases)
+    dictionary = dict(zip(name, phrases, strict=True))
+    # suffixes of the dictionary that hold a whole window; a text's end is below any byte
+    suffixes = {(i, o): tuple(text[o:]) + ((-1,) if last else ()) for i, (text, last) in dictionary.items() for o in range(len(text) - LENGTH + int(last))}
+    keys = list(suffixes)
+    order = dict(zip(keys, _ranks([suffixes[k] for k in keys]), strict=True))
+    # the parse, with an end after each text
+    for i, n in enumerate(name):
+        parse_.append(n)
+        if i + 1 == len(name) or docs_of[i + 1] != docs_of[i]:
+            parse_.append(-1)
+    rank = parse_suffix_array(np.array(parse_, np.int64))
+    out, at = [], 0
+    for i, n in enumerate(name):
+        rest = int(rank[at + 1])
+        text, last = dictionary[n]
+        out += [((order[n, o], 0 if last else rest), docs_of[i], starts[i] + o) for o in range(len(text) - LENGTH + int(last))]
+        at += 1 if i + 1 < len(name) and docs_of[i + 1] == docs_of[i] else 2
+    return [(d, o) for _, d, o in sorted(out)]
