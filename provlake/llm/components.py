@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Each step is a shuffle of the edges; between steps the edges are written to the shared folder. Stars are
-built by joins on the centre, which adaptive execution splits where a centre is hot.
+Each step is a shuffle of the edges; between steps the edges are written to the shared folder. The least neighbour
+of a centre of many edges reaches them by a broadcast of such centres, of which there are few (``join_hot``).
 """
 
 from __future__ import annotations
@@ -9,23 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, join_hot
 
 
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1))), F.sum(F.col("b").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("c"))
+    return join_hot(both.filter("b > a"), least, "a", "c", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+    moved = join_hot(down, least, "a", "c", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
 
 
@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame, ws: Workspace, most: int = 60) -> Dat
     for _ in range(most):
         if not seen[0]:
             break
-        now = ws.save(_small_star(_large_star(now)), "stars")
+        now = ws.save(_small_star(_large_star(now, seen[0]), seen[0]), "stars")
         after = _digest(now)
         if after == seen:
             break

@@ -13,7 +13,7 @@ cut into blocks, and a task takes each pair of blocks, so that no link is lost a
 Components of the verified links give the classes.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer words
-than a shingle make one element; a null doc_id is linked with nothing and has a null component; rows that
+than a shingle make one element; elements are hashes of the words, of 61 bits modulo a prime; a null doc_id is linked with nothing and has a null component; rows that
 repeat a doc_id belong to one class; an empty table gives an empty result; extra columns are not read.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .textprims import LOWER, NONSPACE, doc_of, mix64, pieces, prefix_hash, span_hash, word_spans
-from .workspace import Workspace, bounded_batches, row_key
+from .workspace import Workspace, join_hot, row_key
 
 REGISTERS, ROWS = 128, 4
 BASE, Q = 1.02, 4000
@@ -231,15 +231,14 @@ def _linker(percent: int):
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of documents."""
     spark = documents.sparkSession
-    bounded_batches(spark)
     ws = Workspace(spark, "near-dup")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = ws.save(docs.mapInArrow(_signer(shingle), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signed")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     reps = ws.save(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "reps")
     banded = reps.select("rep", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).filter("c > 1").select("band", "leader")
-    near = banded.join(leaders, "band").filter("rep != leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
+    leaders = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).filter("c > 1")
+    near = join_hot(banded, leaders, "band", "c", reps.count() * (REGISTERS // ROWS)).filter("rep != leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
     groups = ws.save(connected_components(near, ws), "groups")
     members = groups.join(reps.select(F.col("rep").alias("node"), "n", "k1"), "node")
     sizes = groups.join(reps.select(F.col("rep").alias("node"), "n"), "node").groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("total"))

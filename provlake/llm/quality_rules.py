@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textprims import NONSPACE, doc_of, identities, mix64, pieces, prefix_hash, word_spans
-from .workspace import bounded_batches
 
 WINDOW = 5
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_marks"]
@@ -146,7 +145,6 @@ def _measurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rule_ledger(documents: DataFrame) -> DataFrame:
     """doc_id, the measurements and fail_mask, for each row of documents."""
-    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bits = [F.when(F.expr(fails), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, fails) in enumerate(RULES)]
     mask = bits[0]

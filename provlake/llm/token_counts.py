@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .token_output import Encoder
+from .workspace import join_hot
 
 PARTS = 64
 _KEY = ["key", "tokenizer_version"]
@@ -159,15 +160,7 @@ def version(tokenizer: str) -> str:
 
 
 def later_copies(rows: DataFrame) -> DataFrame:
-    """The rows whose text stands under a smaller doc_id too. Null doc_ids and null texts are no copies.
-
-    Texts of more than a 1024th of all rows, of which there are fewer than 1024, are looked up in a broadcast; the
-    others meet by a join.
-    """
+    """The rows whose text stands under a smaller doc_id too. Null doc_ids and null texts are no copies."""
     known = rows.filter("doc_id is not null and h is not null")
-    total = known.count()
-    first = known.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last"), F.count("*").alias("_c")).filter("first < _last")
-    hot = F.broadcast(first.filter(F.col("_c") * 1024 > total).select("h", F.col("first").alias("_hot")))
-    marked = known.join(hot, "h", "left")
-    cold = marked.filter("_hot is null").drop("_hot").join(first.filter(F.col("_c") * 1024 <= total).select("h", "first"), "h").filter("doc_id > first").drop("first")
-    return marked.filter("doc_id > _hot").drop("_hot").unionByName(cold)
+    first = known.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last"), F.count("*").alias("_c")).filter("first < _last").drop("_last")
+    return join_hot(known, first, "h", "_c", known.count()).filter("doc_id > first").drop("first")

@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from .recurrent import SLOTS, WORD_DIM, Adam, Words, best_windows, new_model, run, train_epoch, window_index, windows_of, word_inputs
 from .training import fit_apart, labelled_sample, training_row
-from .workspace import bounded_batches
 
 SAMPLE, LONGEST, WINDOWS_A_DOC = 1500, 40_000, 8
 #: Passes over the sample: so many that there are STEPS batches, but between the two bounds.
@@ -164,7 +163,6 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, keep: Column | None =
 
 def score_toxicity(documents: DataFrame, model: dict) -> DataFrame:
     """doc_id, score, n_windows, top_word: one row for each row of documents."""
-    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shared = documents.sparkSession.sparkContext.broadcast(model)  # fixed table sizes: about 1 MB
     return docs.mapInArrow(_scorer(shared), "doc_id long, score double, n_windows long, top_word long")
@@ -180,6 +178,5 @@ def _dropper(shared, column: int, threshold: float):
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of documents that the model does not reject, with all their columns. Rows are judged where they stand."""
-    bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(fit_toxicity(documents, labels))
     return documents.mapInArrow(_dropper(shared, documents.columns.index("text"), threshold), documents.schema)

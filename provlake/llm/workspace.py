@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,13 +9,9 @@ from pyspark.sql import functions as F
 
 
 def base_dir(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir; where unset, a temp folder in local mode, else the warehouse."""
+    """The shared folder: spark.checkpoint.dir; where unset, a folder in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
-        return f"file://{tempfile.gettempdir()}/provlake-checkpoints"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return found.rstrip("/") if found else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
 class Workspace:
@@ -61,13 +56,17 @@ def row_key(documents: DataFrame) -> Column:
     return F.xxhash64(documents["doc_id"].cast("long"), documents["text"].cast("string"))
 
 
-#: Rows that one Arrow batch brings to a Python worker: documents can be long, so batches stay small.
-ARROW_ROWS = 1024
+#: Keys that are looked up in a broadcast at most.
+HOT_KEYS = 1024
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small for this session; lower settings stay."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join of left with right (one row a key) that no frequent key slows: weight is how many rows of left, of
+    ``total``, have right's key. Keys of more than a 1024th of the rows, of which there are fewer than 1024, are
+    looked up in a broadcast; the others meet by a shuffle. weight is left out of the result."""
+    rest = [c for c in right.columns if c not in (key, weight)]
+    is_hot = F.col(weight) * HOT_KEYS > total
+    hot = right.filter(is_hot).select(key, F.struct(*rest).alias("_hot"))
+    marked = left.join(F.broadcast(hot), key, "left")
+    cold = marked.filter("_hot is null").drop("_hot").join(right.filter(~is_hot).drop(weight), key)
+    return marked.filter("_hot is not null").select(*left.columns, "_hot.*").unionByName(cold.select(*left.columns, *rest))

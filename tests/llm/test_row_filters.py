@@ -39,3 +39,38 @@ def test_keep_one_by_row(spark):
     docs = [(1, A, "a"), (9, A, "a"), (9, B, "a"), (20, B, "a"), (30, C, "b"), (30, C, "a"), (40, "", "a"), (41, None, "a"), (None, A, "a"), (None, A, "b")]
     want = [(1, A, "a"), (9, B, "a"), (30, C, "a"), (40, "", "a"), (41, None, "a"), (None, A, "a"), (None, A, "b")]
     assert rows(near_dup.keep_one(spark.createDataFrame(docs, SCHEMA))) == sorted(want, key=str)
+
+
+def test_components_with_a_hub(spark):
+    """A centre of 20,000 edges, chains and pairs, against a plain union."""
+    import random
+
+    from provlake.llm.components import connected_components
+    from provlake.llm.workspace import Workspace
+
+    rng = random.Random(2)
+    edges = [(0, i) for i in range(1, 20001)] + [(30000 + i, 30001 + i) for i in range(300)] + [(40000 + rng.randrange(400), 40000 + rng.randrange(400)) for _ in range(250)] + [(5, 5)]
+    rng.shuffle(edges)
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "hub")).collect()
+    assert {r.node: r.component for r in got} == {x: find(x) for x in parent}
+    assert connected_components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "hub")).count() == 0
+
+
+def test_join_hot_is_a_join(spark):
+    from provlake.llm.workspace import join_hot
+
+    left = spark.createDataFrame([(i % 7 if i % 3 else 1, i) for i in range(3000)] + [(None, -1)], "k long, x long")
+    right = left.groupBy("k").count().filter("k <> 3").selectExpr("k", "count as c", "k * 10 as y")
+    want = rows(left.join(right.drop("c"), "k"))
+    assert rows(join_hot(left, right, "k", "c", 3001)) == want and rows(join_hot(left, right, "k", "c", 10**9)) == want
