@@ -56,3 +56,39 @@ def judge_rules(error: Column, refused: Column, should_answer: Column, reference
     empty = F.coalesce(reference, F.lit("")) == ""
     correctness = F.when(failed, one(null, no)).when(out, one(F.when(refused, 1).otherwise(0), no)).when(refused, one(F.lit(0), no)).when(empty, one(null, no)).otherwise(one(null, F.lit(True)))
     return F.struct(groundedness.alias("groundedness"), relevance.alias("relevance"), correctness.alias("correctness"))
+
+
+def fetch_experiment(runs: DataFrame, examples: DataFrame, name: str | None = None) -> DataFrame:
+    """Root runs of one experiment, the one named or that which started last, in order (place), with their examples.
+
+    runs: run_id, experiment, example_id, is_root, start_time, ...; examples: example_id, ... Runs without an example
+    id are left out, an unknown example gives nulls.
+    """
+    if name is None:
+        chosen = runs.agg(F.max(F.struct("start_time", "experiment"))["experiment"].alias("experiment"))
+        own = runs.join(F.broadcast(chosen), "experiment", "left_semi")  # one row
+    else:
+        own = runs.filter(F.col("experiment") == name)
+    own = own.filter(F.col("is_root") & F.col("example_id").isNotNull())
+    return own.join(examples, "example_id", "left")
+
+
+def with_feedback(runs: DataFrame, feedback: DataFrame, keys: list[str]) -> DataFrame:
+    """runs with a column for each key of feedback (run_id, key, score, seq); null where there is none."""
+    return runs.join(feedback_pivot(feedback, keys), "run_id", "left")
+
+
+def with_costs(rows: DataFrame, costs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with cost by run_id, one row with how many have none)."""
+    out = rows.join(costs.select("run_id", "cost"), "run_id", "left")
+    return out, out.agg(F.count_if(F.col("cost").isNull()).alias("n_missing"))
+
+
+def answerable(examples: DataFrame, refs: Column) -> DataFrame:
+    """Examples that should be answered and name a reference."""
+    return examples.filter((F.col("should_answer") == "yes") & (F.size(refs) > 0))
+
+
+def first_rows(rows: DataFrame, order: list, n: int | None) -> DataFrame:
+    """The first n rows in an order, all without n."""
+    return rows if n is None else rows.orderBy(*order).limit(n)

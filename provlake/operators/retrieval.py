@@ -478,3 +478,11 @@ def rank_of(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
     """query_id, first_rank: rank of the first relevant row (query_id, id), null if none."""
     hit = ranked.join(relevant, ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first_rank"))
     return ranked.select("query_id").distinct().join(hit, "query_id", "left")
+
+
+def rerank(ranked: DataFrame, scores: DataFrame, pool: int = 50) -> DataFrame:
+    """ranked (query_id, id, rank) with the first ``pool`` of each query in the order of scores (query_id, id, score), the
+    others after them in their order. Rows of the pool without a score come last in it; ties by the rank before."""
+    both = ranked.join(scores, ["query_id", "id"], "left").withColumn("_in", F.col("rank") <= pool)
+    w = Window.partitionBy("query_id").orderBy(F.desc("_in"), F.when(F.col("_in"), F.col("score")).desc_nulls_last(), "rank", "id")
+    return both.withColumn("place", F.row_number().over(w)).select("query_id", "id", F.col("place").alias("rank"), F.when(F.col("_in"), F.col("score")).alias("score"))

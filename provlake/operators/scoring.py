@@ -145,3 +145,97 @@ def places(rows: DataFrame, keys: list[str], id_col: str, block: int = 4096) ->
     before = counts.select("_k", (F.sum("_n").over(Window.orderBy("_k")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_k").orderBy(id_col))
     return named.join(before, "_k").withColumn("place", F.col("_before") + own).drop("_k", "_before")
+
+
+def score_rows(rows: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """rows with expected and got (references), score and note.
+
+    rows: question, should_answer, refused, expected_source, citations (array); paragraphs: kind, num, labels
+    (paragraph_index). The score is that of strict_score; a single provision that the question itself names, without
+    a paragraph in the expected source, must be covered in all of its paragraphs, if it has several.
+    """
+    from ..functions.refs import citation_detail, parse_refs
+
+    empty = F.expr("cast(array() as array<string>)")
+    named = rows.withColumn("expected", parse_refs(F.coalesce("expected_source", F.lit("")))).withColumn("got", F.array_distinct(F.flatten(F.transform(F.coalesce("citations", empty), parse_refs))))
+    one = (F.size("expected") == 1) & ~F.coalesce(F.col("expected_source"), F.lit("")).rlike(r"[0-9ivxlcIVXLC]\s*\([^)]*\)") & (F.size(F.array_except("expected", parse_refs(F.coalesce("question", F.lit(""))))) == 0)
+    ref = F.when(one, F.col("expected")[0])
+    keyed = named.withColumn("_kind", ref["kind"]).withColumn("_num", ref["num"])
+    known = paragraphs.select(F.col("kind").alias("_kind"), F.col("num").alias("_num"), "labels").filter(F.size("labels") > 1)
+    joined = keyed.join(known, ["_kind", "_num"], "left")
+    details = F.filter(F.transform(F.coalesce("citations", empty), citation_detail), lambda x: x.isNotNull() & (x["kind"] == F.col("_kind")) & (x["num"] == F.col("_num")))
+    joined = joined.withColumn("_covered", F.array_distinct(F.flatten(F.transform(details, lambda x: x["labels"]))))
+    joined = joined.withColumn("_gone", F.when(F.col("labels").isNotNull(), missing_refs(F.col("labels"), F.col("_covered"))).otherwise(empty))
+    score = strict_score(F.col("should_answer"), F.col("refused"), F.col("expected"), F.col("got"), F.size("_gone") > 0)
+    lost = F.array_join(F.transform(F.array_sort(F.array_except("expected", "got")), lambda r: F.concat_ws(" ", r["kind"], r["num"].cast("string"))), ", ")
+    note = (
+        F.when(F.col("should_answer") == "no", "out of scope: scored on refusal")
+        .when(F.size("expected") == 0, F.when(F.trim(F.coalesce("expected_source", F.lit(""))) != "", "no reference in the expected source").otherwise("no expected source"))
+        .when(lost != "", F.concat(F.lit("missing: "), lost))
+        .when(F.size("_gone") > 0, F.concat(F.lit("missing paragraphs of "), "_kind", F.lit(" "), F.col("_num").cast("string"), F.lit(": "), F.array_join("_gone", ", "), F.lit(" ("), F.size("_covered").cast("string"), F.lit("/"), F.size("labels").cast("string"), F.lit(")")))
+        .otherwise("")
+    )
+    return joined.withColumn("score", score).withColumn("note", note).drop("_kind", "_num", "labels", "_covered", "_gone")
+
+
+def tally(rows: DataFrame, arm: str, metrics: list[str]) -> DataFrame:
+    """arm, metric, passed, graded, ungraded: by arm and metric; a null score is not graded."""
+    long = rows.select(F.col(arm).alias("arm"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("int").alias("score")) for m in metrics])).alias("x")).select("arm", "x.*")
+    return long.groupBy("arm", "metric").agg(F.count_if(F.col("score") == 1).alias("passed"), F.count("score").alias("graded"), F.count_if(F.col("score").isNull()).alias("ungraded"))
+
+
+def cost_ratio(totals: DataFrame, base: str) -> DataFrame:
+    """Arms (arm, mean_cost) with the ratio of their mean cost to that of the base arm; null where that is 0 or unknown."""
+    one = totals.filter(F.col("arm") == base).agg(F.first("mean_cost").alias("_base"))
+    return totals.join(F.broadcast(one), F.lit(True), "left").withColumn("ratio", F.try_divide("mean_cost", "_base")).drop("_base")  # one row
+
+
+def run_summary(rows: DataFrame, judges: list[str], others: list[str], ks: tuple[int, ...] = KS) -> DataFrame:
+    """metric, score, n: means that skip nulls of judges (after overrides and, as raw_<judge>, before), of others and of
+    precision and recall at each k (columns p<k> and r<k>), and agreement_<judge>: the share of reviewed verdicts that stood.
+
+    For each judge rows have raw_<judge>, and <judge>_reviewed and <judge>_overruled as booleans. Metrics without any
+    value have a null score; agreement and raw means are left out where nothing was reviewed.
+    """
+    names = [*judges, *others, *[f"r{k}" for k in ks], *[f"p{k}" for k in ks]]
+    mean = lambda m: [F.avg(m).alias(f"{m}_s"), F.count(m).alias(f"{m}_n")]
+    extra = []
+    for j in judges:
+        seen = F.col(f"{j}_reviewed")
+        extra += [F.avg(f"raw_{j}").alias(f"raw_{j}_s"), F.count(f"raw_{j}").alias(f"raw_{j}_n"), override_agreement(seen, F.col(f"{j}_overruled")).alias(f"agreement_{j}_s"), F.count_if(seen).alias(f"agreement_{j}_n")]
+    wide = rows.agg(*[a for m in names for a in mean(m)], *extra)
+    some = lambda j: F.col(f"agreement_{j}_n") > 0
+    cells = [F.struct(F.lit(m).alias("metric"), F.col(f"{m}_s").cast("double").alias("score"), F.col(f"{m}_n").alias("n")) for m in names]
+    for j in judges:
+        cells += [F.when(some(j), F.struct(F.lit(m).alias("metric"), F.col(f"{m}_s").cast("double").alias("score"), F.col(f"{m}_n").alias("n"))) for m in (f"raw_{j}", f"agreement_{j}")]
+    return wide.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*")
+
+
+def chunk_sizes(chunks: DataFrame, variant: str, tokens: str) -> DataFrame:
+    """variant, n_chunks, median_tokens (mean of the middle two), max_tokens. Sizes are counted first, so the median is of
+    a table with a row for each size."""
+    sizes = chunks.groupBy(F.col(variant).alias("variant"), F.col(tokens).alias("t")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("variant").orderBy("t")
+    placed = sizes.withColumn("_up", F.sum("n").over(w)).withColumn("_all", F.sum("n").over(Window.partitionBy("variant")))
+    at = lambda k: F.min(F.when(F.col("_up") > k, F.col("t")))
+    low, high = at(F.floor((F.col("_all") - 1) / 2)), at(F.floor(F.col("_all") / 2))
+    return placed.groupBy("variant").agg(F.sum("n").alias("n_chunks"), ((low + high) / 2).alias("median_tokens"), F.max("t").alias("max_tokens"))
+
+
+def choose_variant(variants: DataFrame, base: str, second: str, margin: int = 3) -> DataFrame:
+    """One row, the winner (label, hits, chunks) of variants: that of most hits, of equals of fewest chunks, if it beats the
+    base by the margin; else the second, if it has no fewer hits than the base; else the base."""
+    row = F.struct("label", "hits", "chunks")
+    pick = lambda name: F.max(F.when(F.col("label") == name, row))
+    best = F.max(F.struct("hits", (-F.col("chunks")).alias("fewer"), F.col("label").alias("label")))
+    all_ = variants.agg(best.alias("b"), pick(base).alias("base"), pick(second).alias("second"))
+    top = F.struct(F.col("b.label").alias("label"), F.col("b.hits").alias("hits"), (-F.col("b.fewer")).alias("chunks"))
+    chosen = F.when(F.col("b.hits") >= F.col("base.hits") + margin, top).when(F.col("second.hits") >= F.col("base.hits"), F.col("second")).otherwise(F.col("base"))
+    return all_.select(chosen.alias("w")).select("w.*")
+
+
+def usage(calls: DataFrame, price_in: float, price_out: float) -> DataFrame:
+    """question, llm_calls, tokens_in, tokens_out, cost from calls (question, tokens_in, tokens_out; nulls count 0); prices a million."""
+    n = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)))
+    out = calls.groupBy("question").agg(F.count("*").alias("llm_calls"), n("tokens_in").alias("tokens_in"), n("tokens_out").alias("tokens_out"))
+    return out.withColumn("cost", (F.col("tokens_in") * price_in + F.col("tokens_out") * price_out) / 1e6)

@@ -125,3 +125,68 @@ def parse_units(documents: DataFrame) -> DataFrame:
     rows = preamble.unionByName(recitals).unionByName(rest)
     ord_ = F.row_number().over(Window.partitionBy("doc_id").orderBy("z", "pos", "unit")) - 1
     return rows.withColumn("unit_ord", ord_).drop("z", "pos", "unit")
+
+
+def page_bodies(rules: DataFrame, height: str = "height") -> DataFrame:
+    """page, header_cut, footnote_cut from horizontal rules (page, height, y, x0, w): what lies between is a page's body.
+
+    The header ends at the lowest rule within the first 80 points, else at 6.5 % of the height. Footnotes start at
+    the separators (short rules at the left of the lower part) if they form one cluster; gaps of more than 10 points
+    part clusters, and of several, or none, the cut is 95.5 %. A page without rules is not known here.
+    """
+    long = rules.filter(F.col("w") >= 20)
+    pages = rules.groupBy("page").agg(F.max(height).alias("_h"))
+    header = long.filter("y < 80").groupBy("page").agg(F.max("y").alias("_top"))
+    low = long.filter((F.col("y") >= 80) & (F.col("y") > 0.55 * F.col(height)) & F.col("w").between(40, 60) & F.col("x0").between(40, 80))
+    clusters = C.gap_clusters(low.select("page", F.rint("y").alias("y")), "page", "y", 10.0)
+    out = pages.join(header, "page", "left").join(clusters, "page", "left")
+    return out.select("page", F.coalesce("_top", 0.065 * F.col("_h")).alias("header_cut"), F.when(F.col("n_clusters") == 1, F.col("low")).otherwise(0.955 * F.col("_h")).alias("footnote_cut"))
+
+
+def table_of_contents(provisions: DataFrame) -> DataFrame:
+    """doc_id, text: what a regulation has, from provisions (doc_id, ord, type, number, title, chapter, section).
+
+    Articles once each, by number, under chapters and sections where these change; annexes by roman number; titles
+    by their first line. A document without articles or annexes lists none.
+    """
+    from ..functions.refs import lead_int, roman_to_int
+
+    title = F.trim(F.substring_index(F.trim(F.coalesce("title", F.lit(""))), "\n", 1))
+    rows = provisions.select("doc_id", "ord", "type", "number", title.alias("title"), F.coalesce("chapter", F.lit("")).alias("chapter"), F.coalesce("section", F.lit("")).alias("section"))
+    first = F.row_number().over(Window.partitionBy("doc_id", "type", "number").orderBy("ord"))
+    once = rows.filter(F.col("type").isin("Article", "Annex")).withColumn("_f", first).filter("_f = 1")
+    articles = once.filter("type = 'Article'").withColumn("n", lead_int(F.col("number")))
+    w = Window.partitionBy("doc_id").orderBy("n", "ord")
+    articles = articles.withColumn("_c", ~F.col("chapter").eqNullSafe(F.lag("chapter").over(w))).withColumn("_run", F.sum(F.col("_c").cast("int")).over(w))
+    named = F.last(F.nullif("section", F.lit("")), True).over(Window.partitionBy("doc_id", "_run").orderBy("n", "ord").rowsBetween(Window.unboundedPreceding, -1))
+    articles = articles.withColumn("_s", (F.col("section") != "") & ~F.col("section").eqNullSafe(named))
+    lines = F.concat_ws("\n", F.when(F.col("_c"), F.concat(F.lit("Chapter "), "chapter")), F.when(F.col("_s"), F.concat(F.lit("  Section "), "section")), F.concat(F.lit("    Article "), "number", F.lit(": "), "title"))
+    ordered = lambda key, line: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*key, line.alias("l")))), lambda x: x["l"]), "\n")
+    listed = articles.groupBy("doc_id").agg(F.count("*").alias("n_articles"), ordered(["n", "ord"], lines).alias("articles"))
+    annexes = once.filter("type = 'Annex'").withColumn("n", F.coalesce(roman_to_int(F.col("number")), F.lit(0)))
+    annexes = annexes.groupBy("doc_id").agg(F.count("*").alias("n_annexes"), ordered(["n", "ord"], F.concat(F.lit("Annex "), "number", F.lit(": "), "title")).alias("annexes"))
+    last = F.max(F.when(F.col("type") == "Recital", F.element_at(F.split("number", "-"), -1).try_cast("int")))
+    out = rows.groupBy("doc_id").agg(F.coalesce(last, F.lit(0)).alias("recitals")).join(listed, "doc_id", "left").join(annexes, "doc_id", "left")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    summary = F.concat(F.lit("The Act has a preamble, "), count("recitals"), F.lit(" recitals, "), count("n_articles"), F.lit(" articles and "), count("n_annexes"), F.lit(" annexes."))
+    return out.select("doc_id", F.concat(summary, F.lit("\n\n"), F.coalesce("articles", F.lit("")), F.lit("\n\n"), F.coalesce("annexes", F.lit(""))).alias("text"))
+
+
+#: Order of types in an export.
+TYPE_ORDER = {"Recital": 0, "Article": 1, "Annex": 2}
+
+
+def export_key(kind: Column, number: Column, paragraph: Column) -> list[Column]:
+    """Columns to order an export by: type, number (roman of annexes), leading number of the paragraph."""
+    from ..functions.refs import lead_int, roman_value
+
+    place = F.lit(9)
+    for name, n in TYPE_ORDER.items():
+        place = F.when(kind == name, n).otherwise(place)
+    return [place, F.when(kind == "Annex", roman_value(number)).otherwise(lead_int(number)), lead_int(F.coalesce(paragraph, F.lit("")))]
+
+
+def trace_documents(rows: DataFrame) -> DataFrame:
+    """Retrieved rows (text, similarity, retrieved_by, metadata columns) as documents of a trace: page_content, type, metadata."""
+    meta = [c for c in rows.columns if c not in ("text", "query_id", "rank")]
+    return rows.select("query_id", "rank", F.struct(F.col("text").alias("page_content"), F.lit("Document").alias("type"), F.struct(*meta).alias("metadata")).alias("document"))

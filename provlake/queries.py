@@ -786,3 +786,184 @@ def override_agreement(spark, d):
     rows = table(spark, d, "labels").select((1 - F.col("toxic")).alias("j"), F.when(F.col("doc_id") % 5 == 0, F.col("quality")).alias("h"))
     seen = F.col("h").isNotNull()
     return rows.agg(F.count_if(seen).alias("reviewed"), F.round(S.override_agreement(seen, F.col("h") != F.col("j")), 6).alias("agreement"))
+
+
+# --- pages, contents, exports ------------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT event_id // 12 AS page, CAST(event_id * 37 % 842 AS DOUBLE) AS y, 40 + event_id % 50 AS x0, 15 + event_id % 50 AS w FROM events),
+sep AS (SELECT DISTINCT page, round(y) AS y FROM r WHERE w BETWEEN 40 AND 60 AND x0 BETWEEN 40 AND 80 AND y > 0.55 * 842),
+n AS (SELECT page, y, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y) <= 10 THEN 0 ELSE 1 END AS new FROM sep), c AS (SELECT page, sum(new) AS n, min(y) AS low FROM n GROUP BY 1)
+SELECT page, coalesce(max(y) FILTER (w >= 20 AND y < 80), 0.065 * 842) AS header_cut, coalesce(max(CASE WHEN n = 1 THEN low END), 0.955 * 842) AS footnote_cut FROM r LEFT JOIN c USING (page) GROUP BY 1""")
+def page_clip(spark, d):
+    """Events as rules of pages, twelve to a page."""
+    from .operators.structure import page_bodies
+
+    e = F.col("event_id")
+    rules = table(spark, d, "events").select(F.floor(e / 12).alias("page"), F.lit(842.0).alias("height"), (e * 37 % 842).cast("double").alias("y"), (40 + e % 50).alias("x0"), (15 + e % 50).alias("w"))
+    return page_bodies(rules)
+
+
+_PROVISIONS = """WITH p AS (SELECT doc_id // 40 AS act, doc_id AS ord, CAST(doc_id % 40 AS INTEGER) AS n, ['Article', 'Recital', 'Annex'][doc_id % 3 + 1] AS type, source AS title, CAST(doc_id % 40 // 9 + 1 AS INTEGER) AS c, doc_id % 40 // 4 % 3 AS s FROM documents)
+"""
+
+
+def _act_provisions(spark, d) -> DataFrame:
+    """Documents as provisions of acts, forty to an act."""
+    i = F.col("doc_id") % 40
+    n, kind = i.cast("int"), F.element_at(F.array(F.lit("Article"), F.lit("Recital"), F.lit("Annex")), (F.col("doc_id") % 3 + 1).cast("int"))
+    number = F.when(kind == "Annex", F.coalesce(R.int_to_roman(n), F.lit(""))).when(kind == "Recital", F.concat(n.cast("string"), F.lit("-"), (n + 2).cast("string"))).otherwise(n.cast("string"))
+    section = F.when(F.floor(i / 4) % 3 > 0, F.concat((F.floor(i / 4) % 3).cast("string"), F.lit(" - Part"))).otherwise("")
+    return table(spark, d, "documents").select(F.floor(F.col("doc_id") / 40).alias("doc_id"), F.col("doc_id").alias("ord"), kind.alias("type"), number.alias("number"), F.concat("source", F.lit("\nlead-in")).alias("title"), F.concat(R.int_to_roman((F.floor(i / 9) + 1).cast("int")), F.lit(" - Title")).alias("chapter"), section.alias("section"), F.when(F.col("doc_id") % 2 == 0, (F.col("n_chars") % 7).cast("string")).alias("paragraph"))
+
+
+@query(_PROVISIONS + """, a AS (SELECT *, lag(c) OVER w IS DISTINCT FROM c AS new_c, last_value(CASE WHEN s > 0 THEN s END IGNORE NULLS) OVER (PARTITION BY act, c ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM p WHERE type = 'Article' WINDOW w AS (PARTITION BY act ORDER BY n)),
+al AS (SELECT act, count(*) AS n_a, string_agg(CASE WHEN new_c THEN 'Chapter ' || """ + _roman_sql("c") + """ || ' - Title' || chr(10) ELSE '' END || CASE WHEN s > 0 AND s IS DISTINCT FROM seen THEN '  Section ' || s || ' - Part' || chr(10) ELSE '' END || '    Article ' || n || ': ' || title, chr(10) ORDER BY n) AS l FROM a GROUP BY 1),
+xl AS (SELECT act, count(*) AS n_x, string_agg('Annex ' || CASE WHEN n = 0 THEN '' ELSE """ + _roman_sql("n") + """ END || ': ' || title, chr(10) ORDER BY n) AS l FROM p WHERE type = 'Annex' GROUP BY 1),
+rl AS (SELECT act, max(CASE WHEN type = 'Recital' THEN n + 2 END) AS r FROM p GROUP BY 1)
+SELECT act AS doc_id, 'The Act has a preamble, ' || coalesce(r, 0) || ' recitals, ' || coalesce(n_a, 0) || ' articles and ' || coalesce(n_x, 0) || ' annexes.' || chr(10) || chr(10) || coalesce(al.l, '') || chr(10) || chr(10) || coalesce(xl.l, '') AS text FROM rl LEFT JOIN al USING (act) LEFT JOIN xl USING (act)""")
+def table_of_contents(spark, d):
+    from .operators import structure as X
+
+    return X.table_of_contents(_act_provisions(spark, d))
+
+
+@query(_PROVISIONS + """SELECT ord AS doc_id, row_number() OVER (ORDER BY act, CASE type WHEN 'Recital' THEN 0 WHEN 'Article' THEN 1 ELSE 2 END, n, CASE WHEN ord % 2 = 0 THEN n_chars % 7 ELSE 0 END, ord) AS place FROM p JOIN documents ON doc_id = ord""")
+def chunk_export(spark, d):
+    """The place of every provision in the order of an export, act by act."""
+    from .operators import structure as X
+
+    rows = _act_provisions(spark, d)
+    keys = X.export_key(F.col("type"), F.col("number"), F.col("paragraph"))
+    rows = rows.select(F.col("doc_id").alias("act"), F.col("ord").alias("doc_id"), *[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    return S.places(rows, ["act", "k0", "k1", "k2"], "doc_id").select("doc_id", "place")
+
+
+@query(_S + "SELECT query_id, rank, id, sim AS similarity, 'Document' AS type, 'label ' || label AS page_content FROM knn")
+def trace_documents(spark, d):
+    from .operators import structure as X
+
+    rows = _knn(spark, d).select("query_id", "rank", "id", F.col("sim").alias("similarity"), F.lit("similarity").alias("retrieved_by"), F.concat(F.lit("label "), F.col("label")).alias("text"))
+    doc = F.col("document")
+    return X.trace_documents(rows).select("query_id", "rank", doc["metadata"]["id"].alias("id"), doc["metadata"]["similarity"].alias("similarity"), doc["type"].alias("type"), doc["page_content"].alias("page_content"))
+
+
+# --- experiments -------------------------------------------------------------------------------------------
+
+_EXPERIMENT = """WITH r AS (SELECT event_id AS run_id, event_type AS experiment, CASE WHEN event_id % 5 > 0 THEN user_id END AS example_id, event_id % 4 > 0 AS is_root, event_id AS start_time, value FROM events)
+"""
+
+
+def _experiment_runs(spark, d) -> DataFrame:
+    e = F.col("event_id")
+    return table(spark, d, "events").select(e.alias("run_id"), F.col("event_type").alias("experiment"), F.when(e % 5 > 0, F.col("user_id")).alias("example_id"), (e % 4 > 0).alias("is_root"), e.alias("start_time"), "value")
+
+
+def _examples(spark, d) -> DataFrame:
+    return table(spark, d, "labels").select(F.col("doc_id").alias("example_id"), "quality", "toxic")
+
+
+@query(_EXPERIMENT + "SELECT run_id, example_id, quality, toxic FROM r LEFT JOIN labels ON doc_id = example_id WHERE experiment = (SELECT arg_max(experiment, start_time) FROM r) AND is_root AND example_id IS NOT NULL")
+def experiment_scan(spark, d):
+    """The experiment that started last, with its examples."""
+    return L.fetch_experiment(_experiment_runs(spark, d), _examples(spark, d)).select("run_id", "example_id", "quality", "toxic")
+
+
+@query(_EXPERIMENT + ", f AS (SELECT user_id AS run_id, arg_max(value, event_id) FILTER (event_type = 'click') AS click, arg_max(value, event_id) FILTER (event_type = 'view') AS \"view\" FROM events GROUP BY 1) SELECT r.run_id, click, \"view\" FROM r LEFT JOIN f USING (run_id)")
+def run_feedback(spark, d):
+    feedback = table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("key"), F.col("value").alias("score"), F.col("event_id").alias("seq"))
+    return L.with_feedback(_experiment_runs(spark, d).select("run_id"), feedback, ["click", "view"])
+
+
+@query("SELECT count(*) FILTER (o_orderkey IS NULL) AS n_missing FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 > 0) ON o_orderkey = l_orderkey")
+def missing_costs(spark, d):
+    costs = table(spark, d, "orders").filter("o_orderkey % 7 > 0").select(F.col("o_orderkey").alias("run_id"), F.col("o_totalprice").alias("cost"))
+    return L.with_costs(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id")), costs)[1]
+
+
+@query(_RUNS + "SELECT run_id FROM sc WHERE should_answer = 'yes' AND len(expected) > 0 ORDER BY run_id LIMIT 50")
+def answerable(spark, d):
+    """The first fifty runs that should be answered, which is the limit asked for."""
+    return L.first_rows(L.answerable(_runs(spark, d), F.col("expected")).select("run_id"), ["run_id"], 50)
+
+
+@query("""WITH r AS (SELECT doc_id, doc_id % 3 + 1 AS k, n_chars % 4 + 1 AS m, doc_id % 2 = 0 AS asked, doc_id % 5 = 0 AS part, doc_id % 11 = 0 AS off, doc_id % 13 = 0 AS lost FROM documents)
+SELECT doc_id, CASE WHEN off THEN 0 WHEN lost THEN 0 WHEN asked AND NOT part AND m > 1 AND m > k THEN 0 ELSE 1 END AS score,
+CASE WHEN off THEN 'out of scope: scored on refusal' WHEN lost THEN 'missing: article ' || doc_id WHEN asked AND NOT part AND m > 1 AND m > k THEN 'missing paragraphs of article ' || doc_id || ': ' || array_to_string(range(k + 1, m + 1), ', ') || ' (' || k || '/' || m || ')' ELSE '' END AS note FROM r""")
+def completeness(spark, d):
+    """A question about each document as an article, with the paragraphs that the corpus has of it."""
+    n, docs = F.col("doc_id").cast("string"), table(spark, d, "documents")
+    cited = F.concat(F.when(F.col("doc_id") % 13 == 0, "Recital ").otherwise("Article "), n, F.lit("(1-"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit(")"))
+    rows = docs.select(
+        "doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("summarize article "), n)).otherwise("what is it").alias("question"), F.when(F.col("doc_id") % 11 == 0, "no").otherwise("yes").alias("should_answer"), F.lit(False).alias("refused"),
+        F.concat(F.lit("article "), n, F.when(F.col("doc_id") % 5 == 0, "(1)").otherwise("")).alias("expected_source"), F.array(cited, F.lit("Article 999999a")).alias("citations"),
+    )
+    corpus = docs.select(F.lit("Article").alias("type"), n.alias("number"), F.concat(F.lit("1-"), (F.col("n_chars") % 4 + 1).cast("string")).alias("paragraph"))
+    return S.score_rows(rows, S.paragraph_index(corpus)).select("doc_id", "score", "note")
+
+
+@query(_RUNS + """SELECT source AS arm, metric, count(*) FILTER (s = 1) AS passed, count(s) AS graded, count(*) FILTER (s IS NULL) AS ungraded FROM (SELECT source, 'score' AS metric, score AS s FROM sc UNION ALL SELECT source, 'refused', CAST(refused AS INTEGER) FROM sc) GROUP BY ALL""")
+def arm_tally(spark, d):
+    return S.tally(_runs(spark, d).withColumn("refused", F.col("refused").cast("int")), "source", ["score", "refused"])
+
+
+@query("WITH t AS (SELECT event_type AS arm, avg(value) AS m FROM events GROUP BY 1) SELECT arm, round(m / (SELECT m FROM t WHERE arm = 'view'), 6) AS ratio FROM t")
+def cost_ratio(spark, d):
+    totals = S.arm_totals(table(spark, d, "events"), "event_type", "value", "value")
+    return S.cost_ratio(totals, "view").select("arm", F.round("ratio", 6).alias("ratio"))
+
+
+_SUMMARY = """, v AS (SELECT run_id, score, latency, run_id % 5 = 0 AS seen, CAST(refused AS INTEGER) AS raw, CASE WHEN run_id % 5 = 0 THEN CAST(run_id % 2 AS INTEGER) ELSE CAST(refused AS INTEGER) END AS judged FROM sc),
+w AS (SELECT *, CASE WHEN run_id % 3 > 0 THEN run_id % 10 / 10.0 END AS p1 FROM v)
+SELECT metric, round(s, 6) AS score, n FROM (SELECT 'judged' AS metric, avg(judged) AS s, count(judged) AS n FROM w UNION ALL SELECT 'score', avg(score), count(score) FROM w UNION ALL SELECT 'latency', avg(latency), count(latency) FROM w
+UNION ALL SELECT 'r1', avg(p1 / 2), count(p1) FROM w UNION ALL SELECT 'p1', avg(p1), count(p1) FROM w UNION ALL SELECT 'raw_judged', avg(raw), count(raw) FROM w
+UNION ALL SELECT 'agreement_judged', (count(*) FILTER (seen) - count(*) FILTER (seen AND raw <> judged)) / count(*) FILTER (seen), count(*) FILTER (seen) FROM w)"""
+
+
+@query(_RUNS + _SUMMARY)
+def run_summary(spark, d):
+    rows = _runs(spark, d).withColumn("raw_judged", F.col("refused").cast("int")).withColumn("judged_reviewed", F.col("run_id") % 5 == 0)
+    rows = rows.withColumn("judged", F.when(F.col("judged_reviewed"), (F.col("run_id") % 2).cast("int")).otherwise(F.col("raw_judged"))).withColumn("judged_overruled", F.col("judged") != F.col("raw_judged"))
+    rows = rows.withColumn("p1", F.when(F.col("run_id") % 3 > 0, F.col("run_id") % 10 / 10.0)).withColumn("r1", F.col("p1") / 2)
+    return S.run_summary(rows, ["judged"], ["score", "latency"], (1,)).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT source AS variant, count(*) AS n_chunks, median(n_chars) AS median_tokens, max(n_chars) AS max_tokens FROM documents GROUP BY 1")
+def chunk_sizes(spark, d):
+    return S.chunk_sizes(table(spark, d, "documents"), "source", "n_chars")
+
+
+@query("""WITH v AS (SELECT event_type AS label, count(*) AS hits, count(DISTINCT user_id) AS chunks FROM events GROUP BY 1), b AS (SELECT * FROM v ORDER BY hits DESC, chunks, label DESC LIMIT 1), a AS (SELECT * FROM v WHERE label = 'view'), s AS (SELECT * FROM v WHERE label = 'click')
+SELECT CASE WHEN b.hits >= a.hits + 3 THEN b.label WHEN s.hits >= a.hits THEN s.label ELSE a.label END AS label, CASE WHEN b.hits >= a.hits + 3 THEN b.hits WHEN s.hits >= a.hits THEN s.hits ELSE a.hits END AS hits, CASE WHEN b.hits >= a.hits + 3 THEN b.chunks WHEN s.hits >= a.hits THEN s.chunks ELSE a.chunks END AS chunks FROM a, b, s""")
+def choose_variant(spark, d):
+    variants = table(spark, d, "events").groupBy(F.col("event_type").alias("label")).agg(F.count("*").alias("hits"), F.count_distinct("user_id").alias("chunks"))
+    return S.choose_variant(variants, "view", "click")
+
+
+@query("SELECT conv_id AS question, count(*) AS llm_calls, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS tokens_in, CAST(sum(turn) AS BIGINT) AS tokens_out, round((sum(coalesce(length(text), 0)) * 3.0 + sum(turn) * 15.0) / 1e6, 9) AS cost FROM conversations GROUP BY 1")
+def usage(spark, d):
+    calls = table(spark, d, "conversations").select(F.col("conv_id").alias("question"), F.length("text").alias("tokens_in"), F.col("turn").alias("tokens_out"))
+    return S.usage(calls, 3.0, 15.0).withColumn("cost", F.round("cost", 9))
+
+
+@query(_S + """, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s QUALIFY rank <= 60)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank > 50, CASE WHEN rank <= 50 THEN -(id % 97) ELSE 0 END DESC, rank) AS rank, CASE WHEN rank <= 50 THEN CAST(-(id % 97) AS DOUBLE) END AS score FROM r""")
+def rerank(spark, d):
+    """The first 50 of 60 rescored by a table in place of a cross-encoder."""
+    ranked = _knn(spark, d, 60).select("query_id", "id", "rank")
+    scores = ranked.select("query_id", "id", (-(F.col("id") % 97)).cast("double").alias("score"))
+    return V.rerank(ranked, scores)
+
+
+@query(_S + f""", g AS (SELECT q.query_id, coalesce(max(sim) < 0.45, true) AS refuse, coalesce(list('v' || id ORDER BY rank) FILTER (id IS NOT NULL), []) AS c FROM q LEFT JOIN knn USING (query_id) GROUP BY 1),
+m AS (SELECT *, query_id // 100 % 4 AS i FROM g)
+SELECT query_id, CASE WHEN NOT refuse THEN CASE i WHEN 0 THEN 'yes' WHEN 1 THEN '{REFUSED}.' END END AS answer, refuse OR i = 1 AS refused, CASE WHEN NOT refuse THEN CASE i WHEN 2 THEN 'timeout' WHEN 3 THEN 'no answer' END END AS error, array_to_string(c, ',') AS citations, CAST(len(c) AS INTEGER) AS n_excerpts FROM m""")
+def answer(spark, d):
+    """The gate, what a model said, refusals, errors and citations of every query vector."""
+    from .plans.answer import answer as answered
+
+    i = F.floor(F.col("query_id") / 100) % 4
+    questions = _vector_queries(spark, d).select("query_id")
+    said = questions.select("query_id", F.when(i == 0, "yes").when(i == 1, REFUSED + ".").alias("answer"), F.when(i == 2, "timeout").alias("error"))
+    rows = _knn(spark, d).withColumn("retrieved_by", F.lit("similarity")).withColumn("citation", F.concat(F.lit("v"), F.col("id")))
+    return answered(questions, rows, said).withColumn("citations", F.array_join("citations", ","))

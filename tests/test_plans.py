@@ -1,12 +1,13 @@
 """Ingest, index, streams and sources end to end on small inputs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from provlake.functions.plugins import hashed_embedding, only_where
 from provlake.functions.text import budget_tokens
 from provlake.operators import retrieval as V
-from provlake.plans.answer import context, evidence, pinned_rows, reflect
-from provlake.plans.ingest import ChunkConfig, chunk_documents
+from provlake.plans.answer import context, evidence, fall_back, pinned_rows, reflect
+from provlake.plans.ingest import ChunkConfig, chunk_lines
 from provlake.sources import io
 from provlake.streaming.ingest import index_stream, stream_documents
 
@@ -16,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 def test_chunks_keep_budget_ids_and_overlap(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     config = ChunkConfig(window=120, overlap=20, slack=4)
-    chunks = chunk_documents(docs, config).withColumn("n", F.size(budget_tokens(F.col("body")))).cache()
+    chunks = chunk_lines(docs, config).withColumn("n", F.size(budget_tokens(F.col("body")))).cache()
     assert chunks.agg(F.max("n")).first()[0] <= config.budget
     assert chunks.groupBy("doc_id", "chunk_id").count().filter("count > 1").count() == 0
     assert chunks.filter("part is null or part = 1").filter("text <> body").count() == 0
@@ -38,6 +39,43 @@ def test_index_upsert_and_stream(spark, tmp_path):
     assert io.read_index(spark, index).count() == 2
 
 
+def test_index_pointer_and_parts(spark, tmp_path):
+    index = f"file://{tmp_path}/index"
+    rows = lambda ids, text: spark.createDataFrame([(f"c{i}", text, None) for i in ids], "chunk_id string, text string, title string")
+    io.upsert_index(rows(range(300), "old"), index)
+    before = io._pointer(spark, index)
+    io.upsert_index(rows([3], "new"), index)
+    after = io._pointer(spark, index)
+    assert sum(before[p] != after[p] for p in before) == 1  # only the part of the row that changed
+    assert {r.text: r["count"] for r in io.read_index(spark, index).groupBy("text").count().collect()} == {"old": 299, "new": 1}
+    assert not [f for f in (tmp_path / "index").iterdir() if f.name.startswith(".") and not f.name.endswith(".crc")]
+
+
+def test_files_and_sheets(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"one\x0ctwo")
+    pages = io.scan_files(spark, f"file://{tmp_path}/a.bin", lambda data: data.decode().split("\x0c"))
+    assert [r.text for r in io.join_pages(pages).collect()] == ["one\ntwo"]
+    with pytest.raises(FileNotFoundError):
+        io.scan_files(spark, f"file://{tmp_path}/none", lambda data: [])
+    (tmp_path / "s.csv").write_text('a,b\n1,x\n ,y\n,z\n')
+    assert [r.b for r in io.read_sheet(spark, f"file://{tmp_path}/s.csv").collect()] == ["x"]
+    table = spark.createDataFrame([(1, "x")], "a int, b string")
+    io.write_report(table, spark.createDataFrame([("m", 1.0, 1)], "metric string, score double, n int"), f"file://{tmp_path}/r")
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/r/summary").first().metric == "m"
+    (tmp_path / "bad.json").write_text("no json")
+    assert io.read_labels(spark, f"file://{tmp_path}/bad.json").count() == 0
+    labels = spark.createDataFrame([("e", "q", "k", "l", 1, 0, "r", "keep"), ("e", "p", "k", "l", 1, 1, "r", "delete")], io.LABEL_SCHEMA + ", action string")
+    io.write_labels(labels, f"file://{tmp_path}/labels")
+    assert [r.question for r in spark.read.schema(io.LABEL_SCHEMA).json(f"file://{tmp_path}/labels").collect()] == ["q"]
+
+
+def test_answers_fall_back(spark):
+    cols = "query_id int, answer string, error string"
+    first = spark.createDataFrame([(1, "a", None), (2, None, "down")], cols)
+    second = spark.createDataFrame([(1, "b", None), (2, "c", None)], cols)
+    assert sorted(map(tuple, fall_back(first, second).collect())) == [(1, "a", None, False), (2, "c", None, True)]
+
+
 def test_golden_and_labels(spark, tmp_path):
     (tmp_path / "g.csv").write_text('question , should_answer,dataset_split\n" a ""b""\nc ",,"[""base""]"\n,yes,\n')
     (row,) = io.read_golden(spark, f"file://{tmp_path}/g.csv").collect()

@@ -1,4 +1,4 @@
-"""Queries that do more than their SQL does: against plain versions without its cuts."""
+"""Whole rankings against plain versions."""
 
 import duckdb
 import numpy as np
