@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .token_output import Encoder
 from .workspace import join_hot
 
-PARTS = 64
+#: Parts of the state, and rows for each file of a part.
+PARTS, FILE_ROWS = 64, 2_000_000
 _KEY = ["key", "tokenizer_version"]
 _GROUP = ["source", "lang", "tokenizer_version"]
 _VALUE = ["source", "lang", "n_docs", "n_tokens"]
@@ -49,7 +50,7 @@ class TokenLedger:
         self._fs.mkdirs(self._Path(f"{path}/commits"))
 
     def commits(self) -> list[dict]:
-        """Committed batches in order: batch, attempt (a folder) and parts (part -> attempt that has its state)."""
+        """Committed batches in order: batch, attempt (a folder), parts (part -> attempt that has its state) and rows (at most) of the state."""
         names = [s.getPath().getName() for s in self._fs.listStatus(self._Path(f"{self.path}/commits"))]
         out = []
         for n in sorted(x for x in names if x.isdigit()):
@@ -96,15 +97,20 @@ class TokenLedger:
         text, number = lambda c: F.col(c).cast("string").alias(c), lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c)
         ev = events.select(given("key").alias("key"), text("tokenizer_version"), given("op").alias("op"), text("source"), text("lang"), number("n_docs"), number("n_tokens"), F.col("seq").cast("long").alias("seq"))
         last = ev.groupBy(*_KEY).agg(F.max(F.struct("seq", "op", "n_docs", "n_tokens", "source", "lang")).alias("e")).select(F.col("key").alias("e_key"), F.col("tokenizer_version").alias("e_version"), "e")
-        # at most PARTS numbers
-        touched = {r[0] for r in ev.select(part.alias("p")).distinct().collect()}
+        # at most PARTS rows
+        counts = {r.p: r["count"] for r in ev.select(part.alias("p")).groupBy("p").count().collect()}
+        touched = set(counts)
+        n_rows = sum(counts.values()) + (done[-1]["rows"] if done else 0)  # at most
+        files = max(1, -(-n_rows // (PARTS * FILE_ROWS)))
         old = self.state(touched).select(*_KEY, F.struct(*_VALUE).alias("s"))
         both = old.join(last, (old["key"] == last["e_key"]) & old["tokenizer_version"].eqNullSafe(last["e_version"]), "full")
         changed = F.col("e").isNotNull()
         both = both.select(F.coalesce("e_key", "key").alias("key"), F.when(changed, F.col("e_version")).otherwise(F.col("tokenizer_version")).alias("tokenizer_version"), "s", "e")
         kept = F.when(~changed, F.col("s")).when(F.col("e.op") != "delete", F.struct(*[F.col(f"e.{c}").alias(c) for c in _VALUE]))
         state = both.select(*_KEY, kept.alias("n")).filter("n is not null").select(*_KEY, "n.*").withColumn("_part", part)
-        state.write.partitionBy("_part").parquet(f"{attempt}/state")
+        # each task writes one file of one part
+        dealt = state.repartition(PARTS * files, "_part", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(files)))
+        dealt.write.partitionBy("_part").parquet(f"{attempt}/state")
         # signed rows of the keys that the batch touches: what they had goes, what they have comes
         minus = both.filter(changed & F.col("s").isNotNull()).select("s.source", "s.lang", "tokenizer_version", (-F.col("s.n_docs")).alias("n_docs"), (-F.col("s.n_tokens")).alias("n_tokens"))
         plus = both.filter("e.op <> 'delete'").select("e.source", "e.lang", "tokenizer_version", "e.n_docs", "e.n_tokens")
@@ -112,7 +118,7 @@ class TokenLedger:
         deltas.select("source", "lang", "tokenizer_version", "n_docs", "n_tokens").write.parquet(f"{attempt}/deltas")
         parts = {int(p): a for p, a in done[-1]["parts"].items() if int(p) not in touched} if done else {}
         parts |= {p: name for p in self._written(attempt)}
-        self._commit(len(done), {"batch": batch_id, "attempt": name, "parts": parts})
+        self._commit(len(done), {"batch": batch_id, "attempt": name, "parts": parts, "rows": n_rows})
         return True
 
     def _written(self, attempt: str) -> list[int]:
