@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textprims import heads, mix64, pieces
+from .textprims import heads, pieces
 from .workspace import Workspace, shuffle_parts
 
 SHARD_TOKENS = 1 << 20
@@ -38,7 +38,7 @@ LEAST, PAIRS_A_ROUND, SLOT_BITS = 4, 8192, 18
 #: Chunks that are encoded as one text.
 JOINT = 512
 #: Bytes of a chunk that the table of known chunks can hold, its slots, and ids that it refers to at most before it starts anew.
-SHORT, CACHE_SLOTS, CACHE_IDS = 16, 1 << 21, 1 << 24
+SHORT, CACHE_SLOTS, CACHE_IDS = 15, 1 << 21, 1 << 24
 #: Longer chunks that are kept, by their bytes: most chunks, and most bytes of one.
 LONG_KEPT, LONG_BYTES = 1 << 15, 256
 
@@ -58,8 +58,8 @@ for _a in (1, 2, 3):
         _CUT[_a, _b] = _a != _b
     _CUT[_a, 5] = _CUT[_a, 6] = True
 _CUT[4, 5] = _CUT[4, 6] = _CUT[1, 4] = _CUT[2, 4] = True
-#: Masks that keep the first k of 8 bytes.
-_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Masks that keep the first k of 16 bytes.
+_KEEP = np.array([[(1 << 8 * min(k, 8)) - 1, (1 << 8 * max(0, k - 8)) - 1] for k in range(16)], np.uint64)
 _WORKER: dict = {}
 
 
@@ -79,7 +79,7 @@ def cuts(buf: np.ndarray) -> np.ndarray:
 class Encoder:
     """Whole-text encoding through the tokenizers library, each chunk between cuts once while it stays known.
 
-    Known chunks of up to 16 bytes are in a two-way table of fixed size that holds the bytes themselves; a chunk
+    Known chunks of up to 15 bytes are in a two-way table of fixed size that holds the bytes themselves; a chunk
     that finds both of its places taken replaces the second. Longer ones are in a bounded dictionary, by bytes.
     """
 
@@ -120,8 +120,8 @@ class Encoder:
         self.ids_of = lambda texts: [self.tok.encode_ordinary(t) for t in texts]
 
     def reset(self) -> None:
-        #: 8 bytes, 8 bytes, and (first id << 32 | ids << 8 | bytes): 0 where free
-        self.table = np.zeros((CACHE_SLOTS, 3), np.uint64)
+        #: the bytes and, in the last one, how many they are; first id << 24 | ids of each
+        self.table, self.place = np.zeros((CACHE_SLOTS, 2), np.uint64), np.zeros(CACHE_SLOTS, np.int64)
         self.long: dict[bytes, tuple[int, int]] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
@@ -159,19 +159,19 @@ class Encoder:
         run, size = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
         short = np.flatnonzero(n <= SHORT)
         k = n[short]
-        key = np.empty((len(short), 3), np.uint64)
-        key[:, :2] = heads(buf, starts[short], SHORT)
-        key[:, 0] &= _KEEP[np.minimum(k, 8)]
-        key[:, 1] &= _KEEP[np.clip(k - 8, 0, 8)]
-        key[:, 2] = k
-        h = mix64(key[:, 0] * np.uint64(0x9E3779B97F4A7C15) + mix64(key[:, 1] ^ key[:, 2] << np.uint64(57)))
-        mask = np.uint64(CACHE_SLOTS - 1)
-        first, second = (h & mask).astype(np.int64), (h >> np.uint64(32) & mask).astype(np.int64)
-        got = np.take(self.table, first, axis=0)
-        miss = np.flatnonzero(~self._equal(got, key))
-        got[miss] = np.take(self.table, second[miss], axis=0)
-        miss = miss[~self._equal(got[miss], key[miss])]
-        run[short], size[short] = got[:, 2] >> np.uint64(32), got[:, 2] >> np.uint64(8) & np.uint64(0xFFFFFF)
+        key = heads(buf, starts[short], 16)
+        key &= _KEEP[k]
+        key[:, 1] |= k.astype(np.uint64) << np.uint64(56)
+        h = key[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ key[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        first, second = (h >> np.uint64(43)).astype(np.int64), (h >> np.uint64(22) & np.uint64(CACHE_SLOTS - 1)).astype(np.int64)
+        got = self.place[first]
+        miss = np.flatnonzero(self._differ(first, key))
+        other = second[miss]
+        got[miss] = self.place[other]
+        miss = miss[self._differ(other, key[miss])]
+        run[short], size[short] = got >> 24, got & 0xFFFFFF
         data = buf.tobytes() if len(miss) or len(short) < len(n) else b""
         if len(miss):
             _, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
@@ -182,8 +182,8 @@ class Encoder:
             at = starts[short[new]].tolist()
             new_start, new_size = self._learn([data[s:e].decode("utf-8", "replace") for s, e in zip(at, ends[short[new]].tolist(), strict=True)])
             run[short[miss]], size[short[miss]] = new_start[back], new_size[back]
-            place = np.where(self.table[first[new], 2] == 0, first[new], second[new])
-            self.table[place] = np.stack([key[new, 0], key[new, 1], new_start.astype(np.uint64) << np.uint64(32) | new_size.astype(np.uint64) << np.uint64(8) | key[new, 2]], 1)
+            at = np.where(self.table[first[new], 1] == 0, first[new], second[new])
+            self.table[at], self.place[at] = key[new], new_start << 24 | new_size
         rest = np.flatnonzero(n > SHORT)
         if len(rest):
             texts = [data[s:e] for s, e in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
@@ -197,9 +197,9 @@ class Encoder:
             self.long.update({t: x for t, x in own.items() if len(t) <= LONG_BYTES})
         return run, size
 
-    @staticmethod
-    def _equal(entry: np.ndarray, key: np.ndarray) -> np.ndarray:
-        return (entry[:, 0] == key[:, 0]) & (entry[:, 1] == key[:, 1]) & (entry[:, 2] & np.uint64(0xFF) == key[:, 2])
+    def _differ(self, at: np.ndarray, key: np.ndarray) -> np.ndarray:
+        known = np.take(self.table, at, axis=0)
+        return (known[:, 0] != key[:, 0]) | (known[:, 1] != key[:, 1])
 
     def _parts(self, column: pa.Array) -> Iterator[tuple]:
         """Of consecutive rows (first chunk of each row and the end, where a chunk's ids start, how many they are, None), or
@@ -318,40 +318,18 @@ def expansion_lengths(rules: np.ndarray, n_base: int) -> np.ndarray:
     return out
 
 
-def rule_ids(rules: np.ndarray, n_base: int) -> tuple[np.ndarray, np.ndarray]:
-    """All rules' ids one after the other, and where each starts (and the end)."""
-    lengths = expansion_lengths(rules, n_base).astype(np.int64)
-    at = np.concatenate(([0], np.cumsum(lengths)))
-    seq = np.arange(n_base, n_base + len(rules), dtype=np.uint32)
-    while len(seq) and (big := seq >= n_base).any():
-        to = np.cumsum(np.where(big, 2, 1)) - np.where(big, 2, 1)
-        out = np.empty(int(to[-1] + (2 if big[-1] else 1)), np.uint32)
-        out[to[~big]] = seq[~big]
+def expand(symbols: np.ndarray, rules: np.ndarray, n_base: int) -> np.ndarray:
+    """The ids of symbols: rules are replaced by their pairs, level by level."""
+    seq = symbols.astype(np.uint32)
+    while (big := seq >= n_base).any():
+        to = np.arange(len(seq)) + np.cumsum(big) - big
         pair = rules[seq[big] - n_base]
-        out[to[big]], out[to[big] + 1] = pair[:, 0], pair[:, 1]
+        out = np.empty(len(seq) + len(pair), np.uint32)
+        out[to] = seq
+        to = to[big]
+        out[to], out[to + 1] = pair[:, 0], pair[:, 1]
         seq = out
-    return seq, at
-
-
-def expand(symbols: np.ndarray, rules: np.ndarray, n_base: int) -> np.ndarray:
-    """The ids of symbols."""
-    symbols = symbols.astype(np.int64)
-    big = np.flatnonzero(symbols >= n_base)
-    if not len(big):
-        return symbols.astype(np.uint32)
-    flat, at = rule_ids(rules, n_base)
-    rule = symbols[big] - n_base
-    size = np.ones(len(symbols), np.int64)
-    size[big] = at[rule + 1] - at[rule]
-    # one table: a symbol's own id where it is no rule, else a place in flat
-    own = np.flatnonzero(symbols < n_base)
-    to = np.cumsum(size) - size
-    out = np.empty(int(to[-1] + size[-1]), np.uint32)
-    out[to[own]] = symbols[own]
-    n = size[big]
-    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    out[np.repeat(to[big], n) + k] = flat[np.repeat(at[rule], n) + k]
-    return out
+    return seq
 
 
 def token_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, n_base: int, start: int, end: int) -> np.ndarray:
