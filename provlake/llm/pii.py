@@ -196,7 +196,7 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
 
 
 def span_digest(found: DataFrame) -> DataFrame:
-    """doc_id, counts by base kind, base_sha256 and spans."""
+    """doc_id, counts by base kind, base_sha256, spans, and the counts of secrets and of all spans."""
     listed = lambda kinds: F.array_join(F.concat(*[F.transform(k, _lists(k)) for k in kinds]), ",")
     return found.select(
         "doc_id",
@@ -204,4 +204,5 @@ def span_digest(found: DataFrame) -> DataFrame:
         F.sha2(listed(KINDS), 256).alias("base_sha256"),
         listed([*KINDS, "secret"]).alias("spans"),
         F.size("secret").cast("long").alias("n_secret"),
+        sum((F.size(k) for k in KINDS), F.size("secret")).cast("long").alias("n_spans"),
     )

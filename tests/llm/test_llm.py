@@ -432,6 +432,95 @@ def test_toxicity_learns_words_and_parts():
     assert (again["net"]["Ec"] == model["net"]["Ec"]).all()
 
 
+def plain_window_logit(m, x):
+    """One window (steps x input) through the network, step by step."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    h = m["Uf"].shape[0]
+    states = {}
+    for s, steps in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+        state, out = np.zeros(h), {}
+        for t in steps:
+            a, b = x[t] @ m[f"W{s}"] + m[f"c{s}"], state @ m[f"U{s}"]
+            z, r = sig(a[:h] + b[:h]), sig(a[h : 2 * h] + b[h : 2 * h])
+            c = np.tanh(a[2 * h :] + r * b[2 * h :])
+            state = z * state + (1 - z) * c
+            out[t] = state
+        states[s] = out
+    both = np.array([np.concatenate([states["f"][t], states["b"][t]]) for t in range(len(x))])
+    e = np.exp(both @ m["a"] - (both @ m["a"]).max())
+    return (e / e.sum()) @ both @ m["w"] + m["b"][0]
+
+
+def test_network_forward_and_gradients():
+    from provlake.llm.recurrent import CHAR_DIM, WINDOW, WORD_DIM, gradients, new_model, run
+
+    rng = np.random.default_rng(4)
+    m = new_model(4)
+    inputs = rng.standard_normal((9, WORD_DIM + CHAR_DIM)).astype(np.float32)
+    index = np.full((3, WINDOW), -1)
+    for i, n in enumerate((WINDOW, 5, 1)):
+        index[i, :n] = rng.integers(0, 9, n)
+    logit = run(m, inputs, index)
+    want = [plain_window_logit(m, inputs[row[row >= 0]]) for row in index]
+    assert np.allclose(logit, want, atol=1e-4)
+    d = np.array([0.7, -1.1, 0.4], np.float32)
+    kept = run(m, inputs, index, keep=True)
+    g, dx = gradients(m, inputs, index, d, kept)
+    loss = lambda: float((run(m, inputs, index).astype(np.float64) * d).sum())
+    for name, grad in [*((k, g[k]) for k in ("w", "a", "Uf", "Ub", "Wf", "Wb", "cf", "cb")), (None, dx)]:
+        value = inputs if name is None else m[name]
+        for at in np.argsort(-np.abs(grad).ravel())[:3]:
+            old = value.ravel()[at]
+            value.ravel()[at] = old + 0.02
+            up = loss()
+            value.ravel()[at] = old - 0.02
+            down = loss()
+            value.ravel()[at] = old
+            assert (up - down) / 0.04 == pytest.approx(float(grad.ravel()[at]), rel=0.05, abs=2e-3), name
+
+
+def test_quality_vectors_against_plain_sums():
+    from provlake.llm import quality_classifier as Q
+
+    texts = ["One two, two THREE four!", "five", "", "a b"]
+    sums = Q.context_sums(pa.array(texts)).reshape(-1, Q.DIM)
+    want = np.zeros_like(sums)
+    for t in texts:
+        slot, at, _, _ = Q.tokens(np.frombuffer((t + "\n").encode(), np.uint8), np.array([0, len(t) + 1]))
+        assert at.tolist() == [0, len(slot)]
+        for i in range(len(slot)):
+            for j in range(max(0, i - Q.REACH), min(len(slot), i + Q.REACH + 1)):
+                if i != j:
+                    for k in range(Q.NONZERO):
+                        want[slot[i], Q._AT[slot[j], k]] += Q._SIGN[slot[j], k]
+    assert np.allclose(sums, want) and np.abs(want).sum() > 0
+    vectors = Q.vectors_of(sums)
+    pooled = Q.pool(vectors, pa.array(texts))
+    slot, *_ = Q.tokens(np.frombuffer(b"a b\n", np.uint8), np.array([0, 4]))
+    assert np.allclose(pooled[3, : Q.DIM], vectors[slot].mean(0), atol=1e-6) and not pooled[2, : 2 * Q.DIM].any()
+
+
+@pytest.mark.parametrize("name", ["op1_token_output", "op2_pii_weak_supervision", "op6_toxicity", "op8_quality_classifier", "op10_mixing"])
+def test_queries_without_sql_keep_their_contract(spark, name):
+    kinds = {
+        "op1_token_output": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
+        "op2_pii_weak_supervision": {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string", "n_spans": "bigint"},
+        "op6_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+        "op8_quality_classifier": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+        "op10_mixing": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    }[name]
+    out = QUERIES[name](spark, SF)
+    assert {k: v for k, v in out.dtypes if k in kinds} == kinds
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(d for (d,) in duckdb.sql(f"select doc_id from '{SF}/documents.parquet'").fetchall())
+    for r in rows:
+        if "held_out" in kinds:
+            fold, held = (5, 0) if name == "op6_toxicity" else (3, 1)
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % fold == held) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+        if name == "op2_pii_weak_supervision":
+            assert r.n_spans == len([x for x in r.spans.split(",") if x])
+
+
 def test_windows_cover_and_overlap():
     from provlake.llm.recurrent import STRIDE, WINDOW, windows_of
 
