@@ -2,6 +2,10 @@
 
 Every stage works on all rows that the one before kept, and returns the columns of documents; the last
 returns what was written: doc_id, start, n_tokens, ids_crc32 and n_symbols.
+
+Cases: a row is judged by itself, so that a null or repeated doc_id takes no other row with it; null and empty texts
+are neither toxic, nor copies, nor contaminated, take part in the mix with no words and end as their end id; extra
+columns go with their rows up to the last stage; an empty table goes through empty.
 """
 
 from __future__ import annotations
