@@ -129,10 +129,11 @@ class Encoder:
     def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Encode new chunks; where their ids start and how many they are.
 
-        Chunks of one space and then ASCII go many to a text: they are cut apart there too, and the widths of
-        the ids tell which ids are whose.
+        Chunks that start with white space and end with a letter or number go many to a text: they are cut apart
+        there too, for nothing reaches from a letter or number over white space, and the widths of the ids tell
+        which ids are whose.
         """
-        joint = np.array([len(c) > 1 and c[0] == " " and c[1] != " " and c[-1].isalnum() and c.isascii() for c in chunks], bool)
+        joint = np.array([c[0] in " \n\r\t" and c[-1].isalnum() for c in chunks], bool)
         many, alone = np.flatnonzero(joint), np.flatnonzero(~joint)
         size = np.zeros(len(chunks), np.int64)
         got = self.ids_of([chunks[i] for i in alone.tolist()])
@@ -141,7 +142,7 @@ class Encoder:
         blocks = ["".join([chunks[i] for i in part.tolist()]) for part in np.array_split(many, max(1, -(-len(many) // JOINT)))]
         got = self.ids_of(blocks)
         flat_many = np.fromiter(chain.from_iterable(got), np.uint32, sum(map(len, got)))
-        ends = np.searchsorted(np.cumsum(self.width[flat_many]), np.cumsum(np.fromiter((len(chunks[i]) for i in many.tolist()), np.int64, len(many)))) + 1
+        ends = np.searchsorted(np.cumsum(self.width[flat_many]), np.cumsum(np.fromiter((len(chunks[i].encode()) for i in many.tolist()), np.int64, len(many)))) + 1
         size[many] = np.diff(np.concatenate(([0], ends)))
         total = len(flat_alone) + len(flat_many)
         start = np.zeros(len(chunks), np.int64)

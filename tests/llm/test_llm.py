@@ -253,8 +253,9 @@ def test_token_shards_round_trip(spark, odd, tmp_path):
     assert token_output.token_output(empty(spark), tokenizer_path()).count() == 0
 
 
-def test_encoder_equals_whole_texts():
-    enc = token_output.Encoder(tokenizer_path())
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"])
+def test_encoder_equals_whole_texts(name):
+    enc = token_output.Encoder(tokenizer_path(name))
     rng = random.Random(2)
     parts = ["a", "b", "the", "1", "23", "'", "'s", "'t", "'re", " ", "  ", "\n", "\n\n", "\t", " \n ", ",", ".", "!!", "é", "×", "÷", "ß", " ", "　", "中", "́", "\x1c", "\x85", "\r\n", "-", "_", "ª", "²"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 50))) for _ in range(4000)] + ["x<|endoftext|>y", ""]
@@ -262,7 +263,7 @@ def test_encoder_equals_whole_texts():
     for i in range(0, len(texts), 300):
         for ids, n in enc.encode(pa.array(texts[i : i + 300])):
             got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
-    assert got == [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    assert got == enc.ids_of(texts)
 
 
 def test_repair_random_access():
