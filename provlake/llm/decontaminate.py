@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textprims import mix64
+from .textprims import kept, mix64
 from .workspace import Workspace
 
 WINDOW, GRAM = 10, 4
@@ -44,7 +44,6 @@ _WORD[0x00:0x30] = _WORD[0x3A:0x61] = _WORD[0x7B:0x80] = False
 _RAW = _WORD.copy()
 _RAW[0x41:0x5B] = True  # in the original, before lower-casing
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if _WORD[c] else 32 for c in range(256))
-_MATCHERS: dict[str, "Matcher"] = {}
 _U = np.uint64
 
 SCAN_SCHEMA = "doc_id long, n_words long, hits array<struct<s:long,e:long,cs:long,ce:long>>, items array<string>"
@@ -186,10 +185,7 @@ def original_offsets(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int
 
 
 def _matcher(shared, key: str, window: int) -> Matcher:
-    if key not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(shared.value, window)
-    return _MATCHERS[key]
+    return kept(("matcher", key), lambda: Matcher(shared.value, window))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .textprims import LOWER, NONSPACE, doc_of, mix64, pieces, prefix_hash, span_hash, word_spans
+from .textprims import LOWER, NONSPACE, doc_of, kept, mix64, pieces, prefix_hash, span_hash, word_spans
 from .workspace import Workspace, join_hot, row_key
 
 REGISTERS, ROWS = 128, 4
@@ -141,6 +141,7 @@ def _sums(x: np.ndarray) -> np.ndarray:
 
 def _signer(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept()
         for batch in batches:
             for lo, hi, h, at in shingle_sets(batch.column(1), shingle):
                 n = np.diff(at)
@@ -160,6 +161,7 @@ def _setter(shingle: int):
     """Sets and sketches of documents whose set has the keys asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept()
         for batch in batches:
             ids, comp, parts = (batch.column(i).to_pylist() for i in (0, 2, 3))
             want = batch.column(4).to_numpy(zero_copy_only=False)
@@ -219,6 +221,7 @@ def links_within(ids: list[int], blk: np.ndarray, reg: np.ndarray, sets: list[np
 
 def _linker(percent: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        kept()
         pdf = pdf.drop_duplicates(["rep", "elements"]).sort_values("rep")
         reg = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(len(pdf), REGISTERS)
         sets = [np.frombuffer(x, np.uint64) for x in pdf["elements"]]

@@ -6,7 +6,9 @@ arrays of a piece's length; one document longer than a piece makes a piece of it
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ _PRIME, _BASE = (1 << 61) - 1, 0x1C3A5D9B47E2F681
 #: Bytes of a span that one difference of running sums can hold without overflow.
 _RUN = 1 << 22
 _POWERS: dict[str, np.ndarray] = {}
+#: What a Python worker keeps from task to task, by its key: one thing at most.
+_KEPT: dict = {}
 
 #: Bytes of white space \x20 and \x09-\x0D.
 SPACE = np.zeros(256, bool)
@@ -28,6 +32,29 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def give_back() -> None:
+    """Hand memory that was freed back to the system, where the C library can; a worker that idles holds only what it keeps."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def kept(key: object = None, make: Callable[[], object] = lambda: None) -> object:
+    """make()'s result, made once in a worker while its tasks ask for the same key.
+
+    Workers serve all operators of a session in turn, so what another operator kept goes first; an operator that keeps
+    nothing asks for None.
+    """
+    if _KEPT.get("key") != key:
+        _KEPT.clear()
+        _POWERS.clear()
+        gc.collect()  # an encoder refers to itself
+        give_back()
+        _KEPT.update(key=key, value=make())
+    return _KEPT.get("value")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes, in place."""
     x ^= x >> _U(33)
@@ -151,6 +178,7 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, in
         buf = np.insert(data[offsets[lo] : offsets[hi]], at[1:], np.uint8(10))
         yield lo, hi, buf, at + np.arange(hi - lo + 1)
         lo = hi
+    give_back()
 
 
 def word_spans(buf: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

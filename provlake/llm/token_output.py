@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textprims import heads, pieces
+from .textprims import heads, kept, pieces
 from .workspace import Workspace, shuffle_parts
 
 SHARD_TOKENS = 1 << 20
@@ -60,7 +60,6 @@ for _a in (1, 2, 3):
 _CUT[4, 5] = _CUT[4, 6] = _CUT[1, 4] = _CUT[2, 4] = True
 #: Masks that keep the first k of 16 bytes.
 _KEEP = np.array([[(1 << 8 * min(k, 8)) - 1, (1 << 8 * max(0, k - 8)) - 1] for k in range(16)], np.uint64)
-_WORKER: dict = {}
 
 
 def cuts(buf: np.ndarray) -> np.ndarray:
@@ -367,9 +366,7 @@ def _writer(path: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if _WORKER.get("path") != path:
-            _WORKER.update(path=path, encoder=Encoder(path))
-        enc: Encoder = _WORKER["encoder"]
+        enc: Encoder = kept(("encoder", path), lambda: Encoder(path))
         part, shard, start = TaskContext.get().partitionId(), 0, 0
         n_base = max(enc.vocab, end_id + 1)
         ids: list = []

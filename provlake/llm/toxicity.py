@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .recurrent import SLOTS, WORD_DIM, Adam, Words, best_windows, new_model, run, train_epoch, window_index, windows_of, word_inputs
+from .textprims import kept
 from .training import fit_apart, labelled_sample, training_row
 
 SAMPLE, LONGEST, WINDOWS_A_DOC = 1500, 40_000, 8
@@ -149,6 +150,7 @@ def score_texts(model: dict, column) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _scorer(shared):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept()
         model = shared.value
         for batch in batches:
             score, count, place = score_texts(model, batch.column(1))
@@ -170,6 +172,7 @@ def score_toxicity(documents: DataFrame, model: dict) -> DataFrame:
 
 def _dropper(shared, column: int, threshold: float):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept()
         for batch in batches:
             yield batch.filter(pa.array(score_texts(shared.value, batch.column(column))[0] < threshold))
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textprims import give_back, kept
+
 #: (text, label) rows and the share of class 1 among all training labels -> the model.
 Trainer = Callable[[list[tuple[str, int]], float], object]
 
@@ -47,11 +49,13 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, keep: C
 
 def _task(train: Trainer, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept()
         rows: list[tuple] = []
         for batch in batches:
             rows += zip(*(c.to_pylist() for c in batch.columns), strict=True)
         if rows:
             model = train([(text, y) for _, text, y in sorted(rows)], share)
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     return run

@@ -1,6 +1,7 @@
 """The ten operators against plain versions, and their cases: nulls, empty and long texts, ties, repeats, empty tables."""
 
 import collections
+import gc
 import hashlib
 import importlib.util
 import os
@@ -49,6 +50,22 @@ def empty(spark):
     return frame(spark, []).limit(0)
 
 
+def test_worker_keeps_one_operators_tables(monkeypatch):
+    """The encoder of one operator goes when the worker's next task is another operator's."""
+    task = type("Task", (), {"get": classmethod(lambda c: c), "partitionId": classmethod(lambda c: 0)})
+    monkeypatch.setattr("pyspark.TaskContext", task)
+    held = lambda: sum(isinstance(x, token_output.Encoder) for x in gc.get_objects())
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["one two three four", "five six seven eight"])], ["doc_id", "text"])
+    before = held()
+    write = token_output._writer(tokenizer_path(), 2, 1 << 20)
+    first = list(write(iter([batch])))
+    assert held() == before + 1
+    assert [r.equals(s) for r, s in zip(first, write(iter([batch])), strict=True)] == [True]
+    assert held() == before + 1  # the same operator's next task finds it
+    list(near_dup._signer(4)(iter([batch])))
+    assert held() == before
+
+
 def test_near_duplicates(spark, odd):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(frame(spark, odd), shingle=4).collect()}
     assert got == brute.near_dup([(d, t) for d, t, *_ in odd], 4)
