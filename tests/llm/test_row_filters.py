@@ -74,3 +74,17 @@ def test_join_hot_is_a_join(spark):
     right = left.groupBy("k").count().filter("k <> 3").selectExpr("k", "count as c", "k * 10 as y")
     want = rows(left.join(right.drop("c"), "k"))
     assert rows(join_hot(left, right, "k", "c", 3001)) == want and rows(join_hot(left, right, "k", "c", 10**9)) == want
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Edges that are stars already are the result; others take as many rounds as bring them there, and none to see it."""
+    from provlake.llm import components
+    from provlake.llm.workspace import Workspace
+
+    rounds, step = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda *a: rounds.append(1) or step(*a))
+    for edges, most in (([(2, 1), (3, 1), (9, 7)], 0), ([(3, 1), (3, 2)], 1), ([(2, 1), (3, 2), (4, 3), (5, 5)], 2)):
+        rounds.clear()
+        found = components.connected_components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "stars")).collect()
+        assert {r.node: r.component for r in found} == {n: 7 if n in (7, 9) else 1 for e in edges for n in e if n != 5}
+        assert len(rounds) <= most
