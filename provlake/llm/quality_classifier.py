@@ -110,13 +110,12 @@ def word_vectors(documents: DataFrame) -> np.ndarray:
     spark = documents.sparkSession
     ws = Workspace(spark, "random-index")
     schema = "chunk int, node long, sums binary"
-    level = ws.save(documents.select(F.col("text").cast("string").alias("text")).mapInArrow(_summer, schema), "sums")
-    width = (level.agg(F.max("node")).first()[0] or 0) + 1
+    # the tasks' own tables go through a shuffle and are not written; sums of FAN of them are
+    level, width = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(_summer, schema), 2
     while width > 1:
         level = level.withColumn("node", F.floor(F.col("node") / FAN).cast("long")).groupBy("chunk", "node").applyInPandas(_adder, schema)
-        width = -(-width // FAN)
-        if width > 1:
-            level = ws.save(level, "sums")
+        level = ws.save(level, "sums")
+        width = (level.agg(F.max("node")).first()[0] or 0) + 1
     sums = np.zeros((SLOTS, DIM))
     for r in level.toLocalIterator():
         sums.ravel()[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.sums, "<i8")

@@ -584,3 +584,21 @@ def test_queries_with_sql(spark, name):
     cols = sorted(want.columns)
     assert set(cols) == set(got.columns)
     assert sorted(map(str, got[cols].astype(str).values.tolist())) == sorted(map(str, want[cols].astype(str).values.tolist()))
+
+
+def test_word_vectors_write_sums_of_many_tasks_only(spark, real, monkeypatch):
+    """What is written of 40 tasks' tables are sums of 16 of them at least but for the last, and the vectors are those of one task."""
+    written, save = [], Workspace.save
+
+    def counted(ws, df, name):
+        out = save(ws, df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(Workspace, "save", counted)
+    docs = frame(spark, real[:120])
+    many = quality_classifier.word_vectors(docs.repartition(40))
+    chunks = quality_classifier.SLOTS * quality_classifier.DIM // quality_classifier.CHUNK
+    assert written == [chunks * 3, chunks]
+    assert np.array_equal(many, quality_classifier.word_vectors(docs.coalesce(1)))
+    assert np.array_equal(quality_classifier.word_vectors(docs.limit(0)), quality_classifier.vectors_of(np.zeros((quality_classifier.SLOTS, quality_classifier.DIM))))
